@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.chat import chat_digests
+from netloom.llm.embed_dedup import near_embeddings
+from netloom.llm.kneser_ney import kneser_ney_scores
 from netloom.llm.ngram_join import ngram_jaccard
 from netloom.llm.packing import best_fit_pack
 from netloom.llm.pii import pseudonym_report
 from netloom.llm.store import table
-from netloom.llm.toxicity import toxicity
+from netloom.llm.toxicity import held_out, toxicity
 from netloom.llm.winnow import contamination
 
 
@@ -32,6 +34,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
@@ -39,6 +45,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.union(more))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney_scores(table(spark, sf_dir, "documents"), held_out(10, 0))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -53,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op6_chat_formatting": op6_chat_formatting,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
