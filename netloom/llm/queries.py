@@ -13,6 +13,7 @@ from netloom.llm.kneser_ney import kneser_ney_scores
 from netloom.llm.ngram_join import ngram_jaccard
 from netloom.llm.packing import best_fit_pack
 from netloom.llm.pii import pseudonym_report
+from netloom.llm.quality import quality
 from netloom.llm.store import table
 from netloom.llm.toxicity import held_out, toxicity
 from netloom.llm.winnow import contamination
@@ -38,6 +39,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
