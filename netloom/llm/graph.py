@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.store import cut
 
-#: Links that one worker holds while it shortens them.
+#: Links that one worker holds while it shortens them: some 8 MB.
 HELD = 1 << 19
 
 
@@ -39,7 +40,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[out], nodes[label[out]]
 
 
-def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shorten(batches: Iterator[pa.RecordBatch], held_most: int = HELD) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
 
@@ -51,24 +52,26 @@ def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
         n += batch.num_rows
-        if n >= HELD:
+        if n >= held_most:
             yield from out()
             held, n = [], 0
     if held:
         yield from out()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, held: int = HELD) -> DataFrame:
     """(node, component) for every node of `links` (a, b: long); component is the smallest
     node that links reach. Nodes without links, links of a node with itself and nulls give no row.
 
-    Rounds of large-star and small-star: both keep components whole and end with a star for
-    each. A round's minima are partial sums before the shuffle; the joins by node are plain
-    equi-joins that adaptive execution can split where one node has very many links.
+    Each task first makes a forest of its links. Once at most `held` links (16 bytes each) are
+    left, one task ends the work. While there are more, rounds of large-star and small-star go
+    on: both keep components whole, and they lead to a star for each. A round's minima are
+    partial sums before the shuffle; the joins by node are plain equi-joins that adaptive
+    execution can split where one node has very many links.
     """
     shortened = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").mapInArrow(_shorten, "a long, b long")
-    edges = cut(shortened.distinct(), "links")  # a > b
-    while True:
+    edges = cut(shortened, "links")  # a > b
+    while (n := edges.count()) > held:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: a node's larger neighbours go to the least of its neighbourhood
@@ -78,11 +81,12 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        small = cut(small.mapInArrow(_shorten, "a long, b long").distinct(), "small")
-        # a star forest: no node is both a leaf and a centre, and each leaf has one centre
-        n, leaves = small.agg(F.count("*"), F.countDistinct("a")).first()
-        edges = small
-        if n == leaves and small.select(F.col("b").alias("a")).join(small, "a", "left_semi").isEmpty():
+        edges = cut(small.mapInArrow(_shorten, "a long, b long").distinct(), "small")
+        # a star forest: each leaf has one centre, and no centre is a leaf
+        n, leaves = edges.agg(F.count("*"), F.countDistinct("a")).first()
+        if n == leaves and edges.select(F.col("b").alias("a")).join(edges, "a", "left_semi").isEmpty():
             break
+    if n <= held:
+        edges = cut(edges.coalesce(1).mapInArrow(partial(_shorten, held_most=held + 1), "a long, b long"), "stars")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
