@@ -1,8 +1,79 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators.
 
-STAGES = []
+Each stage takes what its predecessor kept; the last one lays out training sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netloom.llm import toxicity as tox
+from netloom.llm.ngram_join import ngram_jaccard
+from netloom.llm.packing import best_fit_pack
+from netloom.llm.pii import pseudonymise
+from netloom.llm.queries import PII_KEY
+from netloom.llm.store import cut, table
+from netloom.llm.winnow import contamination
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs`, which are files here, with a number for each row: ids may repeat or be null."""
+    return cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "stage")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones among them."""
+    model = tox.train(tox.training_rows(docs, table(spark, sf_dir, "labels"), "toxic", tox.held_out(5, 0)))
+    return tox.score(docs.select(*COLUMNS), model).where("score < 0.5").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of five-word shingles (0.8 or more) hold together,
+    the one with the smallest id stays. Of rows with that id, one stays."""
+    docs = _numbered(docs)
+    groups = ngram_jaccard(docs, k=5, percent=80, id_col="row")
+    best = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    kept = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).join(docs.select("row", "doc_id"), "row")
+    kept = kept.groupBy("group").agg(F.min(best).alias("best")).select(F.col("best.row").alias("row"))
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that benchmark windows cover by a twentieth of their words or more."""
+    docs = _numbered(docs)
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), id_col="row").where("contaminated")
+    return docs.join(found.select(F.col("doc_id").alias("row")), "row", "left_anti").select(*COLUMNS)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms for personal data; n_chars follows."""
+    out = pseudonymise(docs.select(*COLUMNS), PII_KEY)
+    return out.select("doc_id", F.col("pii_text").alias("text"), "lang", "source", F.length("pii_text").cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and offset."""
+    return best_fit_pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii_pseudonyms", pseudonyms),
+    ("best_fit_packing", pack),
+]
+
+#: A classifier's weights and a tokenizer's ids have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over `documents`; each stage's are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return docs

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netloom.llm.chat import chat_digests
 from netloom.llm.embed_dedup import near_embeddings
 from netloom.llm.kneser_ney import kneser_ney_scores
+from netloom.llm.licences import licence_scan
 from netloom.llm.ngram_join import ngram_jaccard
 from netloom.llm.packing import best_fit_pack
 from netloom.llm.pii import pseudonym_report
@@ -50,6 +51,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.union(more))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney_scores(table(spark, sf_dir, "documents"), held_out(10, 0))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_license_scan": op7_license_scan,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
