@@ -20,8 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """`docs`, which are files here, with a number for each row: ids may repeat or be null."""
-    return cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "stage")
+    """`docs` with a number that rows share only if they are equal: ids may repeat or be null."""
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +32,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of five-word shingles (0.8 or more) hold together,
-    the one with the smallest id stays. Of rows with that id, one stays."""
+    the one with the smallest id stays; of equal rows, one stays."""
     docs = _numbered(docs)
     groups = ngram_jaccard(docs, k=5, percent=80, id_col="row")
     best = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    kept = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).join(docs.select("row", "doc_id"), "row")
+    kept = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).distinct().join(docs.select("row", "doc_id").distinct(), "row")
     kept = kept.groupBy("group").agg(F.min(best).alias("best")).select(F.col("best.row").alias("row"))
-    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
+    return docs.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
