@@ -1,4 +1,6 @@
 """All queries of the traffic engine with their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from netloom.plans import traffic
+
+QUERIES = dict(traffic.QUERIES)
+ORACLE_SQL = dict(traffic.ORACLE)
