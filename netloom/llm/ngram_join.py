@@ -8,10 +8,12 @@
    hash of what a set holds in a range is a signature. This loses no pair. Within a map task
    a signature goes out once; further sets that have it are tied to the first.
 3. Sets with a common signature make families (connected components). A family is a tile,
-   or some tiles if it is large; a set's sorted shingles go to its family's tiles alone.
-4. In a tile, sets lie in order of size. For a set, only the band of sizes that can reach
-   the threshold counts, without what is linked already; the bit counts of hashed bitmaps
-   bound the overlap from above, and only what is left has its sorted arrays intersected.
+   or some tiles if it is large. Only hashed bitmaps of the sets go there, about three bits a
+   shingle. In a tile, sets lie in order of size; for a set, the band of sizes that can reach
+   the threshold counts, and bit counts bound the overlap from above. Sets that a bound lets
+   through make smaller families; most sets are in none.
+4. The texts of those families go to tiles in the same way. A band and the bound choose the
+   pairs as before, but for what is linked already, and sorted arrays are intersected.
 5. A tile returns a spanning forest of its links; components() joins the forests.
 """
 
@@ -94,11 +96,12 @@ def _digests(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         done: set[int] = set()
         for first, raw, offsets in batch_texts(batch.column(1)):
             words, firsts = hashed(raw, offsets)
-            sizes, digests, keys, ends = [], [], [], [0]
+            sizes, digests, bits, keys, ends = [], [], [], [], [0]
             for s in shingle_sets(words, firsts, k):
                 digest = digest_of(s)
                 sizes.append(len(s))
                 digests.append(digest)
+                bits.append(bitmap(s).tobytes())
                 if len(s) and digest not in done:
                     done.add(digest)
                     keys.append(signatures(s, starts, percent))
@@ -111,9 +114,10 @@ def _digests(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
                     batch.column(0).slice(first, len(sizes)),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.int64()),
+                    pa.array(bits, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))),
                 ],
-                ["doc_id", "n_shingles", "node", "keys"],
+                ["doc_id", "n_shingles", "node", "bits", "keys"],
             )
 
 
@@ -194,21 +198,6 @@ def digest_of(shingles: np.ndarray) -> int:
         return int(mix(np.array([np.add.reduce(mix(shingles)) + np.uint64(len(shingles))])).view(np.int64)[0])
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Sorted shingles of each (node, text) whose set is that node's; rows may share an id."""
-    hashed = Words(graph_bytes())
-    for batch in batches:
-        nodes = batch.column(0).to_pylist()
-        done: set[int] = set()
-        for first, raw, offsets in batch_texts(batch.column(1)):
-            out = []
-            for i, s in enumerate(shingle_sets(*hashed(raw, offsets), k), first):
-                if nodes[i] not in done and digest_of(s) == nodes[i]:
-                    done.add(nodes[i])
-                    out.append((nodes[i], s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["node", "shingles"])
-
-
 def _once(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Without rows whose keys are those of the row before."""
     last = None
@@ -220,13 +209,58 @@ def _once(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Rec
             yield batch.filter(pa.array(new))
 
 
-def bitmaps(sets: list[np.ndarray], words: int) -> np.ndarray:
-    """A row of 64 * words bits for each set; a shingle sets the bit that its hash names."""
-    out = np.zeros((len(sets), words), np.uint64)
-    for i, s in enumerate(sets):
-        bit = (s >> np.uint64(20)) % np.uint64(64 * words)
-        np.bitwise_or.at(out[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, named by its hash, in 64-bit words: a power of two of them,
+    with two to four bits a shingle up to 2**16 bits. A wider map folds into a narrower one."""
+    width = 1 << min(10, max(1, (2 * len(shingles) - 1).bit_length() - 6))
+    flags = np.zeros(64 * width, np.uint8)
+    flags[((shingles >> np.uint64(20)) & np.uint64(64 * width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
+
+
+def bounded_pairs(sizes: np.ndarray, bits: list[np.ndarray], percent: int, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set i of a tile in order of size, the later sets that may reach the threshold
+    with it by size and bit counts, best bound first; those with i's label are left out."""
+    widths = np.array([len(b) for b in bits])
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        end = int(np.searchsorted(sizes, 100 * sizes[own[-1]] // percent, "right"))
+        rows = np.stack([b if len(b) == width else _fold(b, width) for b in bits[own[0] : end]])
+        for i in own.tolist():
+            last = int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))
+            rest = np.flatnonzero(label[i + 1 : last] != label[i]) + i + 1
+            if not len(rest):
+                continue
+            x, y = rows[i - own[0]], rows[rest - own[0]]
+            only_i = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+            only_j = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(sizes[i] - only_i, sizes[rest] - only_j)
+            fit = (100 + percent) * bound >= percent * (sizes[i] + sizes[rest])
+            if fit.any():
+                yield i, rest[fit][np.argsort(-bound[fit], kind="stable")]
+
+
+def _join(label: np.ndarray, i: int, j: int) -> None:
+    low, high = sorted((label[i], label[j]))
+    label[label == high] = low
+
+
+def bounded_links(nodes: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a tile that their bitmaps let through."""
+    order = np.argsort(sizes, kind="stable")
+    nodes, sizes, bits = nodes[order], sizes[order], [bits[i] for i in order]
+    label = np.arange(len(nodes))
+    links = []
+    for i, rest in bounded_pairs(sizes, bits, percent, label):
+        for j in rest.tolist():
+            if label[j] != label[i]:
+                links.append((int(nodes[i]), int(nodes[j])))
+                _join(label, i, j)
+    return links
 
 
 def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -234,45 +268,61 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     nodes, sizes, sets = nodes[order], sizes[order], [sets[i] for i in order]
-    # about two bits for a shingle of a middling set; the bound holds for any width
-    bits = bitmaps(sets, int(min(64, max(2, 2 ** np.ceil(np.log2(max(1, np.median(sizes) / 32)))))))
     label = np.arange(len(nodes))
     links = []
-    for i in range(len(nodes) - 1):
-        last = int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))
-        rest = np.flatnonzero(label[i + 1 : last] != label[i]) + i + 1
-        if not len(rest):
-            continue
-        only_i = np.bitwise_count(bits[i] & ~bits[rest]).sum(axis=1, dtype=np.int64)
-        only_j = np.bitwise_count(bits[rest] & ~bits[i]).sum(axis=1, dtype=np.int64)
-        bound = np.minimum(sizes[i] - only_i, sizes[rest] - only_j)
-        both = sizes[i] + sizes[rest]
-        fit = (100 + percent) * bound >= percent * both
-        for j in rest[fit][np.argsort(-bound[fit], kind="stable")].tolist():
+    for i, rest in bounded_pairs(sizes, [bitmap(s) for s in sets], percent, label):
+        a = sets[i]
+        for j in rest.tolist():
             if label[j] == label[i]:
                 continue
-            a, b = sets[i], sets[j]
+            b = sets[j]
             at = np.searchsorted(b, a)
             at[at == len(b)] = 0
             if (100 + percent) * int((b[at] == a).sum()) >= percent * (len(a) + len(b)):
                 links.append((int(nodes[i]), int(nodes[j])))
-                low, high = sorted((label[i], label[j]))
-                label[label == high] = low
+                _join(label, i, j)
     return links
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    a: list[int] = []
-    b: list[int] = []
+def _pairs_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _bounded_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    links: list[tuple[int, int]] = []
     for tile in runs(_once(batches, ["family", "tile", "node"]), ["family", "tile"]):
-        sets = [np.frombuffer(x, np.uint64) for c in tile["shingles"].chunks for x in (v.as_buffer() for v in c)]
-        for x, y in tile_links(tile["node"].to_numpy(), sets, percent):
-            a.append(x)
-            b.append(y)
-        if len(a) >= 1 << 16:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        bits = [np.frombuffer(x, np.uint64) for x in tile["bits"].to_pylist()]
+        links += bounded_links(tile["node"].to_numpy(), tile["n"].to_numpy(), bits, percent)
+        if len(links) >= 1 << 16:
+            yield _pairs_batch(links)
+            links = []
+    yield _pairs_batch(links)
+
+
+def _exact_tiles(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    hashed = Words(graph_bytes())
+    links: list[tuple[int, int]] = []
+    for tile in runs(_once(batches, ["family", "tile", "node", "copy"]), ["family", "tile"]):
+        found: dict[int, np.ndarray] = {}  # rows of one id may hold other texts than the node's
+        nodes = tile["node"].to_numpy()
+        for first, raw, offsets in batch_texts(tile["text"]):
+            for i, s in enumerate(shingle_sets(*hashed(raw, offsets), k), first):
+                if nodes[i] not in found and digest_of(s) == nodes[i]:
+                    found[nodes[i]] = s
+        links += tile_links(np.array(list(found), np.int64), list(found.values()), percent)
+        if len(links) >= 1 << 16:
+            yield _pairs_batch(links)
+            links = []
+    yield _pairs_batch(links)
+
+
+def tiled(members: DataFrame) -> DataFrame:
+    """`members` (node, n, family, ...) with the tiles of each: a family of more sets or
+    shingles than a tile holds is dealt into parts, and any two parts meet in one tile."""
+    parts = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, part) * F.col("parts").cast("long") + F.greatest(j, part))
+    return members.join(parts, "family").withColumn("tile", F.explode(tile)).drop("parts")
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,7 +340,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digests = cut(docs.mapInArrow(partial(_digests, k=k, percent=percent), "doc_id long, n_shingles long, node long, keys array<long>"), "digests")
+    digests = cut(docs.mapInArrow(partial(_digests, k=k, percent=percent), "doc_id long, n_shingles long, node long, bits binary, keys array<long>"), "digests")
     keyed = digests.where("size(keys) > 0").select("node", "keys").mapInArrow(_unroll, "key long, node long, first long")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
     families = components(keyed.mapInArrow(_meet, "a long, b long"))
@@ -300,16 +350,15 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     release(spark)
 
     # one text stands for all copies of a set, that of the smallest id
-    nodes = digests.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
-    members = cut(nodes.join(families, "node").select("node", "least", "n", F.col("component").alias("family")), "members")
-    parts = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
-    tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, part) * F.col("parts").cast("long") + F.greatest(j, part))
-    texts = docs.join(members.select("node", "least"), F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
-    arrays = texts.mapInArrow(partial(_arrays, k=k), "node long, shingles binary")
-    placed = arrays.join(members.join(parts, "family").select("node", "family", F.explode(tile).alias("tile")), "node")
-    placed = placed.select("family", "tile", "node", "shingles").repartition("family", "tile").sortWithinPartitions("family", "tile", "node")
-    found = components(placed.mapInArrow(partial(_tiles, percent=percent), "a long, b long"))
+    nodes = cut(digests.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "nodes")
+    digests = digests.drop("bits")
+    near = tiled(nodes.join(families, "node").select("node", "n", "bits", F.col("component").alias("family")))
+    near = near.select("family", "tile", "node", "n", "bits").repartition("family", "tile").sortWithinPartitions("family", "tile", "node")
+    families = components(near.mapInArrow(partial(_bounded_tiles, percent=percent), "a long, b long"))
+    members = tiled(nodes.join(families, "node").select("node", "least", "n", F.col("component").alias("family")))
+    placed = docs.join(members, F.col("doc_id").eqNullSafe(F.col("least"))).select("family", "tile", "node", F.xxhash64("text").alias("copy"), "text")
+    placed = placed.repartition("family", "tile").sortWithinPartitions("family", "tile", "node", "copy")
+    found = components(placed.mapInArrow(partial(_exact_tiles, k=k, percent=percent), "a long, b long"))
     release(spark)
 
     least = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
