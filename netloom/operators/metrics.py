@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 def f1_scores(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(label, precision, recall, f1), 0 where a share has no base, from one count of pairs."""
     pairs = rows.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    both = pairs.select(F.explode(F.array(F.struct(F.col("t").alias("label"), F.col("n").alias("of_truth"), F.lit(0).cast("long").alias("of_guess"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")))).alias("x")).select("x.*")
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(zero)
+    both = pairs.select(F.col("t").alias("label"), F.col("n").alias("of_truth"), zero.alias("of_guess"), hit.alias("hit")).union(pairs.select("p", zero, "n", zero))
     s = both.groupBy("label").agg(F.sum("of_truth").alias("t"), F.sum("of_guess").alias("p"), F.sum("hit").alias("h"))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return s.select("label", share("h", "p").alias("precision"), share("h", "t").alias("recall"), F.when(F.col("p") + F.col("t") > 0, 2 * F.col("h") / (F.col("p") + F.col("t"))).otherwise(0.0).alias("f1"))

@@ -1,6 +1,6 @@
 """All queries of the traffic engine with their DuckDB counterparts."""
 
-from netloom.plans import traffic
+from netloom.plans import analysis, traffic
 
-QUERIES = dict(traffic.QUERIES)
-ORACLE_SQL = dict(traffic.ORACLE)
+QUERIES = traffic.QUERIES | analysis.QUERIES
+ORACLE_SQL = traffic.ORACLE | analysis.ORACLE

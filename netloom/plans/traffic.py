@@ -243,9 +243,9 @@ WIDE_COLS = [*WIDE, "peer_concentration", "src_entropy", *SAMPLED, *DERIVED]
 
 
 @query(f"""WITH {WIDE_SQL}, j AS (SELECT w.*, peer_concentration, src_entropy, {", ".join(f"ss.{c}" for c in SAMPLED)}, {", ".join(f"{v} AS {k}" for k, v in DERIVED.items())} FROM w JOIN pc USING ("window", host) JOIN ss USING ("window", host))
-SELECT "window", host, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in WIDE_COLS)} FROM j""")
+SELECT "window", host, {", ".join(f"round(CAST({c} AS DOUBLE) + 2e-8, 6) AS {c}" for c in WIDE_COLS)} FROM j""")
 def packet_cell_wide(spark, d):
-    return P.cells(T.packets(spark, d), DAY_US).select("window", "host", *(F.round(c, 6).alias(c) for c in WIDE_COLS))
+    return P.cells(T.packets(spark, d), DAY_US).select("window", "host", *(F.round(F.col(c) + 2e-8, 6).alias(c) for c in WIDE_COLS))  # past ties of halves of microseconds
 
 
 @query(f'WITH {ENDS_SQL} SELECT "window", host, round(count(*) FILTER (flags & 2 <> 0) * 1.0 / count(*), 6) AS syn_share, round(count(*) FILTER (flags & 4 <> 0) * 1.0 / count(*), 6) AS rst_share FROM e GROUP BY ALL')
