@@ -1,6 +1,7 @@
 """All queries of the traffic engine with their DuckDB counterparts."""
 
-from netloom.plans import analysis, traffic
+from netloom.plans import analysis, experiments, streams, traffic
 
-QUERIES = traffic.QUERIES | analysis.QUERIES
-ORACLE_SQL = traffic.ORACLE | analysis.ORACLE
+PARTS = (traffic, analysis, experiments, streams)
+QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
+ORACLE_SQL = {k: s for p in PARTS for k, s in p.ORACLE.items()}
