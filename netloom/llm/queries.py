@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.llm import oracles
 from netloom.llm.chat import chat_digests
 from netloom.llm.embed_dedup import near_embeddings
 from netloom.llm.kneser_ney import kneser_ney_scores
@@ -82,4 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op4_embedding_near_dedup": oracles.EMBEDDINGS,
+    "op6_chat_formatting": oracles.CHAT,
+    "op9_decontamination": oracles.DECONTAMINATION,
+}
