@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 # The features that each detector may see.
 HEADS: dict[str, list[str]] = {
     "ddos": ["hw_dst_n_flows", "hw_dst_n_srcs", "hw_dst_src_entropy", "hw_dst_fwd_pkts", "hw_dst_fwd_bytes", "hw_dst_flows_per_src"],
-    "scan": ["hw_src_n_peers", "hw_src_n_dports", "hw_src_fanout_per_flow", "hw_src_n_flows", "hw_src_fwd_bytes"],
-    "beacon": ["hw_src_iat_mean", "hw_src_iat_cv", "hw_src_peer_concentration", "hw_src_n_flows"],
-    "exfil": ["hw_src_fwd_bytes", "hw_src_bytes_vs_baseline", "hw_src_peer_concentration", "hw_src_fwd_pkts"],
-    "dga": ["hw_src_dns_count", "hw_src_qname_entropy", "hw_src_qname_len_mean", "hw_src_qname_digit_ratio", "hw_src_qname_bigram_rarity"],
-    "encrypted": ["hw_src_tls_count", "hw_src_tls_fp_rarity", "hw_src_tls_fp_novel", "hw_src_iat_cv", "hw_src_fwd_bytes"],
+    "scan": ["hw_src_n_peers", "hw_src_n_dports", "hw_src_fanout_per_flow", "hw_src_n_flows", "hw_src_peer_concentration", "hw_src_fwd_pkts"],
+    "beacon": ["hw_src_iat_cv", "hw_src_iat_mean", "hw_src_peer_concentration", "hw_src_n_peers", "hw_src_n_flows", "hw_src_fwd_bytes"],
+    "exfil": ["hw_src_fwd_bytes", "hw_src_bytes_vs_baseline", "hw_src_peer_concentration", "hw_src_n_peers", "hw_src_fwd_pkts", "hw_src_n_flows"],
+    "dga": ["hw_src_qname_entropy", "hw_src_qname_len_mean", "hw_src_qname_len_max", "hw_src_qname_digit_ratio", "hw_src_qname_bigram_rarity", "hw_src_dns_count", "hw_src_n_flows", "hw_src_peer_concentration", "hw_src_n_peers", "hw_src_fwd_pkts", "hw_src_fwd_bytes", "hw_src_iat_mean"],
+    "encrypted": ["hw_src_tls_fp_rarity", "hw_src_tls_fp_novel", "hw_src_tls_count", "hw_src_iat_cv", "hw_src_iat_mean", "hw_src_fwd_bytes", "hw_src_n_peers", "hw_src_peer_concentration", "hw_src_n_flows"],
 }
 
 
