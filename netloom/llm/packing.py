@@ -18,6 +18,7 @@ rows. A piece's number among the pieces of its length picks its sequence and off
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -40,16 +41,26 @@ class WordIds(dict):
     """The ids of a word as little-endian 32-bit numbers. The tokenizer splits at white space
     and drops it, so a text's ids are those of its words."""
 
-    HELD = 400_000
+    HELD = 600_000
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
+    @classmethod
+    def of_worker(cls, path: str) -> WordIds:
+        """The same object for all tasks that a worker process runs: words learnt once stay.
+        Globals of functions that are pickled by value are new in each task, so it is kept
+        on the library's module."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tokenizers
+
+        held = getattr(tokenizers, "_netloom_word_ids", None)
+        if held is None or held[0] != path:
+            held = tokenizers._netloom_word_ids = (path, cls(path))
+        return held[1]
+
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.HELD:
@@ -60,7 +71,7 @@ class WordIds(dict):
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
-    ids = WordIds(path)
+    ids = WordIds.of_worker(path)
     task = TaskContext.get().partitionId()
     seen = np.zeros(size + 1, np.int64)
     for batch in batches:
