@@ -18,6 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,21 +130,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.1, l2: float = 1e-5) -> Model:
-    """Logistic loss by mini-batches with AdaGrad, in a fixed order of random batches."""
+def fit(features: np.ndarray, values: np.ndarray, ends: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.1, l2: float = 1e-5) -> Model:
+    """Logistic loss by mini-batches with AdaGrad, in a fixed random order. Row i has the
+    features and values from ends[i] to ends[i + 1]."""
     rng = np.random.default_rng(7)
     model = Model(0.0, np.zeros(_SIZE), rng.normal(0, 0.02, (_SIZE, FACTORS)))
-    if not len(rows):
+    if not len(y):
         return model
     model.bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     seen_w, seen_v, seen_b = np.full(_SIZE, 1e-6), np.full((_SIZE, FACTORS), 1e-6), 1e-6
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(y))
         for k in range(0, len(order), batch):
             own = order[k : k + batch]
-            feature = np.concatenate([rows[i][0] for i in own])
-            value = np.concatenate([rows[i][1] for i in own])
-            text = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
+            feature = np.concatenate([features[ends[i] : ends[i + 1]] for i in own])
+            value = np.concatenate([values[ends[i] : ends[i + 1]] for i in own]).astype(float)
+            text = np.repeat(np.arange(len(own)), ends[own + 1] - ends[own])
             e = (sigmoid(model.z(len(own), text, feature, value)) - y[own]) / len(own)
             used, at = np.unique(feature, return_inverse=True)
             g = np.bincount(at, e[text] * value, len(used)) + l2 * model.weights[used]
@@ -178,9 +180,10 @@ def train(labelled: DataFrame, fit_rows: int = 20_000) -> Model:
     chosen = bounded_sample(labelled.where("label in (0, 1)"), fit_rows)
     chosen = chosen.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars"))
     table = chosen.mapInArrow(_train_rows, "label long, features array<int>, shares array<float>").toArrow()
-    labels = table["label"].to_numpy().astype(float)
-    rows = [(f.values.to_numpy().astype(np.int64), s.values.to_numpy().astype(float)) for f, s in zip(table["features"], table["shares"], strict=True)]
-    return fit(rows, labels)
+    lengths = pc.list_value_length(table["features"]).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    flat = [np.concatenate([np.zeros(0, kind), *(x.flatten().to_numpy() for x in table[c].chunks)]) for c, kind in (("features", np.int32), ("shares", np.float32))]
+    return fit(*flat, ends, table["label"].to_numpy().astype(float))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
