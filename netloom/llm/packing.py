@@ -39,7 +39,8 @@ Class = tuple[int, list[tuple[int, int, int]]]
 
 class WordIds(dict):
     """The ids of a word as little-endian 32-bit numbers. The tokenizer splits at white space
-    and drops it, so a text's ids are those of its words."""
+    and drops it, so a text's ids are those of its words; it lowers case, so a-z will do for A-Z
+    but in special tokens, which have "<|"."""
 
     HELD = 600_000
 
@@ -47,6 +48,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark_id, mark = max(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark = mark.content
 
     @classmethod
     def of_worker(cls, path: str) -> WordIds:
@@ -66,8 +69,22 @@ class WordIds(dict):
         if len(self) + len(new) > self.HELD:
             self.clear()
             new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        # many words are encoded at once, with a special token between them whose id parts them
+        plain = [w for w in new if b"<|" not in w]
+        for i in range(0, len(plain), 4096):
+            own = plain[i : i + 4096]
+            ids = self._encode(self.mark.join(w.decode() for w in own))
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            first = 0
+            for w, last in zip(own, ends, strict=True):
+                self[w] = ids[first:last].tobytes()
+                first = last + 1
+        for w in new:
+            if b"<|" in w:
+                self[w] = self._encode(w.decode()).tobytes()
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
@@ -77,6 +94,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator
     for batch in batches:
         for first, raw, offsets in batch_texts(batch.column(1), 1 << 20):
             data, ends = raw.tobytes(), offsets.tolist()
+            data = data if b"<|" in data else data.lower()
             texts = [data[a:b].split() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             ids.learn(set().union(*texts))
             out: list[tuple[int, int, int, int, int, int]] = []
