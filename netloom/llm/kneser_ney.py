@@ -37,7 +37,7 @@ from netloom.llm.text import Words, batch_texts, graph_bytes, mix
 BEGIN, STOP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _K = np.uint64(0xD6E8FEB86659FD93)
 #: Pairs that a worker gathers before it counts them, and bytes of text that it scores at once.
-HELD, TEXT_BYTES = 1 << 21, 1 << 23
+HELD, TEXT_BYTES = 1 << 22, 1 << 23
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -61,7 +61,7 @@ def tokens(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return v, w, np.append(at, total)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashed = Words(graph_bytes())
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
@@ -69,11 +69,12 @@ def _pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
     def out():
         v, w = (np.concatenate(x) for x in zip(*held, strict=True))
         _, at, c = np.unique(pair_key(v, w), return_index=True, return_counts=True)
-        v, w = v[at], w[at]
-        shard = (v >> np.uint64(64 - bits)).astype(np.int32)
+        # in order of the first word, which then costs next to nothing in the shuffle's files
+        order = np.argsort(v[at], kind="stable")
+        v, w, c = v[at][order], w[at][order], c[order]
         for i in range(0, len(v), 1 << 16):
             s = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(shard[s]), pa.array(v[s].view(np.int64)), pa.array(w[s].view(np.int64)), pa.array(c[s])], ["shard", "v", "w", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[s].view(np.int64)), pa.array(w[s].view(np.int64)), pa.array(c[s].astype(np.int32))], ["v", "w", "c"])
 
     for batch in batches:
         for _, raw, offsets in batch_texts(batch.column(0)):
@@ -125,17 +126,23 @@ def _split(cols: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield int(cols[0][a]), [c[a:b] for c in cols[1:]]
 
 
-def _pair_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes a shard's pairs and contexts. Rows out: (kind, key, x, y, path): a file (0, shard,
-    pairs, contexts, path), a word's part (1, word, count, different words before it), and
-    counts of counts (2, 1 to 4, pairs with that count)."""
-    names = ["kind", "key", "x", "y", "path"]
+def _sharded(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shard = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", *batch.schema.names])
+
+
+def _pair_files(batches: Iterator[pa.RecordBatch], folder: str, bits: int) -> Iterator[pa.RecordBatch]:
+    """Writes a shard's pairs and contexts. Rows out: (kind, key, x, y, z, path): a file (0, shard,
+    pairs seen once, other pairs, contexts, path), a word's part (1, word, count, different words
+    before it), and counts of counts (2, 1 to 4, pairs with that count)."""
+    names = ["kind", "key", "x", "y", "z", "path"]
     of_counts = np.zeros(5, np.int64)
     words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def rows(kind: int, key, x, y, path=None) -> pa.RecordBatch:
+    def rows(kind: int, key, x, y, z=0, path=None) -> pa.RecordBatch:
         n = len(key)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(k, np.int64)) for k in (key, x, y)), pa.array([path] * n, pa.string())], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(k, np.int64)) for k in (key, x, y, np.full(n, z))), pa.array([path] * n, pa.string())], names)
 
     def word_rows() -> Iterator[pa.RecordBatch]:
         w, c, d = (np.concatenate(x) for x in zip(*words, strict=True))
@@ -145,18 +152,19 @@ def _pair_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.R
             s = slice(i, i + (1 << 16))
             yield rows(1, key[s], c[s], d[s])
 
-    for shard, (v, w, c) in _by_shard(batches):
+    for shard, (v, w, c) in _by_shard(_sharded(batches, bits)):
         new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
         at = np.flatnonzero(new)
-        v, w, c = v[at].view(np.uint64), w[at], np.add.reduceat(c, at)
+        v, w, c = v[at].view(np.uint64), w[at], np.add.reduceat(c.astype(np.int64), at)
         of_counts += np.bincount(np.minimum(c, 5), minlength=6)[:5]
         heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         by_v = [np.add.reduceat(x.astype(np.int64), heads) for x in (c, c == 1, c == 2, c >= 3)]
         order = np.argsort(v[heads], kind="stable")  # signed order in the shuffle, unsigned here
         key = pair_key(v, w.view(np.uint64))
-        pairs = np.argsort(key, kind="stable")
-        path = _write(folder, [key[pairs], v[heads][order], by_v[0][order].astype(np.float64), *(x[order].astype(np.uint32) for x in by_v[1:]), np.minimum(c[pairs], (1 << 32) - 1).astype(np.uint32)])
-        yield rows(0, [shard], [len(key)], [len(heads)], path)
+        once, more = np.sort(key[c == 1]), np.flatnonzero(c > 1)
+        more = more[np.argsort(key[more], kind="stable")]
+        path = _write(folder, [once, key[more], v[heads][order], by_v[0][order].astype(np.float64), *(x[order].astype(np.uint32) for x in by_v[1:]), np.minimum(c[more], (1 << 32) - 1).astype(np.uint32)])
+        yield rows(0, [shard], [len(once)], [len(more)], len(heads), path)
         words.append((w, c, np.ones(len(w), np.int64)))
         if sum(len(x[0]) for x in words) >= HELD:
             yield from word_rows()
@@ -188,7 +196,7 @@ def discounts(t: list[int]) -> tuple[float, float, float]:
 @dataclass
 class Model:
     bits: int
-    pairs: list[tuple[int, str, int, int]]  # shard, path, pairs, contexts
+    pairs: list[tuple[int, str, int, int, int]]  # shard, path, pairs seen once, other pairs, contexts
     words: list[tuple[int, str, int]]  # shard, path, words
     tokens: int
     vocabulary: int
@@ -204,9 +212,9 @@ def count(texts: DataFrame) -> Model:
     prepare(spark)
     bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     folder = new_path(spark, "pairs")
-    pairs = texts.select(F.col("text").cast("string")).mapInArrow(partial(_pairs, bits=bits), "shard int, v long, w long, c long")
-    pairs = pairs.repartition("shard").sortWithinPartitions("shard", "v", "w")
-    found = cut(pairs.mapInArrow(partial(_pair_files, folder=folder), "kind int, key long, x long, y long, path string"), "counted")
+    pairs = texts.select(F.col("text").cast("string")).mapInArrow(_pairs, "v long, w long, c int")
+    pairs = pairs.repartition(F.shiftrightunsigned("v", 64 - bits)).sortWithinPartitions(F.shiftrightunsigned("v", 64 - bits), "v", "w")
+    found = cut(pairs.mapInArrow(partial(_pair_files, folder=folder, bits=bits), "kind int, key long, x long, y long, z long, path string"), "counted")
     del pairs
     release(spark)
     words = found.where("kind = 1").groupBy("key").agg(F.sum("x").alias("c"), F.sum("y").alias("d"))
@@ -222,7 +230,7 @@ def count(texts: DataFrame) -> Model:
     mass = d[0] * of_words.get(1, 0) + d[1] * of_words.get(2, 0) + d[2] * sum(n for k, n in of_words.items() if k >= 3)
     model = Model(
         bits,
-        sorted((r["key"], r["path"], r["x"], r["y"]) for r in found.where("kind = 0").collect()),
+        sorted((r["key"], r["path"], r["x"], r["y"], r["z"]) for r in found.where("kind = 0").collect()),
         sorted((r["shard"], r["path"], r["n"]) for r in files),
         total, vocabulary, different,
         discounts([of_pairs.get(k, 0) for k in (1, 2, 3, 4)]), d, mass,
@@ -270,6 +278,8 @@ class Lookup:
             own = order[a:b]
             q = queries[own]
             for keys, columns in self.files.get(int(shards[own[0]]), []):
+                if not len(keys):
+                    continue
                 at = np.searchsorted(keys, q)
                 at[at == len(keys)] = 0
                 has = keys[at] == q
@@ -281,17 +291,19 @@ class Lookup:
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
+        once: dict[int, list] = {}
         pairs: dict[int, list] = {}
         contexts: dict[int, list] = {}
         words: dict[int, list] = {}
-        for shard, path, n, k in model.pairs:
-            key, v, total, n1, n2, n3, c = _sections(path, [(np.uint64, n), (np.uint64, k), (np.float64, k), (np.uint32, k), (np.uint32, k), (np.uint32, k), (np.uint32, n)])
+        for shard, path, n, more, k in model.pairs:
+            single, key, v, total, n1, n2, n3, c = _sections(path, [(np.uint64, n), (np.uint64, more), (np.uint64, k), (np.float64, k), (np.uint32, k), (np.uint32, k), (np.uint32, k), (np.uint32, more)])
+            once.setdefault(shard, []).append((single, [np.broadcast_to(1, n)]))
             pairs.setdefault(shard, []).append((key, [c]))
             contexts.setdefault(shard, []).append((v, [total, n1, n2, n3]))
         for shard, path, n in model.words:
             w, c, d = _sections(path, [(np.uint64, n), (np.float64, n), (np.float64, n)])
             words.setdefault(shard, []).append((w, [c, d]))
-        self.pairs, self.contexts, self.words = Lookup(pairs, 1), Lookup(contexts, 4), Lookup(words, 2)
+        self.once, self.pairs, self.contexts, self.words = Lookup(once, 1), Lookup(pairs, 1), Lookup(contexts, 4), Lookup(words, 2)
 
     def _discounted(self, c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
         return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3).astype(int)], 0)
@@ -309,6 +321,7 @@ class Scorer:
         back = d1 * n1 + d2 * n2 + d3 * n3
         key, one, of_pair = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
         (pair,) = self.pairs.find(key, v[one] >> high)
+        pair += self.once.find(key, v[one] >> high)[0]
         t, b, p = total[of_v[one]], back[of_v[one]], low[of_w[one]]
         score = np.log10(np.where(t > 0, (self._discounted(pair, m.pair_discounts) + b * p) / np.maximum(t, 1), p))
         return (c > 0)[of_w], base[of_w], score[of_pair]
