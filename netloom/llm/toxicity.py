@@ -11,25 +11,30 @@ without a shuffle: a table of 2**BITS entries maps an n-gram's hash to its weigh
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from netloom.llm.store import cut, prepare
+from netloom.llm.groups import runs
+from netloom.llm.store import cut, prepare, release
 from netloom.llm.text import batch_texts, lower_table, mix
 
-#: Buckets of n-gram hashes, as a power of two.
-BITS = 20
+#: Buckets of n-gram hashes, as a power of two, and buckets that are counted as one row.
+BITS, BLOCK = 22, 4096
+#: Bytes of an n-gram.
+SIZES = (4, 6, 8)
 
 
 class Grams:
-    """(text, bucket) of n-grams of bytes; A-Z counts as a-z, white space as one blank a byte."""
+    """Buckets of n-grams of bytes; A-Z counts as a-z, white space as one blank a byte."""
 
     def __init__(self, sizes: tuple[int, ...]):
         self.sizes = sizes
@@ -37,11 +42,9 @@ class Grams:
         self.fold[9:14] = 32
         self.letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each size, the place of each n-gram and its bucket. N-grams that cross into the
-        next text are left out."""
+    def __call__(self, raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each size, the bucket of the n-gram at each place, those across texts included."""
         x = self.letters[self.fold[raw]]
-        ends = np.repeat(offsets[1:], np.diff(offsets))
         with np.errstate(over="ignore"):
             h = np.zeros(len(x), np.uint64)
             for n in range(1, max(self.sizes) + 1):
@@ -49,9 +52,8 @@ class Grams:
                     return
                 h = h[: len(x) - n + 1] * np.uint64(0xD6E8FEB86659FD93) + x[n - 1 :]
                 if n in self.sizes:
-                    at = np.flatnonzero(np.arange(n, len(x) + 1) <= ends[: len(h)])
-                    g = h[at] ^ (h[at] >> np.uint64(29))
-                    yield at, ((g * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)
+                    g = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    yield n, (g >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 @dataclass
@@ -67,32 +69,53 @@ class Model:
 
 def _present(texts: pa.Array, grams: Grams, features: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, n, text, feature) with each pair once, for runs of n texts."""
-    width = int(features.max()) + 1 if len(features) else 0
+    width = max(1, int(features.max()) + 1 if len(features) else 0)
     for first, raw, offsets in batch_texts(texts):
         pairs = [np.zeros(0, np.int64)]
-        for at, bucket in grams(raw, offsets):
+        for n, bucket in grams(raw):
             f = features[bucket]
-            has = f >= 0
-            text = np.searchsorted(offsets, at[has], "right") - 1
-            pairs.append(np.unique(text * np.int64(max(1, width)) + f[has]))
+            at = np.flatnonzero(f >= 0)
+            text = np.searchsorted(offsets, at, "right") - 1
+            inside = at + n <= offsets[text + 1]
+            pairs.append(np.unique(text[inside] * np.int64(width) + f[at[inside]]))
         pairs = np.unique(np.concatenate(pairs))
-        yield first, len(offsets) - 1, pairs // max(1, width), pairs % max(1, width)
+        yield first, len(offsets) - 1, pairs // width, pairs % width
+
+
+def _buckets_of_texts(texts: pa.Array, grams: Grams) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, its different buckets) of each text."""
+    for first, raw, offsets in batch_texts(texts):
+        sizes = list(grams(raw))
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), first):
+            own = np.sort(np.concatenate([np.zeros(0, np.int32), *(bucket[a : max(a, b - n + 1)] for n, bucket in sizes)]))
+            yield i, own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
 def _count(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(block, counts): how many texts of label 0 and of label 1 hold each bucket of a block."""
     grams = Grams(sizes)
-    counts = np.zeros((2, 1 << BITS), np.int64)
-    all_buckets = np.arange(1 << BITS, dtype=np.int32)
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
-        labels = batch.column(1).to_numpy(zero_copy_only=False)
-        for first, _, text, bucket in _present(batch.column(0), grams, all_buckets):
-            y = labels[first + text]
-            for k in (0, 1):
-                counts[k] += np.bincount(bucket[y == k], minlength=1 << BITS)
-    seen = np.flatnonzero(counts.any(axis=0))
-    for i in range(0, len(seen), 1 << 16):
-        s = seen[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(counts[0][s]), pa.array(counts[1][s])], ["bucket", "q", "p"])
+        labels = batch.column(1).to_pylist()
+        for i, buckets in _buckets_of_texts(batch.column(0), grams):
+            counts[labels[i], buckets] += 1
+    for k in range(0, 1 << BITS, BLOCK):
+        own = counts[:, k : k + BLOCK]
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["block", "counts"])
+
+
+def _ratios(batches: Iterator[pa.RecordBatch], total: tuple[int, int], most: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, r, z) of the surest buckets of each block, from rows sorted by block."""
+    big = np.array(total, float) + 2
+    for t in runs(batches, ["block"]):
+        counts = sum(np.frombuffer(zlib.decompress(x), np.int32).reshape(2, -1).astype(np.int64) for x in t["counts"].to_pylist())
+        q, p = counts + 1.0
+        r = np.log(p / big[1]) - np.log(q / big[0])
+        z = np.abs(r) / np.sqrt(np.maximum(1e-9, 1 / p - 1 / big[1] + 1 / q - 1 / big[0]))
+        at = np.argsort(-z, kind="stable")[:most]
+        at = at[counts[:, at].any(axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array(at + t["block"][0].as_py() * BLOCK, pa.int64()), pa.array(r[at]), pa.array(z[at])], ["bucket", "r", "z"])
 
 
 def _features(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], features: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -100,23 +123,27 @@ def _features(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], feature
     for batch in batches:
         for first, n, text, feature in _present(batch.column(0), grams, features):
             ends = np.searchsorted(text, np.arange(n + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int64()))], ["label", "features"])
-
-
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights over present features x * scale, and the bias, by full-batch gradient steps (Adam)."""
-    index = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    w, b = np.zeros(len(scale)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
-    s = scale[index]
-    for t in range(1, steps + 1):
-        z = np.bincount(row, weights=w[index] * s, minlength=len(rows)) + b
-        e = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
-        g = np.append(np.bincount(index, weights=e[row] * s, minlength=len(scale)) / len(rows) + l2 * w, e.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        d = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - d[:-1], b - d[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature.astype(np.int32)))], ["label", "features"])
+
+
+def fit_logistic(index: np.ndarray, ends: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float = 1e-3, epochs: int = 30, batch: int = 1024) -> tuple[np.ndarray, float]:
+    """Weights over present features x * scale, and the bias, by mini-batches (Adam) in a fixed
+    random order. Row i has the features index[ends[i]:ends[i + 1]]."""
+    n, rng = len(y), np.random.default_rng(3)
+    w, b = np.zeros(len(scale)), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    m, v, t = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1), 0
+    for _ in range(epochs):
+        order = rng.permutation(n)
+        for k in range(0, n, batch):
+            rows, t = order[k : k + batch], t + 1
+            own = np.concatenate([np.zeros(0, np.int64), *(index[ends[i] : ends[i + 1]] for i in rows)])
+            row = np.repeat(np.arange(len(rows)), ends[rows + 1] - ends[rows])
+            s = scale[own]
+            e = (1 / (1 + np.exp(-np.clip(np.bincount(row, w[own] * s, len(rows)) + b, -35, 35))) - y[rows]) / len(rows)
+            g = np.append(np.bincount(own, e[row] * s, len(scale)) + l2 * w, e.sum())
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            d = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w, b = w - d[:-1], b - d[-1]
     return w * scale, float(b)
 
 
@@ -129,25 +156,25 @@ def bounded_sample(labelled: DataFrame, rows: int) -> DataFrame:
     return some.orderBy(F.pmod(place, F.lit(1 << 30)), "id").limit(rows)
 
 
-def train(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), max_features: int = 4096, fit_rows: int = 20_000) -> Model:
+def train(labelled: DataFrame, sizes: tuple[int, ...] = SIZES, max_features: int = 2048, fit_rows: int = 20_000) -> Model:
     """From (id, text, label) with label 0 or 1; rows with another label or none are left out."""
     prepare(labelled.sparkSession)
     labelled = labelled.where("label in (0, 1)").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
     total = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    counts = labelled.select("text", "label").mapInArrow(partial(_count, sizes=sizes), "bucket long, q long, p long")
-    counts = counts.groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
-    big_p, big_q = total.get(1, 0), total.get(0, 0)
-    p, q = F.col("p") + 1.0, F.col("q") + 1.0
-    ratio = F.log(p / (big_p + 2)) - F.log(q / (big_q + 2))
-    spread = F.sqrt(1 / p - 1 / F.lit(big_p + 2.0) + 1 / q - 1 / F.lit(big_q + 2.0))
-    best = counts.select("bucket", ratio.alias("r"), F.abs(ratio / spread).alias("z")).orderBy(F.desc("z"), "bucket").limit(max_features).collect()
+    counts = labelled.select("text", "label").mapInArrow(partial(_count, sizes=sizes), "block int, counts binary")
+    counts = counts.repartition("block").sortWithinPartitions("block")
+    ratios = counts.mapInArrow(partial(_ratios, total=(total.get(0, 0), total.get(1, 0)), most=max_features), "bucket long, r double, z double")
+    best = ratios.orderBy(F.desc("z"), "bucket").limit(max_features).collect()
     features = np.full(1 << BITS, -1, np.int32)
     features[[r["bucket"] for r in best]] = np.arange(len(best))
     scale = np.array([r["r"] for r in best])
-    rows = bounded_sample(labelled, fit_rows).select("text", "label").mapInArrow(partial(_features, sizes=sizes, features=features), "label long, features array<long>").collect()
-    if not rows:
+    rows = bounded_sample(labelled, fit_rows).select("text", "label")
+    rows = rows.mapInArrow(partial(_features, sizes=sizes, features=features), "label long, features array<int>").toArrow()
+    if not len(rows):
         return Model(sizes, features, np.zeros(len(best)), 0.0)
-    weights, bias = fit_logistic([np.array(r["features"], np.int64) for r in rows], np.array([r["label"] for r in rows], float), scale)
+    index = [x.values.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py()).to_numpy() for x in rows["features"].chunks]
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(rows["features"]).to_numpy())]).astype(np.int64)
+    weights, bias = fit_logistic(np.concatenate(index), ends, rows["label"].to_numpy().astype(float), scale)
     return Model(sizes, features, weights, bias)
 
 
@@ -178,9 +205,23 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, *more: str) -> DataFrame:
-    """(id, text, label, *more) of labelled documents that are not held out, cut: a fit reads it more than once."""
-    rows = docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", *more).join(labels_of(labels, column), "id")
-    return cut(rows.select("id", "text", "label", *more), f"train-{column}")
+    """(id, text, label, *more) of labelled documents that are not held out, cut: a fit reads it
+    more than once. Texts are shuffled once, those alone that Spark's Bloom filter of labelled
+    ids lets through (8 MB at most); its setting is for large scans only and is lowered here."""
+    spark = docs.sparkSession
+    rows = docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", *more)
+    labelled = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select(F.col("doc_id").alias("id"))
+    rows = rows.join(labelled, "id", "left_semi").join(labels_of(labels, column), "id")
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        out = cut(rows.select("id", "text", "label", *more), f"train-{column}")
+    finally:
+        spark.conf.set(key, before)
+    del rows
+    release(spark)
+    return out
 
 
 def held_out(modulus: int, remainder: int) -> Column:
