@@ -5,8 +5,11 @@
 2. The same pass gives each set its signatures. Sets a and b with sizes in a band can only
    reach the threshold if they differ in at most H shingles. The band cuts the hash space
    into more than H ranges, so that two such sets are equal in one range at least, and the
-   hash of what a set holds in a range is a signature. This loses no pair. Within a map task
-   a signature goes out once; further sets that have it are tied to the first.
+   hash of what a set holds in a range is a signature. This loses no pair. Shingles of very
+   many documents would tie strangers together, so a counting pass first marks the cells of
+   a hash table that hold them, and signatures are made of the others; only sets with too
+   little left have signatures of all their shingles, too. Any marking keeps the guarantee.
+   Within a map task a signature goes out once; further sets that have it are tied to the first.
 3. Sets with a common signature make families (connected components). A family is a tile,
    or some tiles if it is large. Only hashed bitmaps of the sets go there, about three bits a
    shingle. In a tile, sets lie in order of size; for a set, the band of sizes that can reach
@@ -19,6 +22,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,6 +38,8 @@ from netloom.llm.text import Words, batch_texts, graph_bytes, grams, mix
 
 #: Sets, and shingles, of a family that one tile holds; larger families take several.
 TILE_SETS, TILE_SHINGLES = 1024, 1 << 22
+#: Cells of the table that finds common shingles, as a power of two, and cells counted as one row.
+CELLS, CELL_BLOCK = 22, 4096
 #: A band's largest size over its smallest.
 BAND = 1.4
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -48,35 +54,104 @@ def band_starts(top: int, percent: int) -> np.ndarray:
     return np.array([*out, max(out[-1] + 1, int(out[-1] * ratio))], np.int64)
 
 
-def ranges(largest: int, percent: int) -> tuple[int, int]:
-    """For sets of at most `largest` shingles: ranges to cut the hash space into, and how
-    many of a set's ranges may be empty without signatures."""
+def ranges(largest: int, percent: int, spare: int) -> tuple[int, int]:
+    """For sets of at most `largest` shingles: ranges to cut the hash space into, and how many of
+    a set's ranges may be empty: `spare` percent more than the sets can differ in."""
     differ = 2 * largest * (100 - percent) // (100 + percent)
-    spare = -(-(differ + 1) * 6 // 100) + 2 if differ else 0
-    return differ + 1 + spare, spare
+    extra = -(-(differ + 1) * spare // 100) + 2 if differ else 0
+    return differ + 1 + extra, extra
 
 
-def signatures(shingles: np.ndarray, starts: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of one sorted set: in its own band, and in the next if a partner can be there."""
+def _by_range(shingles: np.ndarray, count: int, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures of the ranges that aren't empty, their numbers)."""
+    if not len(shingles):
+        return shingles, shingles
+    place = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+    firsts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    sums = np.add.reduceat(mix(shingles ^ _SEED), firsts)
+    with np.errstate(over="ignore"):
+        return mix(sums + mix(place[firsts] + tag)), place[firsts]
+
+
+def signatures(shingles: np.ndarray, rare: np.ndarray, starts: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of one sorted set: in its own band, and in the next if a partner can be
+    there. `rare` marks the shingles that signatures are made of.
+
+    Two linked sets are equal in more ranges than may be empty. So either one of them has a
+    range that isn't empty and equal, or both have too many empty ones, and then both have
+    signatures of all shingles, for which the same holds; there empty ranges count, too.
+    """
     n = len(shingles)
     own = int(np.searchsorted(starts, n, "right")) - 1
     out = []
     for band in (own, own + 1):
         if band > own and 100 * n < percent * int(starts[band]):
             continue
-        count, spare = ranges(int(starts[band + 1]) - 1, percent)
-        place = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        firsts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        sums = np.add.reduceat(mix(shingles ^ _SEED), firsts)
+        largest = int(starts[band + 1]) - 1
         with np.errstate(over="ignore"):
-            tag = mix(np.array([band + 1], np.uint64) * _SEED)
-            out.append(mix(sums + mix(place[firsts] + tag)))
-            if count - len(firsts) > spare:
-                empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place[firsts])
-                out.append(mix(mix(empty + tag) ^ _SEED))
+            tags = mix(np.array([2 * band + 1, 2 * band + 2], np.uint64) * _SEED)
+        count, spare = ranges(largest, percent, 25)
+        found, _ = _by_range(shingles[rare], count, tags[:1])
+        out.append(found)
+        if count - len(found) > spare:
+            count, spare = ranges(largest, percent, 6)
+            found, place = _by_range(shingles, count, tags[1:])
+            out.append(found)
+            if count - len(found) > spare:
+                empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place)
+                with np.errstate(over="ignore"):
+                    out.append(mix(mix(empty + tags[1:]) ^ _SEED))
     return np.concatenate(out)
 
 
+def _count_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(block, n, counts): shingles of different sets by cell, a block of cells a row."""
+    hashed = Words(graph_bytes())
+    counts, done = np.zeros(1 << CELLS, np.int32), set()
+    for batch in batches:
+        for _, raw, offsets in batch_texts(batch.column(0)):
+            own = [np.zeros(0, np.uint64)]
+            for s in shingle_sets(*hashed(raw, offsets), k):
+                digest = digest_of(s)
+                if digest not in done:
+                    done.add(digest)
+                    own.append(s)
+            np.add.at(counts, (np.concatenate(own) & np.uint64((1 << CELLS) - 1)).astype(np.int64), 1)
+    yield from _blocks(counts)
+
+
+def _blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, 1 << CELLS, CELL_BLOCK):
+        own = counts[i : i + CELL_BLOCK].astype(np.int64)
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i // CELL_BLOCK], pa.int32()), pa.array([int(own.sum())]), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["block", "n", "counts"])
+
+
+def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in runs(batches, ["block"]):
+        own = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in t["counts"].to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([t["block"][0].as_py()], pa.int32()), pa.array([int(own.sum())]), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["block", "n", "counts"])
+
+
+def _mark_cells(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = [np.packbits(np.frombuffer(zlib.decompress(x), np.int64) > least, bitorder="little").tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["block", "bits"])
+
+
+def common_cells(docs: DataFrame, k: int) -> np.ndarray:
+    """Whether each cell holds far more shingles than most: over four times the mean and 32."""
+    counts = docs.select("text").mapInArrow(partial(_count_cells, k=k), "block int, n long, counts binary")
+    counts = cut(counts.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_cells, "block int, n long, counts binary"), "cells")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    marks = counts.select("block", "counts").mapInArrow(partial(_mark_cells, least=4 * total / (1 << CELLS) + 32), "block int, bits binary")
+    out = np.zeros(1 << CELLS, bool)
+    for block, bits in marks.collect():  # all blocks together are a fixed half megabyte
+        out[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+    forget(counts)
+    return out
+
+
 def shingle_sets(words: np.ndarray, firsts: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """Each text's sorted set of shingles of k words; with fewer words, all of them as one."""
     whole = grams(words, k)
@@ -89,8 +164,8 @@ def shingle_sets(words: np.ndarray, firsts: np.ndarray, k: int) -> Iterator[np.n
             yield grams(words[a:b], n) if n else np.zeros(0, np.uint64)
 
 
-def _digests(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    hashed = Words(graph_bytes())
+def _digests(batches: Iterator[pa.RecordBatch], k: int, percent: int, common) -> Iterator[pa.RecordBatch]:
+    hashed, common = Words(graph_bytes()), common.value
     starts = band_starts(1 << 40, percent)
     for batch in batches:
         done: set[int] = set()
@@ -104,7 +179,8 @@ def _digests(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
                 bits.append(bitmap(s).tobytes())
                 if len(s) and digest not in done:
                     done.add(digest)
-                    keys.append(signatures(s, starts, percent))
+                    rare = ~common[(s & np.uint64((1 << CELLS) - 1)).astype(np.int64)]
+                    keys.append(signatures(s, rare, starts, percent))
                     ends.append(ends[-1] + len(keys[-1]))
                 else:
                     ends.append(ends[-1])
@@ -340,7 +416,8 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digests = cut(docs.mapInArrow(partial(_digests, k=k, percent=percent), "doc_id long, n_shingles long, node long, bits binary, keys array<long>"), "digests")
+    common = spark.sparkContext.broadcast(common_cells(docs, k))
+    digests = cut(docs.mapInArrow(partial(_digests, k=k, percent=percent, common=common), "doc_id long, n_shingles long, node long, bits binary, keys array<long>"), "digests")
     keyed = digests.where("size(keys) > 0").select("node", "keys").mapInArrow(_unroll, "key long, node long, first long")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
     families = components(keyed.mapInArrow(_meet, "a long, b long"))

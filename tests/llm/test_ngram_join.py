@@ -54,6 +54,16 @@ def test_against_all_pairs(spark):
     check(spark, rows, 5, 80)
 
 
+def test_common_passages(spark):
+    r = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = []
+    for i in range(300):
+        own = " ".join(f"o{i}x{j}" for j in range(r.choice([0, 2, 5, 30, 60])))
+        rows.append((i, f"{passage} {own}" if i % 3 else own))
+    check(spark, rows)
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, component_id string, node int")
     assert ngram_jaccard(df).collect() == []
@@ -72,4 +82,6 @@ def test_signatures_lose_no_pair():
         b = np.unique(np.concatenate([r.permutation(a)[drop:], mix(r.integers(0, 1 << 60, add).astype(np.uint64))]))
         inter = len(np.intersect1d(a, b))
         if 100 * inter >= 85 * (len(a) + len(b) - inter):
-            assert np.intersect1d(signatures(a, starts, 85), signatures(b, starts, 85)).size
+            for mask in (0, 1, 3, 7):  # none, half, three and seven of eight shingles are common
+                x, y = (signatures(s, (s & np.uint64(mask)) == 0, starts, 85) for s in (a, b))
+                assert np.intersect1d(x, y).size
