@@ -3,10 +3,11 @@ toxicity. Logistic regression is fitted over the presence of hashed byte n-grams
 scaled by its log ratio r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)), where p of the P
 positive and q of the Q negative training texts hold it.
 
-Counting covers all labelled training rows and is summed in Spark; the n-grams whose ratio
-is surest by z-score become features; the regression's weights are fitted on at most
-`fit_rows` training rows, the first by a hash of their id. Scoring is one pass over the texts
-without a shuffle: a table of 2**BITS entries maps an n-gram's hash to its weight.
+Counting covers all labelled training rows and is summed in Spark; every n-gram whose presence
+depends on the label by a likelihood ratio test is a feature, however many there are; the
+regression's weights are fitted by one task on at most `fit_rows` training rows, the first by a
+hash of their id. Scoring is one pass over the texts without a shuffle: a table of 2**BITS
+entries maps an n-gram's hash to its weight.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -31,6 +31,8 @@ from netloom.llm.text import batch_texts, lower_table, mix
 BITS, BLOCK = 22, 4096
 #: Bytes of an n-gram.
 SIZES = (4, 6, 8)
+#: Least G of a feature: one bucket in a hundred that has nothing to do with the label exceeds it.
+LEAST_G = 6.63
 
 
 class Grams:
@@ -67,21 +69,6 @@ class Model:
     bias: float
 
 
-def _present(texts: pa.Array, grams: Grams, features: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, n, text, feature) with each pair once, for runs of n texts."""
-    width = max(1, int(features.max()) + 1 if len(features) else 0)
-    for first, raw, offsets in batch_texts(texts):
-        pairs = [np.zeros(0, np.int64)]
-        for n, bucket in grams(raw):
-            f = features[bucket]
-            at = np.flatnonzero(f >= 0)
-            text = np.searchsorted(offsets, at, "right") - 1
-            inside = at + n <= offsets[text + 1]
-            pairs.append(np.unique(text[inside] * np.int64(width) + f[at[inside]]))
-        pairs = np.unique(np.concatenate(pairs))
-        yield first, len(offsets) - 1, pairs // width, pairs % width
-
-
 def _buckets_of_texts(texts: pa.Array, grams: Grams) -> Iterator[tuple[int, np.ndarray]]:
     """(number, its different buckets) of each text."""
     for first, raw, offsets in batch_texts(texts):
@@ -105,25 +92,43 @@ def _count(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...]) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
 
-def _ratios(batches: Iterator[pa.RecordBatch], total: tuple[int, int], most: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, r, z) of the surest buckets of each block, from rows sorted by block."""
+def likelihood_ratio(counts: np.ndarray, total: tuple[int, int]) -> np.ndarray:
+    """G of each bucket: twice the log likelihood that its presence gains by the label. Unlike a
+    z-score of the ratio it grows on with the texts of a bucket that one label never has."""
+    big = np.array(total, float)[:, None]
+    share = counts.sum(axis=0) / max(1.0, big.sum())
+    g = np.zeros(counts.shape[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for seen, even in ((counts, big * share), (big - counts, big * (1 - share))):
+            g += np.where(seen > 0, seen * np.log(seen / even), 0).sum(axis=0)
+    return 2 * g
+
+
+def _ratios(batches: Iterator[pa.RecordBatch], total: tuple[int, int], least: float) -> Iterator[pa.RecordBatch]:
+    """(bucket, r) of the buckets of each block that depend on the label, from rows sorted by block."""
     big = np.array(total, float) + 2
     for t in runs(batches, ["block"]):
         counts = sum(np.frombuffer(zlib.decompress(x), np.int32).reshape(2, -1).astype(np.int64) for x in t["counts"].to_pylist())
-        q, p = counts + 1.0
+        at = np.flatnonzero(likelihood_ratio(counts, total) >= least)
+        q, p = counts[:, at] + 1.0
         r = np.log(p / big[1]) - np.log(q / big[0])
-        z = np.abs(r) / np.sqrt(np.maximum(1e-9, 1 / p - 1 / big[1] + 1 / q - 1 / big[0]))
-        at = np.argsort(-z, kind="stable")[:most]
-        at = at[counts[:, at].any(axis=0)]
-        yield pa.RecordBatch.from_arrays([pa.array(at + t["block"][0].as_py() * BLOCK, pa.int64()), pa.array(r[at]), pa.array(z[at])], ["bucket", "r", "z"])
+        yield pa.RecordBatch.from_arrays([pa.array(at + t["block"][0].as_py() * BLOCK, pa.int64()), pa.array(r)], ["bucket", "r"])
 
 
-def _features(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], features: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _fit(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], given) -> Iterator[pa.RecordBatch]:
+    """(weights, bias) from all rows (text, label), as little-endian doubles."""
+    features, scale = given.value
     grams = Grams(sizes)
+    index, lengths, labels = [np.zeros(0, np.int32)], [0], [np.zeros(0)]
     for batch in batches:
-        for first, n, text, feature in _present(batch.column(0), grams, features):
-            ends = np.searchsorted(text, np.arange(n + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature.astype(np.int32)))], ["label", "features"])
+        labels.append(batch.column(1).to_numpy().astype(float))
+        for _, buckets in _buckets_of_texts(batch.column(0), grams):
+            own = features[buckets]
+            index.append(own[own >= 0])
+            lengths.append(len(index[-1]))
+    if len(labels) > 1:
+        weights, bias = fit_logistic(np.concatenate(index), np.cumsum(lengths), np.concatenate(labels), scale)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
 
 def fit_logistic(index: np.ndarray, ends: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float = 1e-3, epochs: int = 30, batch: int = 1024) -> tuple[np.ndarray, float]:
@@ -156,36 +161,32 @@ def bounded_sample(labelled: DataFrame, rows: int) -> DataFrame:
     return some.orderBy(F.pmod(place, F.lit(1 << 30)), "id").limit(rows)
 
 
-def train(labelled: DataFrame, sizes: tuple[int, ...] = SIZES, max_features: int = 2048, fit_rows: int = 20_000) -> Model:
+def train(labelled: DataFrame, sizes: tuple[int, ...] = SIZES, least: float = LEAST_G, fit_rows: int = 20_000) -> Model:
     """From (id, text, label) with label 0 or 1; rows with another label or none are left out."""
-    prepare(labelled.sparkSession)
+    spark = labelled.sparkSession
+    prepare(spark)
     labelled = labelled.where("label in (0, 1)").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
     total = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     counts = labelled.select("text", "label").mapInArrow(partial(_count, sizes=sizes), "block int, counts binary")
     counts = counts.repartition("block").sortWithinPartitions("block")
-    ratios = counts.mapInArrow(partial(_ratios, total=(total.get(0, 0), total.get(1, 0)), most=max_features), "bucket long, r double, z double")
-    best = ratios.orderBy(F.desc("z"), "bucket").limit(max_features).collect()
+    best = counts.mapInArrow(partial(_ratios, total=(total.get(0, 0), total.get(1, 0)), least=least), "bucket long, r double").toArrow().sort_by("bucket")
     features = np.full(1 << BITS, -1, np.int32)
-    features[[r["bucket"] for r in best]] = np.arange(len(best))
-    scale = np.array([r["r"] for r in best])
-    rows = bounded_sample(labelled, fit_rows).select("text", "label")
-    rows = rows.mapInArrow(partial(_features, sizes=sizes, features=features), "label long, features array<int>").toArrow()
-    if not len(rows):
+    features[best["bucket"].to_numpy()] = np.arange(len(best))
+    given = spark.sparkContext.broadcast((features, best["r"].to_numpy()))
+    rows = bounded_sample(labelled, fit_rows).select("text", "label").coalesce(1)
+    found = rows.mapInArrow(partial(_fit, sizes=sizes, given=given), "weights binary, bias double").collect()
+    if not found:
         return Model(sizes, features, np.zeros(len(best)), 0.0)
-    index = [x.values.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py()).to_numpy() for x in rows["features"].chunks]
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(rows["features"]).to_numpy())]).astype(np.int64)
-    weights, bias = fit_logistic(np.concatenate(index), ends, rows["label"].to_numpy().astype(float), scale)
-    return Model(sizes, features, weights, bias)
+    return Model(sizes, features, np.frombuffer(found[0]["weights"], "<f8"), found[0]["bias"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     model = model.value
-    grams = Grams(model.sizes)
+    grams, weights = Grams(model.sizes), np.append(model.weights, 0.0)[model.features]
     for batch in batches:
         z = np.full(batch.num_rows, model.bias)
-        for first, n, text, feature in _present(batch.column(batch.num_columns - 1), grams, model.features):
-            if len(text):
-                z[first : first + n] += np.bincount(text, weights=model.weights[feature], minlength=n)
+        for i, buckets in _buckets_of_texts(batch.column(batch.num_columns - 1), grams):
+            z[i] += weights[buckets].sum()
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], [*batch.schema.names[:-1], "score"])
 
 

@@ -38,3 +38,13 @@ def test_without_labels_and_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in toxicity(docs, none).collect()] == [0.5, 0.5]
     assert toxicity(docs.limit(0), none).collect() == []
+
+
+def test_every_toxic_word_counts(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    bad, soft = [word() for _ in range(400)], [word() for _ in range(60)]
+    docs = [(i, " ".join([*r.choices(soft, k=6), bad[i // 2 % 400] if i % 2 else r.choice(soft), *r.choices(soft, k=6)])) for i in range(16000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    out = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels).where("held_out").collect()
+    assert [r["doc_id"] for r in out if r["predicted"] != r["doc_id"] % 2] == []
