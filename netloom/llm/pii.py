@@ -234,6 +234,33 @@ _HAS = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)")
 _CHANGE: dict[str, Callable[[str, Step], str | None]] = {"card": _card, "iban": _iban, "phone": _phone, "ssn": _ssn, "ipv4": _ipv4, "date": _date, "email": _email, "secret": _secret}
 
 
+def _same(tweak: str, size: int, value: int) -> int:
+    return value
+
+
+def _ends(text: str, start: int, end: int, kind: str) -> Iterator[int]:
+    """Ends that a match may have: its own, and where its check may hold for a shorter one."""
+    yield end
+    for b in range(end - 1, start, -1):
+        if kind == "card" and text[b] in " -" or kind == "iban" and text[b] == " ":
+            yield b
+
+
+def _checked(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of what PATTERN matches: where a check fails, shorter matches of the
+    same start are tried, and the search goes on right behind the start."""
+    at = 0
+    while m := PATTERN.search(text, at):
+        start, end, kind = *m.span(), m.lastgroup
+        for b in _ends(text, start, end, kind):
+            if _CHANGE[kind](text[start:b], _same) is not None:
+                yield start, b, kind
+                at = b
+                break
+        else:
+            at = start + 1
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of formats in a text, without overlaps, in order."""
     if not _HAS.search(text):
@@ -247,7 +274,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             found.append((local.start(), host.end(), "email"))
         at = text.find("@", at + 1)
     found += [(*m.span(1), "secret") for m in SECRET.finditer(text)]
-    found += [(*m.span(), m.lastgroup) for m in PATTERN.finditer(text)]
+    found += _checked(text)
     rank = {"email": 0, "secret": 1}
     taken: list[tuple[int, int, str]] = []
     for f in sorted(found, key=lambda f: (f[0], rank.get(f[2], 2), -f[1])):
@@ -297,7 +324,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
     A null text stays null, an empty one empty; both have no spans. Equal rows give equal
     rows. An empty table gives no rows. Columns named pii_text or pii_spans are replaced.
     With `back` and the same key, values found in a rewritten text are turned back; only a
-    date with slashes that had its day first can then read as one with its month first.
+    date with slashes that had its day first can then read as one with its month first, and
+    a card or IBAN with digits or words behind it can pass its check together with them.
     """
     prepare(docs.sparkSession)
     keep = [c for c in docs.columns if c.lower() not in ("pii_text", "pii_spans")]

@@ -43,6 +43,19 @@ def test_links_and_checks():
         assert rewrite(text, F.permute) == (text, [])
 
 
+@pytest.mark.parametrize("value,after", [("4111 1111 1111 1111", " 09/27"), ("4111 1111 1111 1111", " 123"), ("DE89 3704 0044 0532 0130 00", " BIC COBADEFF"), ("DE89370400440532013000", " EUR 500")])
+def test_shorter_matches(value, after):
+    text = f"pay {value}{after}."
+    new, spans = rewrite(text, F.permute)
+    assert [(s, n) for _, s, n in spans] == [(4, len(value))] and value not in new and new.endswith(f"{after}.")
+    assert rewrite(new[4 : 4 + len(value)], F.restore)[0] == value
+
+
+def test_values_in_failed_spans():
+    for value in ("4111 1111 1111 1111", "078-05-1120"):
+        assert value not in rewrite(f"AB12 CDEF 1234 5678 {value}", F.permute)[0]
+
+
 def test_table(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "no data " * 200_000, None), (4, "é 4111111111111111", "a"), (4, "é 4111111111111111", "a"), (None, "at 1.2.3.4", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans string")
