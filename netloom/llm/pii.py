@@ -30,6 +30,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from netloom.llm.store import prepare
 
 ROUNDS = 10
+#: Characters of a secret that are permuted as one number; longer ones are permuted in blocks.
+SECRET_BLOCK = 512
 KINDS = ("card", "iban", "phone", "ssn", "ipv4", "date", "email", "secret")
 
 
@@ -213,10 +215,12 @@ def _email(text: str, step: Step) -> str | None:
 
 def _secret(text: str, step: Step) -> str | None:
     head = "AKIA" if re.fullmatch("AKIA[0-9A-Z]{16}", text) else ""
-    return head + symbols(text[len(head) :], "secret" + head, step)
+    rest = text[len(head) :]
+    blocks = (symbols(rest[k : k + SECRET_BLOCK], f"secret{head}{k or ''}", step) for k in range(0, len(rest), SECRET_BLOCK))
+    return head + "".join(blocks)
 
 
-#: Each quantifier is bounded, and each pattern starts at a rare character: linear on any text.
+#: Each quantifier is bounded or possessive, and each pattern starts at a rare character: linear on any text.
 PATTERN = re.compile(
     r"""(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
     |(?P<secret>(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))
@@ -227,7 +231,7 @@ PATTERN = re.compile(
     |(?P<phone>(?<![0-9+])\+[1-9][0-9]{0,2}(?:[\ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])|(?<![0-9+])\(?[2-9][0-9]{2}\)?[\ .-][2-9][0-9]{2}[\ .-][0-9]{4}(?![0-9]))""",
     re.VERBOSE,
 )
-SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9_+/=-]{6,512})")
+SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9_+/=-]{6,}+(?:\.[A-Za-z0-9_+/=-]++)*+)")
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})$")
 _HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _HAS = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)")
