@@ -2,7 +2,7 @@
 
 Lines that speak of licences, with near ones, are candidate blocks. A block is compressed by
 zstandard alone and with each template as raw dictionary; the template that takes the most
-off its size names it best. The best few are confirmed by their exact wording: the words of
+off its size names it best. Each that takes any off is confirmed by its exact wording: words of
 block and template are aligned, and a template holds if most of it, or most of the block
 where it says so in a line, is there. The words that differ are reported.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,13 +58,16 @@ SPEAKS = re.compile(r"(?i)licen[sc]|copyright|all\s{1,4}rights\s{1,4}reserved|pe
 #: Lines of other matter that a block may hold between candidate lines, and characters of a
 #: line that are one piece; a longer line is taken in pieces that end at blanks.
 GAP, PIECE = 2, 2000
-#: Templates whose wording is looked at, and how much must be there.
-RANKED, HELD_SHARE = 3, 0.8
+#: How much of a template's wording must be there.
+HELD_SHARE = 0.8
+
+
+WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
 def words(text: str) -> list[str]:
     """Words for comparison: letters, digits and inner points; case and layout don't count."""
-    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
+    return [m.group().lower() for m in WORD.finditer(text)]
 
 
 def pieces(text: str) -> Iterator[tuple[int, int]]:
@@ -116,48 +120,56 @@ class Matcher:
         self.given = [zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(t.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in folded]
         self.best = lru_cache(1 << 12)(self._best)
 
-    def _best(self, block: str) -> tuple[str, str, float, float, str] | None:
-        """(licence, kind, size reduction, share of words in place, differences) of the best
-        template whose wording holds."""
+    def _best(self, block: str) -> tuple[str, str, float, float, str, int, int] | None:
+        """(licence, kind, size reduction, share of words in place, differences, first, last word)
+        of the template that takes the most off among those whose wording holds."""
         own = words(block)
         data = " ".join(own).encode()
         if not data:
             return None
         alone = len(self.plain.compress(data))
-        saved = sorted(((1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-        held = []
-        for reduction, i in saved[:RANKED]:
+        held, there = [], Counter(own)
+        for i, c in enumerate(self.given):
             name, kind, _ = TEMPLATES[i]
             want = self.words[i]
+            if (Counter(want) & there).total() < HELD_SHARE * len(want):
+                continue
+            reduction = 1 - len(c.compress(data)) / alone
             same = difflib.SequenceMatcher(None, want, own, autojunk=False)
             share = sum(m.size for m in same.get_matching_blocks()) / len(want)
             numbers = {w for w in want if any(c.isdigit() for c in w)}
             if reduction <= 0 or share < HELD_SHARE or not numbers <= set(own):
                 continue
             changes = [f"-{' '.join(want[a:b])}+{' '.join(own[c:d])}" for op, a, b, c, d in same.get_opcodes() if op != "equal" and (b > a or c not in (0,) and d != len(own))]
-            held.append((share, reduction, -i, name, kind, "; ".join(changes)))
+            runs = [m for m in same.get_matching_blocks() if m.size > 2] or [m for m in same.get_matching_blocks() if m.size]
+            held.append((reduction, share, -i, name, kind, "; ".join(changes), runs[0].b, runs[-1].b + runs[-1].size))
         if not held:
             return None
-        share, reduction, _, name, kind, changes = max(held)
-        return name, kind, round(reduction, 6), round(share, 6), changes
+        reduction, share, _, name, kind, changes, first, last = max(held)
+        return name, kind, round(reduction, 6), round(share, 6), changes, first, last
 
 
 _FOUND = pa.list_(pa.struct([("licence", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("reduction", pa.float64()), ("share", pa.float64()), ("differences", pa.string())]))
 
 
 def scan(text: str, matcher: Matcher) -> list[dict]:
-    """The confirmed blocks of a text in order. A block that no template holds may have a
-    notice among other matter: its lines are looked at, and then their sentences."""
-    out = []
-    open_blocks = blocks(text)[::-1]
-    while open_blocks:
-        a, b = open_blocks.pop()
+    """The confirmed blocks of a text in order. Pieces of a block that a notice names, or that
+    no template holds, are looked at first for themselves, and then their sentences; what stands
+    before and behind the words of a licence's text is looked at as a block of its own."""
+
+    def look(a: int, b: int) -> list[dict]:
         best = matcher.best(text[a:b])
-        if best:
-            out.append(_row(a, b - a, best))
-        else:
-            open_blocks += list(parts(text, a, b))[::-1]
-    return out
+        if not best or best[1] == "notice":
+            inner = [x for part in parts(text, a, b) for x in look(*part)]
+            return inner or ([_row(a, b - a, best[:5])] if best else [])
+        places = [m.span() for m in WORD.finditer(text, a, b)]
+        first, last = places[best[5]][0], places[best[6] - 1][1]
+        rest = [look(x, y) if SPEAKS.search(text, x, y) else [] for x, y in ((a, first), (last, b))]
+        if any(rest):
+            return [*rest[0], _row(first, last - first, best[:5]), *rest[1]]
+        return [_row(a, b - a, best[:5])]
+
+    return [x for a, b in blocks(text) for x in look(a, b)]
 
 
 def _row(start: int, length: int, best: tuple) -> dict:

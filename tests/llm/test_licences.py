@@ -24,6 +24,15 @@ def test_versions_and_changes():
         assert names(t) == []
 
 
+def test_all_licences_of_a_block():
+    by = lambda name, kind: next(t for n, k, t in TEMPLATES if (n, k) == (name, kind))
+    names = lambda t: [f["licence"] for f in scan(t, M)]
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    assert names(f"{mit}\n{apache}") == ["MIT", "Apache-2.0"] and names(f"{apache} {mit}") == ["Apache-2.0", "MIT"]
+    assert names(by("MIT", "text") + "\n" + by("ISC", "text")) == ["MIT", "ISC"]
+    assert names(by("MIT", "text") + "\n" + apache) == ["MIT", "Apache-2.0"]
+
+
 def test_places():
     t = FILL + "\n" + "Released under the MIT License." + "\n" + FILL * 2
     (f,) = scan(t, M)
