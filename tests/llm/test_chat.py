@@ -32,3 +32,36 @@ def test_trees(spark):
     # means: root left leaf-a 1.6/3, root right leaf-c 1.6/3, root right leaf-b 1.4/3; ties by path
     assert out[1, 1] == b and out[1, 2] == a
     assert out[2, 1] == "".join(turn("user", str(i)) for i in range(11)) and (2, 2) not in out
+
+
+def test_deep_and_forked_trees(spark):
+    import random
+
+    r = random.Random(5)
+    trees = {1: [None] + list(range(400)), 2: [None], 3: [None], None: [None, 0, 1, 1]}
+    trees[2] += [max(0, i - 1 - r.randrange(2)) for i in range(1, 300)]  # forks all the way down
+    trees[3] += [r.randrange(i) for i in range(1, 200)]
+    rows = [(t, i, p, "user" if i % 2 else "assistant", f"{t}.{i}", r.choice([0.0, 0.25, 0.5, 1.0])) for t, parents in trees.items() for i, p in enumerate(parents)]
+    # circles with and without forks, longer than some trees, and what hangs below them
+    rows += [(1, 1000 + i, 1000 + (i + 1) % 37, "user", "circle", 9.0) for i in range(37)] + [(1, 2000 + i, 1000, "user", "below", 9.0) for i in range(5)] + [(3, 900, 901, "user", "lost", 9.0), (3, 902, 900, "user", "lost", 9.0)]
+    df = spark.createDataFrame([(*x, "old") for x in rows], SCHEMA).repartition(4)
+    tracker, group = spark.sparkContext.statusTracker(), "chat-deep"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {(x["tree_id"], x["rank"]): x["conversation"] for x in chat_format(df.where("tree_id = 1 and node_id < 400"), unique=True).collect()}
+    assert len(tracker.getJobIdsForGroup(group)) <= 50
+    spark.sparkContext.setJobGroup("rest", "rest")
+    text = lambda path, t: "".join(f"<|im_start|>{'user' if i % 2 else 'assistant'}\n{t}.{i}<|im_end|>\n" for i in path)
+    assert got == {(1, 1): text(range(400), 1)}
+    want = {}
+    for t, parents in trees.items():
+        score = {x[1]: x[5] for x in rows if x[0] == t}
+        paths = []
+        for leaf in set(range(len(parents))) - set(parents):
+            path = [leaf]
+            while parents[path[-1]] is not None:
+                path.append(parents[path[-1]])
+            paths.append((-sum(score[i] for i in path) / len(path), leaf, path[::-1]))
+        for rank, (_, _, path) in enumerate(sorted(paths)[:3], 1):
+            want[t, rank] = text(path, t)
+    assert {(x["tree_id"], x["rank"]): x["conversation"] for x in chat_format(df, top=3).collect()} == want
+    assert chat_format(df.limit(0)).collect() == []
