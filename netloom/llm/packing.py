@@ -18,7 +18,6 @@ rows. A piece's number among the pieces of its length picks its sequence and off
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -30,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netloom.llm.bpe import WordIds
 from netloom.llm.store import cut, prepare
 from netloom.llm.text import batch_texts
 
@@ -37,65 +37,14 @@ from netloom.llm.text import batch_texts
 Class = tuple[int, list[tuple[int, int, int]]]
 
 
-class WordIds(dict):
-    """The ids of a word as little-endian 32-bit numbers. The tokenizer splits at white space
-    and drops it, so a text's ids are those of its words; it lowers case, so a-z will do for A-Z
-    but in special tokens, which have "<|"."""
-
-    HELD = 600_000
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.mark_id, mark = max(self.tokenizer.get_added_tokens_decoder().items())
-        self.mark = mark.content
-
-    @classmethod
-    def of_worker(cls, path: str) -> WordIds:
-        """The same object for all tasks that a worker process runs: words learnt once stay.
-        Globals of functions that are pickled by value are new in each task, so it is kept
-        on the library's module."""
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tokenizers
-
-        held = getattr(tokenizers, "_netloom_word_ids", None)
-        if held is None or held[0] != path:
-            held = tokenizers._netloom_word_ids = (path, cls(path))
-        return held[1]
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.HELD:
-            self.clear()
-            new = list(words)
-        # many words are encoded at once, with a special token between them whose id parts them
-        plain = [w for w in new if b"<|" not in w]
-        for i in range(0, len(plain), 4096):
-            own = plain[i : i + 4096]
-            ids = self._encode(self.mark.join(w.decode() for w in own))
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            first = 0
-            for w, last in zip(own, ends, strict=True):
-                self[w] = ids[first:last].tobytes()
-                first = last + 1
-        for w in new:
-            if b"<|" in w:
-                self[w] = self._encode(w.decode()).tobytes()
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
-    ids = WordIds.of_worker(path)
+    ids = WordIds(path)
     task = TaskContext.get().partitionId()
     seen = np.zeros(size + 1, np.int64)
     for batch in batches:
-        for first, raw, offsets in batch_texts(batch.column(1), 1 << 20):
-            data, ends = raw.tobytes(), offsets.tolist()
-            data = data if b"<|" in data else data.lower()
-            texts = [data[a:b].split() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for first, raw, offsets in batch_texts(batch.column(1), 1 << 22):
+            texts = ids.words(raw.tobytes(), offsets.tolist())
             ids.learn(set().union(*texts))
             out: list[tuple[int, int, int, int, int, int]] = []
             for i, words in enumerate(texts, first):
@@ -312,5 +261,6 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, size: int = 204
     plan = spark.sparkContext.broadcast(plan_rows(plan_classes(by_length, size // 8 if small is None else small, groups)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = pieces.join(counts, ["length", "task"]).withColumn("number", F.col("before") + F.col("rank"))
+    # as many counts as tasks and lengths: too many to broadcast where there are many tasks
+    numbered = pieces.join(counts.hint("merge"), ["length", "task"]).withColumn("number", F.col("before") + F.col("rank"))
     return numbered.mapInArrow(partial(_assign, plan=plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
