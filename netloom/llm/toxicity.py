@@ -1,5 +1,5 @@
 """A character n-gram linear classifier with naive Bayes log-count ratios (NB-LR), for
-toxicity. Logistic regression is fitted over the presence of hashed byte n-grams, each
+toxicity. Logistic regression is fitted over the presence of hashed n-grams of characters, each
 scaled by its log ratio r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)), where p of the P
 positive and q of the Q negative training texts hold it.
 
@@ -29,24 +29,37 @@ from netloom.llm.text import batch_texts, lower_table, mix
 
 #: Buckets of n-gram hashes, as a power of two, and buckets that are counted as one row.
 BITS, BLOCK = 22, 4096
-#: Bytes of an n-gram.
+#: Characters of an n-gram. Held out at sf0.1 (97 toxic): 4, 6, 8 recall 0.845, precision 0.988;
+#: 3, 4, 5 recall 0.784, precision 1.000; 3, 4, 5, 6 recall 0.835, precision 0.988.
 SIZES = (4, 6, 8)
 #: Least G of a feature: one bucket in a hundred that has nothing to do with the label exceeds it.
 LEAST_G = 6.63
 
 
 class Grams:
-    """Buckets of n-grams of bytes; A-Z counts as a-z, white space as one blank a byte."""
+    """Buckets of n-grams of characters; A-Z counts as a-z, each character of ASCII white space
+    as one blank."""
 
     def __init__(self, sizes: tuple[int, ...]):
         self.sizes = sizes
-        self.fold = lower_table()
-        self.fold[9:14] = 32
-        self.letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def __call__(self, raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each size, the bucket of the n-gram at each place, those across texts included."""
-        x = self.letters[self.fold[raw]]
+        fold = lower_table()
+        fold[9:14] = 32
+        # a character's number is the sum of those of its bytes, by their place in it
+        self.letters = mix((np.arange(4, dtype=np.uint64)[:, None] * np.uint64(256) + fold + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+    def characters(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a number for each character, the first character of each text and their total). A
+        byte that goes on with no character counts to the one before it."""
+        first = (raw & 0xC0) != 0x80
+        if first.all():
+            return self.letters[0][raw], offsets
+        first[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(first)
+        place = np.minimum(np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))), 3)
+        return np.add.reduceat(self.letters[place, raw], starts), np.append(0, np.cumsum(first))[offsets]
+
+    def __call__(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each size, the bucket of the n-gram at each character, those across texts included."""
         with np.errstate(over="ignore"):
             h = np.zeros(len(x), np.uint64)
             for n in range(1, max(self.sizes) + 1):
@@ -72,7 +85,8 @@ class Model:
 def _buckets_of_texts(texts: pa.Array, grams: Grams) -> Iterator[tuple[int, np.ndarray]]:
     """(number, its different buckets) of each text."""
     for first, raw, offsets in batch_texts(texts):
-        sizes = list(grams(raw))
+        x, offsets = grams.characters(raw, offsets)
+        sizes = list(grams(x))
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), first):
             own = np.sort(np.concatenate([np.zeros(0, np.int32), *(bucket[a : max(a, b - n + 1)] for n, bucket in sizes)]))
             yield i, own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
@@ -152,6 +166,10 @@ def fit_logistic(index: np.ndarray, ends: np.ndarray, y: np.ndarray, scale: np.n
     return w * scale, float(b)
 
 
+def logistic(z: np.ndarray) -> np.ndarray:
+    return np.where(z > -700, 1 / (1 + np.exp(-np.clip(z, -700, 700))), 0.0)
+
+
 def bounded_sample(labelled: DataFrame, rows: int) -> DataFrame:
     """At most `rows` rows, the first by a hash of their id: nearly all of `rows`, or all there are.
     Only rows under a hash bound that lets about a tenth more through are sorted."""
@@ -162,7 +180,8 @@ def bounded_sample(labelled: DataFrame, rows: int) -> DataFrame:
 
 
 def train(labelled: DataFrame, sizes: tuple[int, ...] = SIZES, least: float = LEAST_G, fit_rows: int = 20_000) -> Model:
-    """From (id, text, label) with label 0 or 1; rows with another label or none are left out."""
+    """From (id, text, label) with label 0 or 1; rows with another label or none are left out.
+    Without any, nothing is known to be of label 1, and every score is 0."""
     spark = labelled.sparkSession
     prepare(spark)
     labelled = labelled.where("label in (0, 1)").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
@@ -176,28 +195,30 @@ def train(labelled: DataFrame, sizes: tuple[int, ...] = SIZES, least: float = LE
     rows = bounded_sample(labelled, fit_rows).select("text", "label").coalesce(1)
     found = rows.mapInArrow(partial(_fit, sizes=sizes, given=given), "weights binary, bias double").collect()
     if not found:
-        return Model(sizes, features, np.zeros(len(best)), 0.0)
+        return Model(sizes, features, np.zeros(len(best)), -np.inf)
     return Model(sizes, features, np.frombuffer(found[0]["weights"], "<f8"), found[0]["bias"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, at: int, out: int) -> Iterator[pa.RecordBatch]:
     model = model.value
     grams, weights = Grams(model.sizes), np.append(model.weights, 0.0)[model.features]
     for batch in batches:
         z = np.full(batch.num_rows, model.bias)
-        for i, buckets in _buckets_of_texts(batch.column(batch.num_columns - 1), grams):
+        for i, buckets in _buckets_of_texts(batch.column(at), grams):
             z[i] += weights[buckets].sum()
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], [*batch.schema.names[:-1], "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:out], pa.array(logistic(z))], [*batch.schema.names[:out], "score"])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of `docs` (all, if not given) and a last column `score`, for a null or
-    empty text, too; a column of that name already there is replaced."""
+    empty text, too; a column of that name already there is replaced. The text goes to Python
+    once, whether it is kept or not."""
     prepare(docs.sparkSession)
     keep = [c for c in keep or docs.columns if c.lower() != "score"]
-    wide = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce("text", F.lit("")).alias("score"))
-    fields = StructType([*wide.schema.fields[:-1], StructField("score", DoubleType())])
-    return wide.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model)), fields)
+    at = [c.lower() for c in [*keep, "text"]].index("text")
+    wide = docs.select(*(F.col(f"`{c}`") for c in keep), *([F.col("text")] if at == len(keep) else []))
+    fields = StructType([*wide.schema.fields[: len(keep)], StructField("score", DoubleType())])
+    return wide.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), at=at, out=len(keep)), fields)
 
 
 def labels_of(labels: DataFrame, column: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 import zlib
 
-from netloom.llm.toxicity import toxicity
+import numpy as np
+import pyarrow as pa
+
+from netloom.llm.toxicity import Grams, _buckets_of_texts, toxicity
 
 
 def tables(spark, n=600):
@@ -36,7 +39,8 @@ def test_held_out_accuracy(spark):
 def test_without_labels_and_documents(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert [r["score"] for r in toxicity(docs, none).collect()] == [0.5, 0.5]
+    assert [r["score"] for r in toxicity(docs, none).collect()] == [0.0, 0.0]
+    assert [r["predicted"] for r in toxicity(docs, none).collect()] == [0, 0]
     assert toxicity(docs.limit(0), none).collect() == []
 
 
@@ -48,3 +52,23 @@ def test_every_toxic_word_counts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
     out = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels).where("held_out").collect()
     assert [r["doc_id"] for r in out if r["predicted"] != r["doc_id"] % 2] == []
+
+
+def test_buckets_are_those_of_characters():
+    texts = ["", "été", "Été à la\tmer", "токсичный текст", "中文字符测试", "a😀b😀c", "plain Text", "x"]
+    grams = Grams((2, 3))
+    got = {i: set(b.tolist()) for i, b in _buckets_of_texts(pa.array(texts), grams)}
+    # each text for itself, its n-grams one by one: as many as there are, equal ones equal
+    of = {}
+    for i, t in enumerate(texts):
+        t = "".join(c.lower() if c.isascii() else c for c in t).replace("\t", " ")
+        want = set()
+        for n in (2, 3):
+            for k in range(len(t) - n + 1):
+                one = Grams((n,))
+                x, _ = one.characters(np.frombuffer(t[k : k + n].encode(), np.uint8), np.array([0, len(t[k : k + n].encode())]))
+                (bucket,) = next(iter(one(x)))[1].tolist()
+                assert of.setdefault(t[k : k + n], bucket) == bucket
+                want.add(bucket)
+        assert got[i] == want
+    assert len(set(of.values())) == len(of)
