@@ -10,8 +10,8 @@
    a hash table that hold them, and signatures are made of the others; only sets with too
    little left have signatures of all their shingles, too. Any marking keeps the guarantee.
    Within a map task a signature goes out once; further sets that have it are tied to the first.
-3. Sets with a common signature make families (connected components). A family is a tile,
-   or some tiles if it is large. Only hashed bitmaps of the sets go there, about three bits a
+3. Sets with a common signature make families (connected components). A family is a tile, or
+   if it is large, dealt into parts by size, of which those make tiles that can link. Only hashed bitmaps of the sets go there, about three bits a
    shingle. In a tile, sets lie in order of size; for a set, the band of sizes that can reach
    the threshold counts, and bit counts bound the overlap from above. Sets that a bound lets
    through make smaller families; most sets are in none.
@@ -28,7 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.graph import components, forest
@@ -392,13 +392,28 @@ def _exact_tiles(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Ite
     yield _pairs_batch(links)
 
 
-def tiled(members: DataFrame) -> DataFrame:
-    """`members` (node, n, family, ...) with the tiles of each: a family of more sets or
-    shingles than a tile holds is dealt into parts, and any two parts meet in one tile."""
-    parts = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
-    tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, part) * F.col("parts").cast("long") + F.greatest(j, part))
-    return members.join(parts, "family").withColumn("tile", F.explode(tile)).drop("parts")
+def tiled(members: DataFrame, percent: int) -> DataFrame:
+    """`members` (node, n, family, ...) with the tiles of each. A family of more sets or shingles
+    than a tile holds is dealt into parts by size, equal sizes by a hash; two parts meet in a
+    tile where the largest set of one can reach the threshold with the smallest of the other."""
+    cost = F.greatest(F.lit(1 / TILE_SETS), F.col("n") / TILE_SHINGLES)
+    whole = members.join(members.groupBy("family").agg(F.ceil(F.sum(cost)).alias("parts")), "family")
+    small = whole.where("parts = 1").drop("parts").withColumn("tile", F.lit(0).cast("long"))
+    large = whole.where("parts > 1").drop("parts")
+    # places on a line, from counts by size: a family's rows themselves are never in one task
+    sizes = large.groupBy("family", "n").agg(F.count("*").alias("sets"))
+    before = F.sum(F.col("sets") * cost).over(Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("before", F.coalesce(before, F.lit(0.0)))
+    place = F.col("before") + F.pmod(F.xxhash64("node"), "sets") * cost
+    large = large.join(sizes, ["family", "n"]).withColumn("part", F.floor(place).cast("int")).drop("sets", "before")
+    parts = large.groupBy("family", "part").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    low = parts.select("family", F.col("part").alias("low"), F.col("most_n").alias("low_n"))
+    high = parts.select("family", F.col("part").alias("high"), F.col("least_n").alias("high_n"))
+    meet = low.join(high, "family").where((F.col("low") <= F.col("high")) & (100 * F.col("low_n") >= percent * F.col("high_n")))
+    tile = F.shiftleft(F.col("low").cast("long"), 31) + F.col("high")
+    meet = meet.select("family", tile.alias("tile"), F.explode(F.array_distinct(F.array("low", "high"))).alias("part"))
+    large = large.join(meet, ["family", "part"]).select(*members.columns, "tile")
+    return small.select(*members.columns, "tile").unionByName(large)
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,7 +421,8 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of distinct
     shingles of k words; component_id is the smallest id that links reach. A null or empty
-    text, or one without words, has no shingle and no link: its component is its own id.
+    text, or one without words, has no shingle and no link: its component is its own id; long
+    texts count whole.
     Rows with equal text are linked, repeated ids too; a null id stays null and counts for
     nothing in a component's smallest id (a component of null ids alone is null). An empty
     table gives no rows. Other columns of `docs` are not read.
@@ -429,10 +445,10 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     # one text stands for all copies of a set, that of the smallest id
     nodes = cut(digests.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "nodes")
     digests = digests.drop("bits")
-    near = tiled(nodes.join(families, "node").select("node", "n", "bits", F.col("component").alias("family")))
+    near = tiled(nodes.join(families, "node").select("node", "n", "bits", F.col("component").alias("family")), percent)
     near = near.select("family", "tile", "node", "n", "bits").repartition("family", "tile").sortWithinPartitions("family", "tile", "node")
     families = components(near.mapInArrow(partial(_bounded_tiles, percent=percent), "a long, b long"))
-    members = tiled(nodes.join(families, "node").select("node", "least", "n", F.col("component").alias("family")))
+    members = tiled(nodes.join(families, "node").select("node", "least", "n", F.col("component").alias("family")), percent)
     placed = docs.join(members, F.col("doc_id").eqNullSafe(F.col("least"))).select("family", "tile", "node", F.xxhash64("text").alias("copy"), "text")
     placed = placed.repartition("family", "tile").sortWithinPartitions("family", "tile", "node", "copy")
     found = components(placed.mapInArrow(partial(_exact_tiles, k=k, percent=percent), "a long, b long"))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from netloom.llm import ngram_join
 from netloom.llm.ngram_join import ngram_jaccard, signatures, band_starts
 from netloom.llm.text import mix
 
@@ -85,3 +86,22 @@ def test_signatures_lose_no_pair():
             for mask in (0, 1, 3, 7):  # none, half, three and seven of eight shingles are common
                 x, y = (signatures(s, (s & np.uint64(mask)) == 0, starts, 85) for s in (a, b))
                 assert np.intersect1d(x, y).size
+
+
+def test_large_families_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 7)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    # a chain of sets that grow: neighbours link, far ones don't; and many of one size
+    rows = [(i, " ".join(base[: 40 + 2 * i])) for i in range(60)]
+    rows += [(100 + i, " ".join([*base[:80], f"own{i}", *base[81:120]])) for i in range(40)]
+    rows += [(200 + i, " ".join(r.choices(base, k=60))) for i in range(10)]
+    check(spark, rows)
+    members = spark.createDataFrame([(i, 40 + i % 90, i % 3) for i in range(300)], "node long, n long, family long")
+    out = ngram_join.tiled(members, 85).collect()
+    tiles = {}
+    for x in out:
+        tiles.setdefault((x["family"], x["tile"]), set()).add((x["node"], x["n"]))
+    met = {(a, b) for t in tiles.values() for a, _ in t for b, _ in t}
+    want = {(i, j) for i in range(300) for j in range(300) if i % 3 == j % 3 and 100 * min(40 + i % 90, 40 + j % 90) >= 85 * max(40 + i % 90, 40 + j % 90)}
+    assert want <= met and len(out) < 0.7 * sum(100 // 7 + 1 for _ in range(300)) and max(map(len, tiles.values())) <= 40
