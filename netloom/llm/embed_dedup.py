@@ -30,7 +30,7 @@ from netloom.llm.groups import runs
 from netloom.llm.store import cut, prepare
 
 #: Nodes in a block, rows of a strip.
-BLOCK, STRIP = 4096, 512
+BLOCK, STRIP = 12288, 512
 #: Leading coordinates after which bounds are looked at.
 STEPS = (16, 32)
 #: For rounding in single-precision bounds.
@@ -76,10 +76,12 @@ def _lead(batches: Iterator[pa.RecordBatch], axis: np.ndarray) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.float64())], [*batch.schema.names, "lead"])
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) of rows of a and b with a cosine of at least `least`; of one block, i < j."""
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    ya, yb = (a / na[:, None]) @ axes, (b / nb[:, None]) @ axes
+    ya, yb = a / na[:, None], b / nb[:, None]
+    if axes is not None:
+        ya, yb = ya @ axes, yb @ axes
     d = ya.shape[1]
     steps = [s for s in STEPS if s < d] or [d]
 
@@ -110,7 +112,7 @@ def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, sam
                 yield x[ok], y[ok]
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], axes: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], axes: np.ndarray | None, least: float) -> Iterator[pa.RecordBatch]:
     """(a, b, n): links of a forest with n null, and a node's number of links with b null."""
     for tile in runs(batches, ["low", "high"]):
         block, low, high = (tile[c].to_numpy() for c in ("block", "low", "high"))
@@ -133,34 +135,16 @@ def _tiles(batches: Iterator[pa.RecordBatch], axes: np.ndarray, least: float) ->
         yield pa.RecordBatch.from_arrays([pa.array(node[has]), pa.nulls(len(has), pa.int64()), pa.array(links[has].astype(np.int64))], ["a", "b", "n"])
 
 
-def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept), a row for each row of `vectors`.
-
-    Vectors link when their cosine in double precision is at least `least` (over 0). Null
-    and zero vectors, such with null or non-finite components, and those of other lengths than
-    most link with nothing: n_links is 0 and component_id their own id. Equal vectors link,
-    rows with equal ids too; component_id is the smallest id that links reach, null ids left
-    out; a null id is never kept. An empty table gives no rows; other columns are not read.
-    """
-    spark = vectors.sparkSession
-    prepare(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    rows = rows.mapInArrow(_clean, "vec_id long, dims int, vector binary")
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    best = rows.where("dims > 0").groupBy("dims").count().orderBy(F.desc("count"), F.desc("dims")).first()
-    dims = best["dims"] if best else 0
-    # copies of a vector are one node, which the smallest of their rows names
-    nodes = rows.where(F.col("dims") == dims).where("vector is not null").groupBy("vector").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
-    nodes = cut(nodes, "nodes")
+def blocked(nodes: DataFrame, dims: int, least: float) -> tuple[DataFrame, np.ndarray]:
+    """(low, high, block, node, copies, vector), the tiles of vectors of one length in order of
+    their first principal axis, and all axes."""
     moments = np.zeros(dims * dims)
     for at, m in nodes.select("vector", "copies").mapInArrow(_moments, "at long, moment double").groupBy("at").agg(F.sum("moment")).collect():  # d * d rows
         moments[at] = m
-    axes = np.linalg.eigh(moments.reshape(dims, dims))[1][:, ::-1].copy() if dims else np.zeros((0, 0))
-    total = nodes.count()
-    blocks = max(1, -(-total // BLOCK))
-    led = nodes.mapInArrow(partial(_lead, axis=axes[:, 0] if dims else np.zeros(0)), "vector binary, node long, copies long, least_id long, lead double")
-    led = led.repartitionByRange(blocks, "lead").withColumn("part", F.spark_partition_id())
-    led = cut(led, "ordered")
+    axes = np.linalg.eigh(moments.reshape(dims, dims))[1][:, ::-1].copy()
+    blocks = max(1, -(-nodes.count() // BLOCK))
+    led = nodes.select("vector", "node", "copies").mapInArrow(partial(_lead, axis=axes[:, 0]), "vector binary, node long, copies long, lead double")
+    led = cut(led.repartitionByRange(blocks, "lead").withColumn("part", F.spark_partition_id()), "ordered")
     parts = (led.agg(F.max("part")).first()[0] or 0) + 1
     led = led.withColumn("block", F.floor(F.col("part") * blocks / parts).cast("int")) if parts > blocks else led.withColumn("block", F.col("part"))
     ends = led.groupBy("block").agg(F.min("lead").alias("from"), F.max("lead").alias("to"))
@@ -171,9 +155,39 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     y = ends.select(F.col("block").alias("high"), F.col("from").alias("start"), cell("from").alias("cell"))
     spans = x.join(y, "cell").where("high >= low").where(F.col("start") - F.col("end") <= apart).select("low", "high")
     spans = spans.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    placed = led.join(spans, "block").select("low", "high", "block", "node", "copies", "vector")
-    placed = placed.repartition("low", "high").sortWithinPartitions("low", "high")
-    found = cut(placed.mapInArrow(partial(_tiles, axes=axes, least=least), "a long, b long, n long"), "tiles")
+    return led.join(spans, "block").select("low", "high", "block", "node", "copies", "vector"), axes
+
+
+def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, n_links, component_id, kept), a row for each row of `vectors`.
+
+    Vectors link when they have one length and their cosine in double precision is at least
+    `least` (over 0). Null and zero vectors and such with null or non-finite components link
+    with nothing: n_links is 0 and component_id their own id. Each length is compared within
+    itself. Equal vectors link, rows with equal ids too; component_id is the smallest id that
+    links reach, null ids left out; a null id is never kept. An empty table gives no rows; other
+    columns are not read.
+    """
+    spark = vectors.sparkSession
+    prepare(spark)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
+    rows = rows.mapInArrow(_clean, "vec_id long, dims int, vector binary")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    # copies of a vector are one node, which the smallest of their rows names
+    nodes = rows.where("vector is not null").groupBy("dims", "vector").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
+    nodes = cut(nodes, "nodes")
+    # lengths with more nodes than a block, and in any case the commonest, have axes of their own
+    lengths = nodes.groupBy("dims").agg(F.count("*").alias("n"))
+    top = lengths.orderBy(F.desc("n"), F.desc("dims")).limit(1).unionByName(lengths.where(F.col("n") > BLOCK)).distinct()
+    large = [r["dims"] for r in top.select("dims").collect()]
+    small = nodes.where(~F.col("dims").isin(large)) if large else nodes
+    tiles = [(small.select(F.col("dims").alias("low"), F.col("dims").alias("high"), F.col("dims").alias("block"), "node", "copies", "vector"), None)]
+    tiles += [blocked(nodes.where(F.col("dims") == d), d, least) for d in large]
+    parts = []
+    for placed, axes in tiles:
+        placed = placed.repartition("low", "high").sortWithinPartitions("low", "high")
+        parts.append(cut(placed.mapInArrow(partial(_tiles, axes=axes, least=least), "a long, b long, n long"), "tiles"))
+    found = spark.read.schema(parts[0].schema).parquet(*(x.cut_path for x in parts))
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     label = components(found.where("b is not null").select("a", "b"))
     named = nodes.join(links.withColumnRenamed("a", "node"), "node", "left").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
