@@ -58,6 +58,9 @@ SPEAKS = re.compile(r"(?i)licen[sc]|copyright|all\s{1,4}rights\s{1,4}reserved|pe
 #: Lines of other matter that a block may hold between candidate lines, and characters of a
 #: line that are one piece; a longer line is taken in pieces that end at blanks.
 GAP, PIECE = 2, 2000
+#: Characters of a window of a long block, and how much the next one holds of it: more than any
+#: template's wording, so that each lies whole in one.
+SPAN, SHARED = 8000, 4000
 #: How much of a template's wording must be there.
 HELD_SHARE = 0.8
 
@@ -89,7 +92,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
     last = -GAP - 2
     for k, (a, b) in enumerate(pieces(text)):
         if SPEAKS.search(text, a, b):
-            if out and k - last <= GAP + 1 and b - out[-1][0] <= 2 * PIECE:
+            if out and k - last <= GAP + 1:
                 out[-1][1] = b
             else:
                 out.append([a, b])
@@ -97,6 +100,28 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def windows(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of what is looked at at once of a block: all of it, or if it is long, windows
+    that begin and end at blanks where there are some."""
+    while end - start > SPAN:
+        cut = text.rfind(" ", start + SPAN - 1000, start + SPAN) + 1 or start + SPAN
+        yield start, cut
+        start = text.rfind(" ", cut - SHARED - 1000, cut - SHARED) + 1 or cut - SHARED
+    yield start, end
+
+
+def merged(rows: list[dict]) -> list[dict]:
+    """Of rows of one licence that overlap, the one with more of the wording."""
+    out: list[dict] = []
+    for row in sorted(rows, key=lambda r: (r["start"], -r["length"])):
+        near = next((i for i in range(len(out) - 1, -1, -1) if out[i]["licence"] == row["licence"]), None)
+        if near is None or out[near]["start"] + out[near]["length"] <= row["start"]:
+            out.append(row)
+        elif (row["share"], row["reduction"]) > (out[near]["share"], out[near]["reduction"]):
+            out[near] = row
+    return sorted(out, key=lambda r: r["start"])
+
+
 def parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """The candidate pieces of a block, or if it is one piece, its candidate sentences."""
     lines = [(start + a, start + b) for a, b in pieces(text[start:end])]
@@ -169,7 +194,12 @@ def scan(text: str, matcher: Matcher) -> list[dict]:
             return [*rest[0], _row(first, last - first, best[:5]), *rest[1]]
         return [_row(a, b - a, best[:5])]
 
-    return [x for a, b in blocks(text) for x in look(a, b)]
+    out = []
+    for a, b in blocks(text):
+        own = list(windows(text, a, b))
+        found = [x for w in own for x in look(*w)]
+        out += merged(found) if len(own) > 1 else found
+    return out
 
 
 def _row(start: int, length: int, best: tuple) -> dict:
@@ -186,8 +216,9 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_blocks, licences, found), a row for each row of `docs`: `found` has each
     confirmed block with its place in code points, `licences` the distinct names in order.
 
-    Null and empty texts have none; repeated ids are scanned row by row; an empty table gives
-    no rows; other columns are not read.
+    Null and empty texts have none; long texts are scanned whole, a long block in windows that
+    share more than a wording; repeated ids are scanned row by row; an empty table gives no
+    rows; other columns are not read.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

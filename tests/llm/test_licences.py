@@ -1,6 +1,6 @@
 import pytest
 
-from netloom.llm.licences import TEMPLATES, Matcher, blocks, licence_scan, scan
+from netloom.llm.licences import SHARED, TEMPLATES, Matcher, blocks, licence_scan, scan
 
 M = Matcher()
 FILL = "Onin anther of tiontiat the of eres ansh thhe a anlyble hahaly anheon anre esheth. "
@@ -33,6 +33,15 @@ def test_all_licences_of_a_block():
     assert names(by("MIT", "text") + "\n" + apache) == ["MIT", "Apache-2.0"]
 
 
+@pytest.mark.parametrize("before", [0, 900, 3300, 3500, 5200, 7000, 7900, 11_000, 60_000])
+def test_wording_anywhere_in_a_long_block(before):
+    speak = "the licence of permission and copyright words "
+    for name, kind, text in (TEMPLATES[2], next(t for t in TEMPLATES if t[0] == "BSD-3-Clause" and t[1] == "text")):
+        t = (speak * (before // len(speak) + 1))[:before] + " " + text + " " + speak * 300
+        assert [f["licence"] for f in scan(t, M) if f["kind"] == "text"] == [name], before
+        assert max(len(x) for _, _, x in TEMPLATES) * 1.5 < SHARED
+
+
 def test_places():
     t = FILL + "\n" + "Released under the MIT License." + "\n" + FILL * 2
     (f,) = scan(t, M)
