@@ -209,15 +209,19 @@ def symbols(text: str, tweak: str, step: Step) -> str:
 def _email(text: str, step: Step) -> str | None:
     local, _, host = text.partition("@")
     label, _, rest = host.partition(".")
-    low = symbols(f"{local}@{label}", "email" + rest.lower(), step)
-    return f"{low}.{rest}"
+    whole = f"{local}@{label}"
+    return f"{_in_blocks(whole, 'email' + rest.lower(), step)}.{rest}"
+
+
+def _in_blocks(text: str, tweak: str, step: Step) -> str:
+    """symbols() of a text of any length, a block at a time."""
+    return "".join(symbols(text[k : k + SECRET_BLOCK], f"{tweak}{k or ''}", step) for k in range(0, len(text), SECRET_BLOCK))
 
 
 def _secret(text: str, step: Step) -> str | None:
     head = "AKIA" if re.fullmatch("AKIA[0-9A-Z]{16}", text) else ""
     rest = text[len(head) :]
-    blocks = (symbols(rest[k : k + SECRET_BLOCK], f"secret{head}{k or ''}", step) for k in range(0, len(rest), SECRET_BLOCK))
-    return head + "".join(blocks)
+    return head + _in_blocks(rest, f"secret{head}", step)
 
 
 #: Each quantifier is bounded or possessive, and each pattern starts at a rare character: linear on any text.
@@ -232,7 +236,7 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9_+/=-]{6,}+(?:\.[A-Za-z0-9_+/=-]++)*+)")
-_LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})$")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _HAS = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)")
 _CHANGE: dict[str, Callable[[str, Step], str | None]] = {"card": _card, "iban": _iban, "phone": _phone, "ssn": _ssn, "ipv4": _ipv4, "date": _date, "email": _email, "secret": _secret}
@@ -270,13 +274,18 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if not _HAS.search(text):
         return []
     found = []
-    at = text.find("@")
+    at, before = text.find("@"), -1
     while at >= 0:
-        local = _LOCAL.search(text, max(0, at - 64), at) if at else None
         host = _HOST.match(text, at + 1)
-        if local and host:
-            found.append((local.start(), host.end(), "email"))
-        at = text.find("@", at + 1)
+        if host:
+            start = at
+            while start > before + 1 and text[start - 1] in _LOCAL:
+                start -= 1
+            while start < at and not text[start].isalnum():
+                start += 1
+            if start < at:
+                found.append((start, host.end(), "email"))
+        at, before = text.find("@", at + 1), at
     found += [(*m.span(1), "secret") for m in SECRET.finditer(text)]
     found += _checked(text)
     rank = {"email": 0, "secret": 1}
@@ -325,7 +334,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
     """`docs` with pii_text, the text with pseudonyms, and pii_spans (kind, start and length in
     code points) beside all its columns.
 
-    A null text stays null, an empty one empty; both have no spans. Equal rows give equal
+    A null text stays null, an empty one empty; both have no spans. Long texts are rewritten whole. Equal rows give equal
     rows. An empty table gives no rows. Columns named pii_text or pii_spans are replaced.
     With `back` and the same key, values found in a rewritten text are turned back; only a
     date with slashes that had its day first can then read as one with its month first, and

@@ -75,3 +75,13 @@ def test_table(spark):
     assert [len(r["pii_spans"]) for r in out] == [0, 0, 0, 1, 1, 1] and out[3]["pii_spans"][0]["start"] == 2
     assert pseudonymise(df.limit(0), b"k").collect() == []
     assert [r["n_card"] for r in pseudonym_report(df, b"k").collect()] == [0, 0, 0, 1, 1, 0]
+
+
+@pytest.mark.parametrize("local", ["a.b" * 40, "..-first.last", "x9_" * 50_000])
+def test_whole_local_parts(local):
+    text = f"to {local}@mail.example.org, {local}@mail.example.org"
+    new, spans = rewrite(text, F.permute)
+    own = local.lstrip(".-")
+    assert [(k, n) for k, _, n in spans] == [("email", len(own) + 17)] * 2 and own not in new
+    a, b = new[3:].split(", ")
+    assert a == b and a.endswith(".example.org") and rewrite(new, F.restore)[0] == text
