@@ -18,7 +18,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,27 +162,34 @@ def fit(features: np.ndarray, values: np.ndarray, ends: np.ndarray, y: np.ndarra
     return model
 
 
-def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features = Features()
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bias, weights, factors) from all rows (text, label, n_chars), as little-endian doubles."""
+    of = Features()
+    features, shares, lengths, labels = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [[0]], [np.zeros(0)]
     for batch in batches:
         chars = batch.column(2).to_numpy(zero_copy_only=False)
         for first, raw, offsets in batch_texts(batch.column(0)):
             n = len(offsets) - 1
-            text, feature, value = features(raw, offsets, chars[first : first + n])
-            ends = pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, n), pa.ListArray.from_arrays(ends, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))], ["label", "features", "shares"])
+            text, feature, value = of(raw, offsets, chars[first : first + n])
+            features.append(feature.astype(np.int32))
+            shares.append(value.astype(np.float32))
+            lengths.append(np.bincount(text, minlength=n))
+        labels.append(batch.column(1).to_numpy(zero_copy_only=False).astype(float))
+    model = fit(np.concatenate(features), np.concatenate(shares), np.cumsum(np.concatenate(lengths)).astype(np.int64), np.concatenate(labels))
+    yield pa.RecordBatch.from_arrays([pa.array([model.bias]), *(pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (model.weights, model.factors))], ["bias", "weights", "factors"])
 
 
 def train(labelled: DataFrame, fit_rows: int = 20_000) -> Model:
-    """From (id, text, n_chars, label) with label 0 or 1; rows with another label are left out."""
+    """From (id, text, n_chars, label) with label 0 or 1; rows with another label are left out.
+    One task fits on at most `fit_rows` rows; only the model comes to the driver."""
     prepare(labelled.sparkSession)
     chosen = bounded_sample(labelled.where("label in (0, 1)"), fit_rows)
     chosen = chosen.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars"))
-    table = chosen.mapInArrow(_train_rows, "label long, features array<int>, shares array<float>").toArrow()
-    lengths = pc.list_value_length(table["features"]).to_numpy()
-    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    flat = [np.concatenate([np.zeros(0, kind), *(x.flatten().to_numpy() for x in table[c].chunks)]) for c, kind in (("features", np.int32), ("shares", np.float32))]
-    return fit(*flat, ends, table["label"].to_numpy().astype(float))
+    found = chosen.coalesce(1).mapInArrow(_fit, "bias double, weights binary, factors binary").collect()
+    if not found:
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0))
+    bias, weights, factors = found[0]
+    return Model(bias, np.frombuffer(weights, "<f8"), np.frombuffer(factors, "<f8").reshape(_SIZE, FACTORS))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -200,7 +206,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
     """(doc_id, held_out, score, predicted), a row for each row of `docs` (doc_id, text, n_chars).
 
     Learns from `labels` (doc_id, quality) where crc32 of the id as text is not 2 modulo 4.
-    Null and empty texts are scored as texts without words, a null n_chars counts as 0;
+    Null and empty texts are scored as texts without words, long ones whole, a null n_chars
+    counts as 0;
     repeated ids are scored row by row; unlabelled rows and null labels teach nothing.
     Without labelled rows scores are near 0.5; an empty table gives no rows. Other columns
     are not read.
