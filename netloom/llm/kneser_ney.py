@@ -343,7 +343,7 @@ def kneser_ney_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     for each row of `docs`: scores are log10 of a text's probability.
 
     The model learns from the rows that are not held out. A null or empty text is the end
-    token alone; repeated ids and texts count and are scored each. Without training rows
+    token alone, a long one is scored whole; repeated ids and texts count and are scored each. Without training rows
     every share is that of one unknown word; an empty table gives no rows. Other columns are
     not read. Files of the model stay in the shared folder until it is cleared.
     """

@@ -193,7 +193,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, gram: int
     A word of a document is hit if it lies in an occurrence of a window of an item; `spans`
     are the hit runs as [start, end) of its words, n_items counts distinct items that hit, and
     a document is contaminated if it has hits and 100 * n_hit >= percent * n_words. Null and
-    empty texts have no words, and an item without words no windows. Repeated ids are judged
+    empty texts have no words, long ones are searched whole, and an item without words no windows. Repeated ids are judged
     row by row; of items with a null id the words count as hits, and the id in no list. With
     an empty benchmark nothing is hit; with no documents there are no rows. Other columns
     are not read.
