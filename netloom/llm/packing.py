@@ -43,7 +43,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator
     task = TaskContext.get().partitionId()
     seen = np.zeros(size + 1, np.int64)
     for batch in batches:
-        for first, raw, offsets in batch_texts(batch.column(1), 1 << 22):
+        for first, raw, offsets in batch_texts(batch.column(1), 1 << 21):
             texts = ids.words(raw.tobytes(), offsets.tolist())
             ids.learn(set().union(*texts))
             out: list[tuple[int, int, int, int, int, int]] = []

@@ -9,8 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that Spark hands to a Python worker at once; texts can be long.
-ARROW_ROWS = 2048
+#: Bytes that Spark hands to a Python worker at once, but for a longer row; texts can be long.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch can hold."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bounds what one Arrow batch can hold; a session's own smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def new_path(spark: SparkSession, name: str) -> str:

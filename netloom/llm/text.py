@@ -49,7 +49,7 @@ def alnum_bytes() -> np.ndarray:
     return t
 
 
-def batch_texts(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batch_texts(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first, bytes, offsets) for runs of texts of about `limit` bytes; a null is empty.
     Text i of a run, which is text first + i of the batch, is bytes[offsets[i]:offsets[i + 1]]."""
     if isinstance(texts, pa.ChunkedArray):
