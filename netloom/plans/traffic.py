@@ -239,13 +239,27 @@ pc AS (SELECT "window", host, max(n) * 1.0 / sum(n) AS peer_concentration, coale
 sm AS (SELECT "window", host, size, us, row_number() OVER x AS rk, (us - lag(us) OVER x) / 1e6 AS gap FROM e WINDOW x AS (PARTITION BY "window", host ORDER BY us, idx, is_src)),
 ss AS (SELECT "window", host, avg(size) AS mean_size, stddev_pop(size) AS std_size, coalesce(avg(gap), 0.0) AS mean_iat, coalesce(min(gap), 0.0) AS min_iat, CASE WHEN avg(size) > 1e-9 THEN stddev_pop(size) / avg(size) ELSE 0.0 END AS size_cv,
   CASE WHEN count(gap) >= 3 AND avg(gap) > 1e-9 THEN stddev_pop(gap) / avg(gap) ELSE 0.0 END AS iat_cv FROM sm WHERE rk <= 512 GROUP BY ALL)"""
-WIDE_COLS = [*WIDE, "peer_concentration", "src_entropy", *SAMPLED, *DERIVED]
-
-
-@query(f"""WITH {WIDE_SQL}, j AS (SELECT w.*, peer_concentration, src_entropy, {", ".join(f"ss.{c}" for c in SAMPLED)}, {", ".join(f"{v} AS {k}" for k, v in DERIVED.items())} FROM w JOIN pc USING ("window", host) JOIN ss USING ("window", host))
-SELECT "window", host, {", ".join(f"round(CAST({c} AS DOUBLE) + 2e-8, 6) AS {c}" for c in WIDE_COLS)} FROM j""")
+NAMED_SQL = """qn AS (SELECT * FROM (SELECT "window", host, dns_qname, row_number() OVER (PARTITION BY "window", host ORDER BY us, idx, is_src) AS rk FROM e WHERE dns_qname <> '') WHERE rk <= 512),
+qs AS (SELECT "window", host, CAST(count(*) AS DOUBLE) AS dns_count, avg(length(dns_qname)) AS dns_qname_len, max(list_max(list_transform(string_split(dns_qname, '.'), lambda x: length(x)))) AS qname_max_label FROM qn GROUP BY ALL),
+qb AS (SELECT "window", host, b, CAST(count(*) AS DOUBLE) AS n FROM (SELECT "window", host, unnest(regexp_extract_all(hex(encode(dns_qname)), '..')) AS b FROM qn) GROUP BY ALL),
+qe AS (SELECT "window", host, greatest(0.0, log2(sum(n)) - sum(n * log2(n)) / sum(n)) + 0.0 AS qname_entropy FROM qb GROUP BY ALL),
+fg AS (SELECT tls_fp, 1 - count(*) / (SELECT count(*) FROM packets WHERE tls_fp <> '') AS rarity FROM packets WHERE tls_fp <> '' GROUP BY ALL),
+fn AS (SELECT * FROM (SELECT "window", host, tls_fp, row_number() OVER (PARTITION BY "window", host ORDER BY us, idx, is_src) AS rk FROM e WHERE tls_fp <> '') WHERE rk <= 512),
+fs AS (SELECT "window", host, CAST(count(*) AS DOUBLE) AS tls_count, avg(rarity) AS tls_fp_rarity FROM fn JOIN fg USING (tls_fp) GROUP BY ALL),
+rp AS (SELECT "window", host, max(r) AS peer_rep_max, avg(r) AS peer_rep_mean, avg(CAST(r > 0.5 AS INT)) AS peer_rep_flagged FROM (SELECT bp."window", bp.host, coalesce(r.r, 0.0) AS r FROM bp LEFT JOIN (SELECT DISTINCT CAST(user_id AS VARCHAR) AS peer, (user_id * 7919 % 100) / 100.0 AS r FROM events) r USING (peer)) GROUP BY ALL),
+lp AS (SELECT src_ip, max(us) AS m FROM packets GROUP BY ALL),
+bl AS (SELECT src_ip AS host, sum(size * pow(0.5, (m - us) / 1e6 / 300.0)) AS baseline FROM packets JOIN lp USING (src_ip) GROUP BY ALL)"""
+NAMED = ["dns_count", "dns_qname_len", "qname_max_label", "qname_entropy", "tls_count", "tls_fp_rarity", "peer_rep_max", "peer_rep_mean", "peer_rep_flagged"]
+FAMILIES = [(f"bi_{c}", c) for c in [*P.SHARED, *P.BI_ONLY]] + [(f"uni_{c}", c) for c in P.SHARED] + [(f"uni_{n}", c) for n, c in P.UNI_ONLY.items()]
+
+
+@query(f"""WITH {WIDE_SQL}, {NAMED_SQL}, j AS (SELECT w.*, peer_concentration, src_entropy, {", ".join(f"ss.{c}" for c in SAMPLED)}, {", ".join(f"coalesce({c}, 0) AS {c}" for c in NAMED)}, {", ".join(f"{v} AS {k}" for k, v in DERIVED.items())},
+  coalesce(dns_count, 0) / 86400.0 AS dns_rate, out_bytes / (coalesce(baseline, 0) + 1) AS out_vs_baseline
+  FROM w JOIN pc USING ("window", host) JOIN ss USING ("window", host) LEFT JOIN qs USING ("window", host) LEFT JOIN qe USING ("window", host) LEFT JOIN fs USING ("window", host) JOIN rp USING ("window", host) LEFT JOIN bl USING (host))
+SELECT "window", host, {", ".join(f"round(CAST({c} AS DOUBLE) + 2e-8, 6) AS {n}" for n, c in FAMILIES)} FROM j""")
 def packet_cell_wide(spark, d):
-    return P.cells(T.packets(spark, d), DAY_US).select("window", "host", *(F.round(F.col(c) + 2e-8, 6).alias(c) for c in WIDE_COLS))  # past ties of halves of microseconds
+    out = P.families(P.cells(T.packets(spark, d), DAY_US, reputation=T.reputation(spark, d)))
+    return out.select("window", "host", *(F.round(F.col(n) + 2e-8, 6).alias(n) for n, _ in FAMILIES))  # past ties of halves of microseconds
 
 
 @query(f'WITH {ENDS_SQL} SELECT "window", host, round(count(*) FILTER (flags & 2 <> 0) * 1.0 / count(*), 6) AS syn_share, round(count(*) FILTER (flags & 4 <> 0) * 1.0 / count(*), 6) AS rst_share FROM e GROUP BY ALL')

@@ -46,10 +46,18 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         flags.alias("flags"),
         (F.col("user_id") % 7 + 58).cast("int").alias("ttl"),
         F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("direction"),
+        F.when(kind == "signup", F.concat(F.lit("u"), F.col("user_id") % 97, F.lit(".k"), F.get_json_object("props", "$.k"), F.lit(".example"))).alias("dns_qname"),
+        F.when(kind == "purchase", F.concat(F.lit("fp"), F.col("user_id") % 13)).alias("tls_fp"),
         F.when(kind == "error", "scan").when((kind == "signup") & (F.col("value") > 50), "dga").otherwise("benign").alias("label"),
     )
 
 
+def reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """peer, reputation: a made-up outside service's word on users."""
+    users = read(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(F.col("user_id").cast("string").alias("peer"), (F.col("user_id") * 7919 % 100 / 100.0).alias("reputation"))
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, window, host, qname: hosts of page addresses as looked-up names."""
     return read(spark, sf_dir, "pages").select(
@@ -79,6 +87,8 @@ PACKETS_SQL = """packets AS (SELECT event_id AS idx, epoch_us(ts) AS us, CAST(us
   CAST(json_extract_string(props, '$.k') AS INTEGER) AS dst_port, value AS size,
   CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 17 WHEN 'signup' THEN 2 ELSE 24 END AS flags,
   CAST(user_id % 7 + 58 AS INTEGER) AS ttl, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS direction,
+  CASE WHEN event_type = 'signup' THEN 'u' || (user_id % 97) || '.k' || json_extract_string(props, '$.k') || '.example' END AS dns_qname,
+  CASE WHEN event_type = 'purchase' THEN 'fp' || (user_id % 13) END AS tls_fp,
   CASE WHEN event_type = 'error' THEN 'scan' WHEN event_type = 'signup' AND value > 50 THEN 'dga' ELSE 'benign' END AS label FROM events)"""
 
 NAMES_SQL = """names AS (SELECT page_id, CAST(floor(page_id / 50) AS BIGINT) AS "window", coalesce(split_part(url, '/', 4), '') AS host, lower(split_part(url, '/', 3)) AS qname FROM pages)"""

@@ -44,8 +44,22 @@ def test_every_flow_is_enriched(flows):
     w = H.windowed(flows, 60, 0)
     out = H.enriched_flows(w)
     assert out.count() == flows.count() and out.where("hw_src_n_flows < 1 or hw_dst_n_flows < 1").isEmpty()
-    plan = H.src_cells(w)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(window") <= 2  # both branches read one exchange
+
+
+def test_gaps_over_slices(spark):
+    r = random.Random(9)
+    rows = [(int(t * S), "flood", f"p{i % 3}", 80, 1.0, 1.0) for i, t in enumerate(sorted(r.uniform(0, 120) for _ in range(700)))]
+    rows += [(int(t * S), "slow", "p", 80, 1.0, 1.0) for t in (3, 40, 59, 61)] + [(5 * S, "same", "p", None, 1.0, 1.0)] * 3 + [(200 * S, "one", "p", 80, 1.0, 1.0)]
+    w = H.windowed(spark.createDataFrame(rows, "us long, src string, dst string, dport int, fwd_pkts double, fwd_bytes double"), 60, 0)
+    got = {(x["window"], x["src"]): (x["iat_mean"], x["iat_cv"], x["n_dports"]) for x in H.src_cells(w).collect()}
+    for (window, src), (mean, cv, n_ports) in got.items():
+        ts = sorted(u / 1e6 for u, s, _, d, *_ in rows if s == src and u // (60 * S) == window)
+        gaps = [b - a for a, b in zip(ts, ts[1:])]
+        m = sum(gaps) / len(gaps) if gaps else 0.0
+        sd = (sum((g - m) ** 2 for g in gaps) / len(gaps)) ** 0.5 if gaps else 0.0
+        assert mean == pytest.approx(m) and cv == pytest.approx(sd / m if len(gaps) >= 2 and m > 1e-9 else 0.0)
+        assert n_ports == (0 if src == "same" else 1)
+    assert len(got) == 6
 
 
 def test_profiles(spark):
