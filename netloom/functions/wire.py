@@ -60,7 +60,7 @@ def dns_qname(payload: bytes, tcp: bool = False) -> str | None:
             return None
         name, _ = _name(r.data, r.at)
         return name.lower() or None
-    except (Short, UnicodeDecodeError, struct.error):
+    except (Short, struct.error):
         return None
 
 
@@ -87,7 +87,7 @@ def _name(data: bytes, at: int) -> tuple[str, int]:
         total += n + 1
         if at + 1 + n > len(data) or total > 255 or len(labels) >= 128:
             raise Short
-        labels.append(data[at + 1 : at + 1 + n].decode("ascii"))
+        labels.append(data[at + 1 : at + 1 + n].decode("ascii", "backslashreplace"))  # junk is a sign, too
         at += 1 + n
 
 

@@ -6,16 +6,17 @@ that span packets are put together within their file.
 
 from __future__ import annotations
 
-import ipaddress
+import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.wire import Pieces, dns_qname, hello, ja3, ja4, looks_like_quic, quic_initial
+from netloom.functions.wire import Hello, Pieces, dns_qname, hello, ja3_string, ja4, looks_like_quic, quic_initial
 from netloom.schema import PACKET
 
 # Fixed values of the formats.
@@ -119,11 +120,18 @@ def network(link: int, d: bytes) -> tuple[int, int] | None:
     return None
 
 
+def ipv6_text(address: bytes) -> str:
+    """Eight groups in hexadecimal, without leading zeros and without a shortened run."""
+    return ":".join(f"{group:x}" for group in struct.unpack("!8H", address))
+
+
 class Decoder:
     """Frames of one file to packets; holds the handshakes that are not whole yet."""
 
-    def __init__(self, internal: str = "", label: str = "benign"):
-        self.internal, self.label, self.stats = internal, label, Stats()
+    def __init__(self, internal: str = "", label: str = "benign", fingerprint: str = "ja4"):
+        if fingerprint not in ("ja3", "ja4"):
+            raise ValueError(f"no such fingerprint: {fingerprint}")
+        self.internal, self.label, self.kind, self.stats = internal, label, fingerprint, Stats()
         self.tls: dict[tuple, tuple[int, Pieces]] = {}
         self.quic: dict[bytes, Pieces] = {}
 
@@ -158,7 +166,7 @@ class Decoder:
             if len(d) < at + 40 or d[at] >> 4 != 6:
                 self.stats.truncated += 1
                 return None
-            ends = [ipaddress.IPv6Address(d[at + k : at + k + 16]).exploded for k in (8, 24)]
+            ends = [ipv6_text(d[at + k : at + k + 16]) for k in (8, 24)]
             ttl, proto, at = d[at + 7], d[at + 6], at + 40
             for _ in range(8):
                 if proto not in SKIPPED or len(d) < at + 8:
@@ -195,7 +203,7 @@ class Decoder:
         return out
 
     def _tls(self, key: tuple, seq: int, payload: bytes) -> str | None:
-        """The client's JA3 once its hello is whole."""
+        """The client's fingerprint once its hello is whole."""
         if key not in self.tls:
             if payload[:2] != b"\x16\x03":
                 return None
@@ -203,10 +211,15 @@ class Decoder:
                 self.tls.pop(next(iter(self.tls)))
             self.tls[key] = (seq, Pieces())
         start, pieces = self.tls[key]
-        found = ja3(pieces.push((seq - start) & 0xFFFFFFFF, payload))
-        if found:
-            del self.tls[key]
-        return found
+        h = hello(pieces.push((seq - start) & 0xFFFFFFFF, payload))
+        if not h:
+            return None
+        del self.tls[key]
+        return self._fingerprint(h, "t")
+
+    def _fingerprint(self, h: Hello, transport: str) -> str:
+        """One kind for all transports, so that one client has names that can be counted together."""
+        return ja4(h, transport) if self.kind == "ja4" else hashlib.md5(ja3_string(h).encode()).hexdigest()
 
     def _quic(self, datagram: bytes) -> str | None:
         found = quic_initial(datagram)
@@ -219,18 +232,19 @@ class Decoder:
         for offset, data in parts:
             whole = pieces.push(offset, data)
         h = hello(whole, record=False)
-        return ja4(h, "q") if h else None
+        return self._fingerprint(h, "q") if h else None
 
 
 _COLUMNS = ["path", *PACKET.fieldNames()]
 
 
-def _decode(batches: Iterator[pd.DataFrame], internal: str, label: str) -> Iterator[pd.DataFrame]:
+def _decode(batches: Iterator[pd.DataFrame], *given: str) -> Iterator[pd.DataFrame]:
+    """The packets of each file, some ten thousand at a time."""
     for pdf in batches:
         for path, data in zip(pdf["path"], pdf["content"], strict=True):
-            rows = [p | {"path": path} for p in Decoder(internal, label).packets(bytes(data))]
-            for i in range(0, len(rows), 1 << 15):
-                yield pd.DataFrame(rows[i : i + (1 << 15)], columns=_COLUMNS)
+            rows = Decoder(*given).packets(bytes(data))
+            while some := [p | {"path": path} for p in islice(rows, 1 << 15)]:
+                yield pd.DataFrame(some, columns=_COLUMNS)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,13 +256,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([{"path": path} | asdict(decoder.stats)])
 
 
-def read(spark: SparkSession, path: str, internal: str = "", label: str = "benign") -> DataFrame:
-    """path and PACKET columns of all capture files at `path` (2 GB a file at most)."""
+def read(spark: SparkSession, path: str, internal: str = "", label: str = "benign", fingerprint: str = "ja4") -> DataFrame:
+    """path and PACKET columns of all capture files at `path` (2 GB a file at most); tls_fp is
+    a client's JA4, or its JA3 where `fingerprint` says so, over TCP and QUIC alike."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     fields = ", ".join(["path string", *(f"{f.name} {f.dataType.simpleString()}" for f in PACKET.fields)])
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _decode(batches, internal, label)
+        return _decode(batches, internal, label, fingerprint)
 
     return files.mapInPandas(decode, fields).where(F.col("ts").isNotNull())
 

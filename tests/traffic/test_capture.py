@@ -130,8 +130,11 @@ def test_files(spark, tmp_path):
         (tmp_path / f"{i}.pcap").write_bytes(data)
     assert [r["dns_qname"] for r in want[:2]] == ["a.example.com", "b.example.com"] and want[0]["direction"] == 1
     assert want[5]["tls_fp"].startswith("q13d")
-    d = P.Decoder()
-    assert [p["tls_fp"] for p in d.packets(pcap([frame(hello[:60], 6, 5000, 443, seq=1000), frame(hello[60:], 6, 5000, 443, seq=1060)]))] == [None, W.ja3(hello)]
+    halves = pcap([frame(hello[:60], 6, 5000, 443, seq=1000), frame(hello[60:], 6, 5000, 443, seq=1060)])
+    assert [p["tls_fp"] for p in P.Decoder().packets(halves)] == [None, W.ja4(W.hello(hello))]
+    assert [p["tls_fp"] for p in P.Decoder(fingerprint="ja3").packets(halves)] == [None, W.ja3(hello)]
+    # one client over both transports differs in the first letter alone
+    assert W.ja4(W.hello(hello))[1:] == want[5]["tls_fp"][1:]
     d = P.Decoder()
     assert len(list(d.packets(pcap(fs)[:-5]))) == 5 and d.stats.truncated == 1
     (tmp_path / "x.pcap").write_bytes(b"")
@@ -139,3 +142,15 @@ def test_files(spark, tmp_path):
     df = P.read(spark, str(tmp_path / "*.pcap"), "10.0.0.")
     assert df.count() == 30 and df.select("ts").distinct().count() == 6
     assert P.stats(spark, str(tmp_path / "*.pcap")).where("packets = 0").count() == 1  # Spark lists no empty file
+
+
+def test_ipv6_and_odd_names():
+    assert P.ipv6_text(bytes.fromhex("20010db8000000000000000000000a01")) == "2001:db8:0:0:0:0:0:a01"
+    udp = struct.pack("!4H", 4000, 53, 0, 0) + dns("a.example.com")
+    ends = bytes.fromhex("fe80" + "00" * 13 + "01" + "20010db8" + "00" * 11 + "02")
+    six = bytes(12) + b"\x86\xdd" + struct.pack("!IH2B", 6 << 28, len(udp), 17, 64) + ends + udp
+    (p,) = P.Decoder("fe80:0:").packets(pcap([six]))
+    assert (p["src_ip"], p["dst_ip"], p["dns_qname"], p["direction"]) == ("fe80:0:0:0:0:0:0:1", "2001:db8:0:0:0:0:0:2", "a.example.com", 1)
+    name = b"\x04\xe9\xffAb\x03com\0"
+    query = struct.pack("!6H", 7, 0x0100, 1, 0, 0, 0) + name + struct.pack("!2H", 1, 1)
+    assert W.dns_qname(query) == "\\xe9\\xffab.com"
