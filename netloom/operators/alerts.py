@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.ordered import bucketed, numbered
 from netloom.schema import ALERT
 
 # How far an intrusion of a class has come, bytes at which volume counts in
@@ -47,36 +48,52 @@ def feature_digest(features: dict[str, float]) -> str:
     return hashlib.sha256(SEPARATOR.join(f"{k}={fixed(v)}" for k, v in sorted(features.items())).encode()).hexdigest()
 
 
-def canonical(row: dict) -> str:
-    return SEPARATOR.join(fixed(row[k]) if k in ("ts", "score", "confidence") else str(row[k]) for k in HASHED)
+def canonical(row: dict, fields: list[str] = HASHED) -> str:
+    return SEPARATOR.join(fixed(row[k]) if k in ("ts", "score", "confidence") else str(row[k]) for k in fields)
 
 
-def signed(row: dict, key: bytes) -> tuple[str, str]:
-    text = canonical(row).encode()
+def signed(text: str, key: bytes) -> tuple[str, str]:
+    text = text.encode()
     return hashlib.sha256(text).hexdigest(), hmac.new(key, text, hashlib.sha256).hexdigest() if key else ""
 
 
-def _append(batches: Iterator[pd.DataFrame], key: bytes, model_hash: str, head: str, seq: int) -> Iterator[pd.DataFrame]:
+def _prepared(batches: Iterator[pd.DataFrame], model_hash: str) -> Iterator[pd.DataFrame]:
+    """What of an entry depends on its own row only: its features' digest and its text between
+    its number and the digest before it."""
     for pdf in batches:
         rows = []
         for row in pdf.to_dict("records"):
             features = {k: float(v) for k, v in (row["features"].items() if isinstance(row["features"], dict) else row["features"] or [])}
-            row |= {"seq": seq, "window": int(row["window"]), "model_hash": model_hash, "features": features, "feature_hash": feature_digest(features), "prev_hash": head}
-            row["entry_hash"], row["hmac"] = signed(row, key)
-            head, seq = row["entry_hash"], seq + 1
-            rows.append({c: row[c] for c in ALERT.fieldNames()})
-        yield pd.DataFrame(rows, columns=ALERT.fieldNames())
+            row |= {"window": int(row["window"]), "model_hash": model_hash, "feature_hash": feature_digest(features)}
+            rows.append({"number": row["number"], "feature_hash": row["feature_hash"], "text": canonical(row, HASHED[1:-1])})
+        yield pd.DataFrame(rows, columns=["number", "feature_hash", "text"])
+
+
+def _chain(batches: Iterator[pd.DataFrame], key: bytes, head: str, seq: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for number, text in zip(pdf["number"], pdf["text"], strict=True):
+            entry, mac = signed(SEPARATOR.join((str(seq + number), text, head)), key)
+            rows.append((number, head, entry, mac))
+            head = entry
+        yield pd.DataFrame(rows, columns=["number", "prev_hash", "entry_hash", "hmac"])
 
 
 def append(alerts: DataFrame, key: bytes, model_hash: str, head: str = GENESIS, seq: int = 0) -> DataFrame:
     """A log of `alerts` (alert_id, ts, window, host, threat_class, score, confidence, decision,
     features, observed, decision_path), ordered by window, host and id, each entry bound to
-    the one before. A chain is sequential by definition: its rows, alerts only, pass through one
-    task, a batch at a time; everything before them is parallel."""
+    the one before. A chain is sequential by definition: one task takes a short text for each
+    alert; numbering, digests of features, texts and severity are parallel."""
     sev = severity(F.col("threat_class"), F.col("features")["hw_src_fwd_bytes"], F.col("features")["hw_dst_fwd_bytes"])
     rows = alerts.withColumn("s", sev).select("alert_id", "ts", "window", "host", "threat_class", "score", "confidence", "decision", "features", "observed", "decision_path", F.col("s.level").alias("severity"), F.col("s.score").alias("severity_score"))
-    ordered = rows.repartition(1).sortWithinPartitions("window", "host", "alert_id")
-    return ordered.mapInPandas(partial(_append, key=key, model_hash=model_hash, head=head, seq=seq), ALERT)
+    rows = numbered(rows.persist(), "window", "host", "alert_id").persist()  # alerts are few, and read four times
+    fields = ["number", *(c for c in HASHED if c in alerts.columns), "features"]
+    texts = rows.select(*fields).mapInPandas(partial(_prepared, model_hash=model_hash), "number long, feature_hash string, text string")
+    ordered = texts.select("number", "text").repartition(1).sortWithinPartitions("number")
+    links = ordered.mapInPandas(partial(_chain, key=key, head=head, seq=seq), "number long, prev_hash string, entry_hash string, hmac string")
+    out = rows.join(texts.drop("text"), "number").join(links, "number")
+    out = out.withColumns({"seq": F.col("number") + seq, "window": F.col("window").cast("long"), "model_hash": F.lit(model_hash), "features": F.col("features").cast("map<string,double>")})
+    return out.select(*(F.col(f.name).cast(f.dataType) for f in ALERT.fields))
 
 
 def _recompute(batches: Iterator[pd.DataFrame], key: bytes) -> Iterator[pd.DataFrame]:
@@ -84,7 +101,7 @@ def _recompute(batches: Iterator[pd.DataFrame], key: bytes) -> Iterator[pd.DataF
         rows = []
         for row in pdf.to_dict("records"):
             features = dict(row["features"]) if row["features"] is not None else {}
-            entry, mac = signed(row, key)
+            entry, mac = signed(canonical(row), key)
             rows.append({"position": row["position"], "seq": row["seq"], "prev_hash": row["prev_hash"], "recomputed": entry, "entry_ok": entry == row["entry_hash"], "features_ok": feature_digest(features) == row["feature_hash"], "hmac_ok": mac == (row["hmac"] or "")})
         yield pd.DataFrame(rows, columns=["position", "seq", "prev_hash", "recomputed", "entry_ok", "features_ok", "hmac_ok"])
 
@@ -92,11 +109,15 @@ def _recompute(batches: Iterator[pd.DataFrame], key: bytes) -> Iterator[pd.DataF
 def verify(log: DataFrame, key: bytes) -> DataFrame:
     """(position, seq, link_ok, entry_ok, features_ok, hmac_ok, ok) of each entry. An entry's
     digest depends on its own fields only, so digests are parallel; the order of entries is
-    `position`, or seq without it. The link needs the digest before: a lag over digests."""
+    `position`, or seq without it. The link needs the digest before: a lag in buckets of positions."""
     log = log if "position" in log.columns else log.withColumn("position", F.col("seq"))
     own = log.mapInPandas(partial(_recompute, key=key), "position long, seq long, prev_hash string, recomputed string, entry_ok boolean, features_ok boolean, hmac_ok boolean")
-    before = F.coalesce(F.lag("recomputed").over(Window.orderBy("position")), F.lit(GENESIS))
-    out = own.withColumn("link_ok", F.col("prev_hash") == before)
+    # the entry before is in the same bucket of positions, or the last one of the bucket before
+    own = bucketed(own.persist(), "position")  # read for bounds, for each bucket's last, and for the lag
+    last = own.groupBy("bucket").agg(F.max_by("recomputed", "position").alias("last"))
+    last = last.select("bucket", F.lag("last").over(Window.orderBy("bucket")).alias("last"))  # a row a bucket
+    before = F.coalesce(F.lag("recomputed").over(Window.partitionBy("bucket").orderBy("position")), F.col("last"), F.lit(GENESIS))
+    out = own.join(F.broadcast(last), "bucket").withColumn("link_ok", F.col("prev_hash") == before)
     return out.select("position", "seq", "link_ok", "entry_ok", "features_ok", "hmac_ok", (F.col("link_ok") & F.col("entry_ok") & F.col("features_ok") & F.col("hmac_ok")).alias("ok"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators.ordered import quantiles, running
+
 
 def f1_scores(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(label, precision, recall, f1), 0 where a share has no base, from one count of pairs."""
@@ -28,21 +30,19 @@ def by_score(rows: DataFrame, y: str, score: str) -> DataFrame:
 
 def average_precision(rows: DataFrame, y: str, score: str) -> DataFrame:
     """Sum over thresholds of the gain in recall times the precision there; ties are one threshold."""
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = by_score(rows, y, score).withColumns({"tp": F.sum("pos").over(w), "all": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    steps = running(by_score(rows, y, score), "score", {"tp": ("sum", F.col("pos")), "all": ("sum", F.col("pos") + F.col("neg"))}, descending=True)
     return steps.agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("average_precision"))
 
 
 def rank_auc(rows: DataFrame, y: str, score: str) -> DataFrame:
     """The chance that a positive scores over a negative, ties half."""
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = by_score(rows, y, score).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    return steps.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    steps = running(by_score(rows, y, score), "score", {"upto": ("sum", F.col("neg"))})
+    return steps.agg((F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def recall_at_fpr(rows: DataFrame, y: str, score: str, fpr: float) -> DataFrame:
     """The share of positives at or over the score that a share `fpr` of negatives passes."""
-    bound = rows.where(F.col(y) == 0).agg(F.percentile(score, F.lit(1 - fpr)).alias("threshold"))
+    bound = quantiles(rows.where(F.col(y) == 0), score, [1 - fpr]).select(F.get("values", F.lit(0)).alias("threshold"))
     return rows.where(F.col(y) == 1).crossJoin(F.broadcast(bound)).agg(F.first("threshold").alias("threshold"), F.avg((F.col(score) >= F.col("threshold")).cast("double")).alias("recall"))
 
 
@@ -61,7 +61,7 @@ def ece(rows: DataFrame, conf: str, correct: str, bins: int = 10) -> DataFrame:
 def threshold_tuning(rows: DataFrame, y: str, score: str, steps: int = 40) -> DataFrame:
     """The quantile of the scores with the best F1, and it; the lowest of equal ones."""
     at = [i / steps for i in range(1, steps)]
-    cuts = rows.agg(F.explode(F.array_distinct(F.percentile(score, F.array(*map(F.lit, at))))).alias("threshold"))
+    cuts = quantiles(rows, score, at).select(F.explode(F.array_distinct("values")).alias("threshold"))
     scored = by_score(rows, y, score).crossJoin(F.broadcast(cuts))  # distinct scores x at most 39 thresholds
     over = F.col("score") >= F.col("threshold")
     f1 = 2 * F.sum(F.when(over, F.col("pos")).otherwise(0)) / (F.sum(F.when(over, F.col("pos") + F.col("neg")).otherwise(0)) + F.sum("pos"))
@@ -70,10 +70,22 @@ def threshold_tuning(rows: DataFrame, y: str, score: str, steps: int = 40) -> Da
 
 def temporal_cut(rows: DataFrame, time: str, share: float) -> DataFrame:
     """Rows with `train`: whether their time is before the quantile of all times."""
-    cut = rows.agg(F.percentile(time, F.lit(share)).alias("cut"))
+    cut = quantiles(rows, time, [share]).select(F.get("values", F.lit(0)).alias("cut"))
     return rows.crossJoin(F.broadcast(cut)).withColumn("train", F.col(time) < F.col("cut")).drop("cut")
 
 
+def temporal_parts(rows: DataFrame, window: str, shares: tuple[float, ...]) -> DataFrame:
+    """Rows with `part`, 0 for the first share of all windows from the first to the last, 1 for
+    the next and so on: (0.60, 0.15, 0.25) fits, calibrates and tests on whole windows."""
+    if abs(sum(shares) - 1) > 1e-9 or min(shares) <= 0:
+        raise ValueError("shares must be positive and sum up to 1")
+    ends = rows.agg(F.min(window).alias("lo"), F.max(window).alias("hi"))
+    at = lambda share: F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) * F.lit(round(share, 9)))
+    bounds = [at(sum(shares[: i + 1])) for i in range(len(shares) - 1)]
+    part = sum(((F.col(window) >= b).cast("int") for b in bounds), F.lit(0))
+    return rows.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("lo", "hi")
+
+
 def feature_agreement(rows: DataFrame, pairs: dict[str, tuple[str, str]], rtol: float = 1e-6, atol: float = 1e-9) -> DataFrame:
     """(feature, r, relative_error, share_close) of two versions of each feature; columns that
     don't vary correlate by definition."""
@@ -102,7 +114,10 @@ class Conformal:
         scores = scores if self.mondrian else scores.withColumn("label", F.lit(-1))
         n = scores.groupBy("label").agg(F.count("*").alias("m"))
         k = F.greatest(F.lit(1), F.least(F.col("m"), F.ceil(F.round((F.col("m") + 1) * (1 - self.alpha), 9))))
-        ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("s"))).join(F.broadcast(n), "label").where(F.col("rank") == k).select("label", F.col("s").alias("threshold"))
+        # equal scores are counted, and the one that holds the k-th place of its label is taken
+        counts = scores.groupBy("label", "s").agg(F.count("*").alias("n"))
+        held = running(counts, "s", {"upto": ("sum", F.col("n"))}, by=("label",)).join(F.broadcast(n), "label")
+        ranked = held.where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)).select("label", F.col("s").alias("threshold"))
         all_classes = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("label"))
         if self.mondrian:
             return all_classes.join(ranked, "label", "left").select("label", F.coalesce("threshold", F.lit(1.0)).alias("threshold"))
@@ -120,6 +135,12 @@ class Conformal:
         out = out.withColumn("set_size", F.size(F.filter("in_set", lambda x: x)).cast("long"))
         return out.withColumn("abstained", ~F.get("in_set", F.col("predicted")) if self.mondrian else F.col("set_size") != 1).drop("t")
 
+    @staticmethod
+    def worst_class_coverage(decided: DataFrame, label: str) -> DataFrame:
+        """(label, coverage) of the class whose truth is in the set least often; the smaller label of equal ones."""
+        per = decided.groupBy(F.col(label).alias("label")).agg(F.avg(F.get("in_set", F.col(label)).cast("double")).alias("coverage"))
+        return per.agg(F.min_by("label", F.struct("coverage", "label")).alias("label"), F.min("coverage").alias("coverage"))
+
     @staticmethod
     def report(decided: DataFrame, label: str, by_class: bool = False) -> DataFrame:
         """Coverage (truth in the set), abstention, and accuracy of what is decided."""

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.ordered import numbered, running
+
 from netloom.schema import FIN, RST
 
 KEY = ["src_ip", "dst_ip", "src_port", "dst_port", "proto"]
@@ -117,10 +119,12 @@ def lateness(sessions: DataFrame, t0: int, window_us: int, allowed: list[int]) -
     """For each allowed lateness: how many flows come after their window has closed. A flow is
     seen when it is emitted and belongs to the window of its start; a window w is closed once a
     start over (w + 1) windows and the lateness has been seen. The running maximum of what
-    was seen is over the whole stream; a window function over all rows would be one task, so
-    maxima of equal emission times are taken first, one row each."""
+    was seen is over the whole stream; it is taken in buckets of emission times."""
     ticks = sessions.groupBy("emit_us").agg(F.max("start_us").alias("top"))
-    seen = ticks.select("emit_us", F.max("top").over(Window.orderBy("emit_us").rowsBetween(Window.unboundedPreceding, -1)).alias("seen"))
+    upto = running(ticks, "emit_us", {"upto": ("max", F.col("top"))})
+    # what was seen before a time: the maximum up to the time before it
+    at = numbered(upto, "emit_us")
+    seen = at.select("emit_us", "number").join(at.select((F.col("number") + 1).alias("number"), F.col("upto").alias("seen")), "number", "left").drop("number")
     rows = sessions.join(seen, "emit_us")
     w = F.floor((F.col("start_us") - t0) / window_us)
     rows = rows.withColumn("allowed", F.explode(F.array(*map(F.lit, allowed))))

@@ -220,7 +220,7 @@ def feature_agreement(spark, d):
 
 def alerts(spark, d):
     """Alerts by plain rules over host cells."""
-    cells = H.host_cells(H.windowed(T.flows(spark, d), T.FLOW_WINDOW), decayed=True)
+    cells = H.unpivot_cells(H.windowed(T.flows(spark, d), T.FLOW_WINDOW))
     threat = F.when(F.col("hw_src_fwd_bytes") > 500_000, "exfil").when(F.col("hw_src_n_dports") >= 7, "scan").when(F.col("hw_dst_src_entropy") > 3.5, "ddos")
     score = F.least(F.lit(0.99), 0.5 + F.col("hw_src_n_flows") / 100 + F.col("hw_dst_n_flows") / 1000)
     rows = cells.withColumn("threat_class", threat).where("threat_class is not null").withColumn("score", score)
