@@ -50,6 +50,19 @@ def uniform(seed: int, *key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") / float(1 << 53)
 
 
+def portable(seed: int, *key: Column) -> Column:
+    """A deterministic number in [0, 1) for a key that any SQL with MD5 can repeat: the first 13
+    hexadecimal digits of the seed and the key's parts as text, joined by bars."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def portable_sql(seed: int, *key: str) -> str:
+    """portable() in DuckDB's SQL."""
+    text = " || '|' || ".join([f"'{seed}'", *(f"CAST({k} AS VARCHAR)" for k in key)])
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
 def chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 

@@ -57,6 +57,26 @@ def signed(text: str, key: bytes) -> tuple[str, str]:
     return hashlib.sha256(text).hexdigest(), hmac.new(key, text, hashlib.sha256).hexdigest() if key else ""
 
 
+def model_digest(*parts: object) -> str:
+    """An identifier of a scoring set-up: its name, parameters, features and classes."""
+    return hashlib.sha256("".join(f"{p}{SEPARATOR}" for p in parts).encode()).hexdigest()
+
+
+def constructed(decided: DataFrame, classes: list[str], seconds: float, path: list[str]) -> DataFrame:
+    """Alerts of cells (window, host, predicted, confidence, abstained, features) that a model and
+    a conformal decision have gone over: an abstention is an entry whatever its class, a decision
+    is one unless it says benign. `predicted` counts in `classes`."""
+    threat = F.element_at(F.array(*map(F.lit, classes)), F.col("predicted") + 1)
+    decision = F.when(F.col("abstained"), "ABSTAIN").otherwise("ALERT")
+    rows = decided.withColumns({"threat_class": threat, "decision": decision}).where("not (decision = 'ALERT' and threat_class = 'benign')")
+    return rows.select(
+        F.substring(F.sha2(F.concat_ws("|", "window", "host", "threat_class").cast("binary"), 256), 1, 16).alias("alert_id"),
+        (F.col("window") * float(seconds)).alias("ts"), "window", "host", "threat_class", F.col("confidence").alias("score"), "confidence", "decision", "features",
+        F.create_map(F.lit("window_s"), F.lit(str(seconds)), F.lit("set_size"), F.col("set_size").cast("string")).alias("observed"),
+        F.array(*map(F.lit, path), F.concat(F.lit("set_size="), F.col("set_size").cast("string"))).alias("decision_path"),
+    )
+
+
 def _prepared(batches: Iterator[pd.DataFrame], model_hash: str) -> Iterator[pd.DataFrame]:
     """What of an entry depends on its own row only: its features' digest and its text between
     its number and the digest before it."""
@@ -134,6 +154,15 @@ def summary(log: DataFrame) -> DataFrame:
     return one.crossJoin(F.broadcast(by_class))
 
 
+def summary_with_chain(log: DataFrame, key: bytes, problems: int = 10) -> DataFrame:
+    """summary() with the model's digest, whether the chain holds, and the first places where it doesn't."""
+    bad = verify(log, key).where("not ok").select("position").orderBy("position").limit(problems)
+    chain = bad.agg(F.array_sort(F.collect_list("position")).alias("chain_problems"))
+    model = log.agg(F.max_by("model_hash", "seq").alias("model_hash"))
+    out = summary(log).crossJoin(F.broadcast(model)).crossJoin(F.broadcast(chain))
+    return out.withColumn("chain_verified", F.size("chain_problems") == 0)
+
+
 def page(log: DataFrame, limit: int = 100, offset: int = 0, threat_class: str | None = None, decision: str | None = None) -> DataFrame:
     if not 1 <= limit <= 1000 or offset < 0:
         raise ValueError("limit must be 1 to 1000 and offset not negative")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The features that each detector may see.
@@ -22,10 +22,21 @@ HEADS: dict[str, list[str]] = {
 }
 
 
+#: What each detector goes by, in words, and whether a one-way sensor leaves it without its best evidence.
+MECHANISM = {
+    "ddos": ("Many sources, spread evenly, send to one host.", False),
+    "scan": ("One host tries many peers or ports, with little sent to each.", False),
+    "beacon": ("Contacts of one host come at regular times, mostly to one peer.", False),
+    "exfil": ("A host sends far more than it has before.", False),
+    "dga": ("Looked-up names have rare pairs of letters; answers are not seen.", True),
+    "encrypted": ("A client's handshake is rare or new; what it sends is not seen.", True),
+}
+
+
 class Head:
     """One class's detector: fits on its features alone, those the table has."""
 
-    def __init__(self, threat: str, threshold: float = 0.5, only: list[str] | None = None, trees: int = 20, depth: int = 5):
+    def __init__(self, threat: str, threshold: float = 0.5, only: list[str] | None = None, trees: int = 180, depth: int = 5):
         self.threat, self.threshold, self.trees, self.depth = threat, threshold, trees, depth
         self.features = [f for f in HEADS[threat] if only is None or f in only]
         self.model = None
@@ -52,6 +63,41 @@ class Head:
         return f"{self.threat}: " + ", ".join(f"{n} ({g:.2f})" for n, g in self.top_features())
 
 
+def build_heads(threshold: float = 0.5, restrict: list[str] | None = None, every: list[str] | None = None, trees: int = 180, depth: int = 5) -> list[Head]:
+    """All six detectors; `restrict` leaves only those of their features, `every` gives each of
+    them all the features named."""
+    heads = [Head(threat, threshold, restrict, trees, depth) for threat in HEADS]
+    for h in heads:
+        h.features = list(every) if every else h.features
+    return heads
+
+
+def roster(spark: SparkSession) -> DataFrame:
+    """(threat_class, rationale, declared_features, known_gap) of each detector."""
+    rows = [(t, *MECHANISM[t][:1], HEADS[t], MECHANISM[t][1]) for t in HEADS]
+    return spark.createDataFrame(rows, "threat_class string, rationale string, declared_features array<string>, known_gap boolean")
+
+
+class Multiclass:
+    """One model for all classes, which gives a cell one label: what detectors are held against."""
+
+    def __init__(self, classes: list[str], features: list[str], trees: int = 180, depth: int = 5):
+        self.classes, self.features, self.trees, self.depth = classes, features, trees, depth
+
+    def fit(self, rows: DataFrame, label: str) -> Multiclass:
+        """`label` names one of the classes."""
+        y = F.array_position(F.array(*map(F.lit, self.classes)), F.col(label)) - 1
+        forest = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=self.trees, maxDepth=self.depth, subsamplingRate=0.9, seed=0)
+        own = rows.select(*self.features, y.cast("double").alias("y")).where("y >= 0")
+        self.model = Pipeline(stages=[VectorAssembler(inputCols=self.features, outputCol="v", handleInvalid="keep"), forest]).fit(own)
+        return self
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """`rows` with probs, an entry a class that training has seen, and predicted, its number."""
+        out = self.model.transform(rows).withColumn("probs", vector_to_array("probability"))
+        return out.withColumn("predicted", F.col("prediction").cast("int")).drop("v", "rawPrediction", "probability", "prediction")
+
+
 class Ensemble:
     def __init__(self, heads: list[Head]):
         self.heads = heads

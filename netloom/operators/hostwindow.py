@@ -127,6 +127,12 @@ def enriched_flows(wf: DataFrame) -> DataFrame:
     return out.fillna(0.0, HOST_FEATURES)
 
 
+def reattached(wf: DataFrame, cells: DataFrame, side: str) -> DataFrame:
+    """Flows with the columns of `cells` (window, `side`, ...) of their window and host; 0 where there is no cell."""
+    more = [c for c in cells.columns if c not in ("window", side)]
+    return wf.drop("slice").join(cells, ["window", side], "left").fillna(0, more)
+
+
 def host_cells(wf: DataFrame, decayed: bool = True) -> DataFrame:
     """One row a (window, host) with all sixteen features; what a host has no part in is 0."""
     src = prefixed(with_baseline(src_cells(wf), decayed), "src", "src").withColumnRenamed("src", "host")

@@ -255,14 +255,37 @@ def log(spark, d):
     return A.append(alerts(spark, d), KEY, "rules-1")
 
 
-@query()
+SEP_SQL = "chr(31)"
+CHAIN_SQL = f"""{ALERT_SQL}, tx AS MATERIALIZED (SELECT CAST(seq AS BIGINT) AS seq, "window", host, threat_class, alert_id,
+  concat_ws({SEP_SQL}, CAST(seq AS VARCHAR), alert_id, printf('%.6f', "window" * 60.0), CAST("window" AS VARCHAR), host, threat_class, printf('%.6f', score), printf('%.6f', score), decision, 'rules-1',
+  sha256(concat_ws({SEP_SQL}, 'hw_dst_fwd_bytes=' || printf('%.6f', CAST(db AS DOUBLE)), 'hw_src_fwd_bytes=' || printf('%.6f', CAST(sb AS DOUBLE)), 'hw_src_n_flows=' || printf('%.6f', CAST(sn AS DOUBLE))))) AS t FROM log),
+ch AS (SELECT seq, repeat('0', 64) AS prev_hash, sha256(t || {SEP_SQL} || repeat('0', 64)) AS entry_hash FROM tx WHERE seq = 0
+UNION ALL SELECT tx.seq, ch.entry_hash, sha256(t || {SEP_SQL} || ch.entry_hash) FROM ch JOIN tx ON tx.seq = ch.seq + 1)"""
+
+
+@query(f"""WITH RECURSIVE {CHAIN_SQL} SELECT tx.seq, alert_id, "window", host, threat_class, prev_hash, entry_hash FROM ch JOIN tx USING (seq)""")
 def evidence_chain(spark, d):
-    return log(spark, d).select("seq", "alert_id", "window", "host", "threat_class", "severity", "prev_hash", "entry_hash", "hmac")
+    return log(spark, d).select("seq", "alert_id", "window", "host", "threat_class", "prev_hash", "entry_hash")
 
 
-@query(f"""WITH {ALERT_SQL} SELECT CAST(seq AS BIGINT) AS seq, true AS ok FROM log""")
+@query(f"""WITH {ALERT_SQL} SELECT CAST(seq AS BIGINT) AS seq, seq NOT IN (17, 18, 40, 41, 60) AS ok, seq NOT IN (17, 40) AS entry_ok, seq NOT IN (18, 41) AS link_ok, seq <> 60 AS features_ok FROM log""")
 def evidence_verify(spark, d):
-    return A.verify(log(spark, d), KEY).select("seq", "ok")
+    """A log in which two entries' hosts and scores and one's features were changed afterwards:
+    an edit shows at its entry and breaks the link of the next."""
+    bad = log(spark, d)
+    bad = bad.withColumns(
+        {
+            "host": F.when(F.col("seq") == 17, "other").otherwise(F.col("host")),
+            "score": F.when(F.col("seq") == 40, 0.1).otherwise(F.col("score")),
+            "features": F.when(F.col("seq") == 60, F.create_map(F.lit("x"), F.lit(1.0))).otherwise(F.col("features")),
+        }
+    )
+    return A.verify(bad, KEY).select("seq", "ok", "entry_ok", "link_ok", "features_ok")
+
+
+@query(f"""WITH {ALERT_SQL} SELECT count(*) AS entries, true AS chain_verified, 0 AS n_problems, 'rules-1' AS model_hash FROM log""")
+def log_summary_with_chain(spark, d):
+    return A.summary_with_chain(log(spark, d), KEY).select("entries", "chain_verified", F.size("chain_problems").alias("n_problems"), "model_hash")
 
 
 @query(f"""WITH {ALERT_SQL} SELECT count(*) AS entries, count(*) FILTER (decision = 'ALERT') AS alerts, count(*) FILTER (decision = 'ABSTAIN') AS abstentions, min("window") AS first_window, max("window") AS last_window FROM log""")
@@ -272,7 +295,7 @@ def log_summary(spark, d):
 
 @query(f"WITH {ALERT_SQL} SELECT 'ok' AS status, count(*) AS entries FROM log")
 def log_health(spark, d):
-    return A.health(alerts(spark, d))
+    return A.health(log(spark, d))
 
 
 @query(f"""WITH {ALERT_SQL} SELECT CAST(seq AS BIGINT) AS seq, "window", host, decision FROM log WHERE threat_class = 'exfil' AND decision = 'ALERT' ORDER BY seq LIMIT 20 OFFSET 5""")
@@ -303,9 +326,16 @@ def diffusion_stats(spark, d):
     return out.select("attack_cells", *(F.round(c, 6).alias(c) for c in ("mean_attack", "median_attack", "dilution", "benign_per_attack_cell")))
 
 
-@query()
+@query(f"""WITH {T.FLOWS_SQL} SELECT label, count(*) AS n, label = 'benign' AS in_place, true AS at_home FROM flows GROUP BY ALL""")
 def diffuse_attacks(spark, d):
-    return C.diffuse(labelled(spark, d), CFG).select("us", "src", "dst", "window", "label", "id")
+    """What thinning attacks out leaves: as many flows of each label, benign ones where they were,
+    attacks elsewhere, and only on hosts that have benign flows."""
+    before, after = labelled(spark, d), C.diffuse(labelled(spark, d), CFG)
+    same = ["us", "src", "dst", "window", "label", "id"]
+    moved = after.select(*same).exceptAll(before.select(*same)).groupBy("label").agg(F.count("*").alias("moved"))
+    hosts = before.where("label = 'benign'").select("src").distinct().withColumn("known", F.lit(True))
+    out = after.join(hosts, "src", "left").groupBy("label").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("at_home"))
+    return out.join(moved, "label", "left").select("label", "n", F.col("moved").isNull().alias("in_place"), "at_home")
 
 
 @query()
@@ -315,14 +345,24 @@ def topk_gumbel(spark, d):
     return C.top_windows(w, hosts, CFG, F.lit(5)).select("campaign", "host", "window", "rank")
 
 
-@query(f"WITH {T.FLOWS_SQL}, c AS (SELECT label, count(*) AS n FROM flows GROUP BY ALL) SELECT label, CASE WHEN label = 'benign' THEN n ELSE least(n, 500) END AS n FROM c")
+@query(f"""WITH {T.FLOWS_SQL}, i AS (SELECT *, src || '-' || dst || '-' || us || '-' || dport || '-' || CAST(fwd_bytes * 100 AS BIGINT) AS id FROM flows),
+r AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY {X.portable_sql(0, "id")}, id) AS k FROM i WHERE label <> 'benign') SELECT label, id FROM r WHERE k <= 500""")
 def attack_budget(spark, d):
-    return C.within_budget(labelled(spark, d), 1000).groupBy("label").agg(F.count("*").alias("n"))
+    f = T.flows(spark, d)
+    f = f.withColumn("id", F.concat_ws("-", "src", "dst", "us", "dport", F.round(F.col("fwd_bytes") * 100).cast("long")))
+    return C.within_budget(f, 1000).where("label <> 'benign'").select("label", "id")
 
 
-@query(f"WITH {T.FLOWS_SQL} SELECT label, count(*) AS n FROM flows GROUP BY ALL")
+@query(f"WITH {T.FLOWS_SQL}, n AS (SELECT label, count(*) AS n FROM flows GROUP BY ALL) SELECT label, n, true AS moved FROM n")
 def label_permutation(spark, d):
-    return C.permuted_labels(labelled(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
+    """Labels dealt anew: each as often as before, and no closer to the old ones than chance has it."""
+    rows = labelled(spark, d).dropDuplicates(["id"])
+    out = C.permuted_labels(rows).join(rows.select("id", F.col("label").alias("old")), "id")
+    share = F.avg((F.col("label") == F.col("old")).cast("double"))
+    n = out.groupBy("label").agg(F.count("*").alias("n"), share.alias("same"))
+    whole = out.agg(F.count("*").alias("all"))
+    near = F.abs(F.col("same") - F.col("n") / F.col("all")) < 0.05
+    return n.crossJoin(F.broadcast(whole)).select("label", "n", near.alias("moved"))
 
 
 @query()

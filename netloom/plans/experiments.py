@@ -13,6 +13,7 @@ from netloom.operators import metrics as M
 from netloom.operators import packetcell as P
 from netloom.operators import visibility as V
 from netloom.sources import corpus as C
+from netloom.plans.traffic import SAMPLED_SQL
 from netloom.sources import tables as T
 
 QUERIES, ORACLE = {}, {}
@@ -34,9 +35,10 @@ def wf(spark, d):
 
 
 @query(f"""WITH {T.PACKETS_SQL} SELECT 'FULL_ENRICHED' AS profile, count(*) AS packets, count(DISTINCT src_ip) AS sources FROM packets UNION ALL SELECT 'DIODE_FULL', count(*), count(DISTINCT src_ip) FROM packets
-UNION ALL SELECT 'DIODE_ONEWAY', count(*), count(DISTINCT src_ip) FROM packets WHERE direction = 1""")
+UNION ALL SELECT 'DIODE_ONEWAY', count(*), count(DISTINCT src_ip) FROM packets WHERE direction = 1
+UNION ALL SELECT 'DIODE_ONEWAY_SAMPLED', count(*), count(DISTINCT src_ip) FROM packets WHERE {SAMPLED_SQL}""")
 def visibility_ladder(spark, d):
-    rungs = [p.apply(T.packets(spark, d)).agg(F.lit(p.name).alias("profile"), F.count("*").alias("packets"), F.countDistinct("src_ip").alias("sources")) for p in V.LADDER[:3]]
+    rungs = [p.apply(T.packets(spark, d)).agg(F.lit(p.name).alias("profile"), F.count("*").alias("packets"), F.countDistinct("src_ip").alias("sources")) for p in V.LADDER]
     return reduce(DataFrame.unionByName, rungs)
 
 
@@ -93,6 +95,22 @@ def class_histogram(spark, d):
     return C.binary_labels(e, "view").groupBy(F.col("Label").alias("label")).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("y"))
 
 
+@query(f"""WITH {T.FLOWS_SQL}, b AS (SELECT min("window") AS lo, max("window") AS hi FROM wf)
+SELECT CASE WHEN "window" >= lo + floor((hi - lo + 1) * 0.75) THEN 2 WHEN "window" >= lo + floor((hi - lo + 1) * 0.6) THEN 1 ELSE 0 END AS part, count(*) AS n, min("window") AS first_window FROM wf, b GROUP BY ALL""")
+def temporal_parts(spark, d):
+    """Fit, calibration and test on whole windows: 60, 15 and 25 %."""
+    return M.temporal_parts(wf(spark, d), "window", (0.60, 0.15, 0.25)).groupBy("part").agg(F.count("*").alias("n"), F.min("window").alias("first_window"))
+
+
+@query(f"""WITH {T.FLOWS_SQL}, c AS (SELECT "window", src, count(*) AS n_flows, sum(fwd_bytes) AS fwd_bytes FROM wf GROUP BY ALL)
+SELECT f."window", f.src, f.dst, f.dport, coalesce(c.n_flows, 0) AS n_flows, round(coalesce(c.fwd_bytes, 0), 4) AS bytes FROM wf f LEFT JOIN c USING ("window", src)""")
+def cells_reattached(spark, d):
+    """Cells made elsewhere, as a stream makes them, put back on the flows by window and host."""
+    w = wf(spark, d)
+    cells = H.unpivot_cells(w).select("window", F.col("host").alias("src"), F.col("hw_src_n_flows").cast("long").alias("n_flows"), F.col("hw_src_fwd_bytes").alias("b"))
+    return H.reattached(w, cells, "src").select("window", "src", "dst", "dport", "n_flows", F.round("b", 4).alias("bytes"))
+
+
 @query(f"""WITH {T.FLOWS_SQL} SELECT src, dst, dport FROM wf ORDER BY us, src, dst, dport, fwd_bytes LIMIT 50""")
 def sorted_head(spark, d):
     return wf(spark, d).orderBy("us", "src", "dst", "dport", "fwd_bytes").limit(50).select("src", "dst", "dport")

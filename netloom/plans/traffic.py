@@ -8,6 +8,7 @@ from netloom.functions import exprs as X
 from netloom.operators import hostwindow as H
 from netloom.operators import packetcell as P
 from netloom.operators import sessions as S
+from netloom.operators import sketches as K
 from netloom.operators import visibility as V
 from netloom.schema import HOST_FEATURES
 from netloom.sources import tables as T
@@ -142,9 +143,13 @@ def visibility_oneway(spark, d):
     return V.profile("DIODE_ONEWAY").apply(T.packets(spark, d)).select(F.col("index").alias("idx"), "src_ip", "dst_ip", F.col("size").cast("double").alias("size"))
 
 
-@query()
+FLOW_TEXT = "CASE WHEN direction = 1 THEN format('{}:{}->{}:{}/tcp', src_ip, 0, dst_ip, dst_port) ELSE format('{}:{}->{}:{}/tcp', dst_ip, dst_port, src_ip, 0) END"
+SAMPLED_SQL = f"direction = 1 AND {X.portable_sql(7, FLOW_TEXT)} * 16 < 1"
+
+
+@query(f"WITH {T.PACKETS_SQL} SELECT idx, src_ip, dst_ip, CAST(size AS DOUBLE) AS size FROM packets WHERE {SAMPLED_SQL}")
 def visibility_sampled(spark, d):
-    return V.profile("DIODE_ONEWAY_SAMPLED").apply(T.packets(spark, d)).select("index", "src_ip", "dst_ip", "size")
+    return V.profile("DIODE_ONEWAY_SAMPLED").apply(T.packets(spark, d)).select(F.col("index").alias("idx"), "src_ip", "dst_ip", F.col("size").cast("double").alias("size"))
 
 
 @query(f"""WITH {T.PACKETS_SQL} SELECT idx, CASE WHEN direction = 1 THEN format('{{}}:{{}}->{{}}:{{}}/tcp', src_ip, 0, dst_ip, dst_port) ELSE format('{{}}:{{}}->{{}}:{{}}/tcp', dst_ip, dst_port, src_ip, 0) END AS flow FROM packets""")
@@ -163,16 +168,39 @@ def tcp_flags_text(spark, d):
     return T.packets(spark, d).select(F.col("index").alias("idx"), X.flags_text(F.col("flags")).alias("flags"))
 
 
-@query(f'WITH {T.FLOWS_SQL} SELECT "window", src, dst, fwd_pkts, 0.0::DOUBLE AS fwd_bytes FROM wf')
+@query(f'WITH {T.FLOWS_SQL} SELECT "window", src, dst, 0.0::DOUBLE AS dport, fwd_pkts, 0.0::DOUBLE AS fwd_bytes FROM wf')
 def ablate_zero(spark, d):
-    return V.ablate(wf(spark, d).select("window", "src", "dst", "fwd_pkts", "fwd_bytes"), ["fwd_pkts"], ["fwd_pkts", "fwd_bytes"])
+    return V.ablate(wf(spark, d).select("window", "src", "dst", "dport", "fwd_pkts", "fwd_bytes"), ["fwd_pkts"], ["dport", "fwd_pkts", "fwd_bytes"])
+
 
+def corpus_like(spark, d):
+    """Flows under some of the names that flow tables have, of every class of column."""
+    f = T.flows(spark, d)
+    named = {"Src IP": "src", "Dst IP": "dst", "Label": "label", "Dst Port": "dport", "Total Fwd Packet": "fwd_pkts", "Total Length of Fwd Packet": "fwd_bytes", "Down/Up Ratio": "dport", "Flow Duration": "us"}
+    return f.select(*(F.col(c).alias(n) for n, c in named.items()), (F.col("fwd_pkts") * 2).alias("Total Bwd packets"), F.col("us").alias("note"))
 
-@query("""SELECT * FROM (VALUES ('us', 'meta'), ('src', 'meta'), ('dst', 'meta'), ('dport', 'forward'), ('fwd_pkts', 'forward'), ('fwd_bytes', 'forward'), ('label', 'meta')) AS t("column", class)""")
+
+@query("""WITH c AS (SELECT unnest(['Src IP', 'Dst IP', 'Label', 'Dst Port', 'Total Fwd Packet', 'Total Length of Fwd Packet', 'Down/Up Ratio', 'Flow Duration', 'Total Bwd packets', 'note']) AS "column")
+SELECT "column", CASE WHEN "column" IN ('Src IP', 'Dst IP', 'Label') THEN 'meta' WHEN contains("column", 'Bwd') OR "column" = 'Down/Up Ratio' THEN 'backward' WHEN contains("column", 'Fwd') OR "column" = 'Dst Port' THEN 'forward' WHEN starts_with("column", 'Flow') THEN 'both' ELSE 'other' END AS class FROM c""")
 def column_audit(spark, d):
-    c = F.col("column")
-    kind = F.when(c.isin("us", "src", "dst", "label"), "meta").when(c.startswith("bwd"), "backward").when(c.startswith("fwd") | (c == "dport"), "forward").otherwise("bidirectional")
-    return spark.createDataFrame([(x,) for x in T.flows(spark, d).columns], "column string").select("column", kind.alias("class"))
+    return spark.createDataFrame([(x, V.column_class(x)) for x in corpus_like(spark, d).columns], "column string, class string")
+
+
+@query(f"""WITH {T.FLOWS_SQL} SELECT 'full' AS visibility, count(*) AS n, 5 AS columns, round(sum(fwd_pkts), 4) AS pkts, round(sum(fwd_pkts * 2), 4) AS back FROM flows UNION ALL SELECT 'oneway', count(*), 2, round(sum(fwd_pkts), 4), NULL FROM flows""")
+def observable_columns(spark, d):
+    """What a sensor sees of the same flows, both ways and one way."""
+    out = None
+    for v in ("full", "oneway"):
+        df = V.observable(corpus_like(spark, d).drop("Dst Port"), v)
+        back = F.round(F.sum("Total Bwd packets"), 4) if "Total Bwd packets" in df.columns else F.lit(None).cast("double")
+        one = df.agg(F.lit(v).alias("visibility"), F.count("*").alias("n"), F.lit(len(df.columns)).alias("columns"), F.round(F.sum("Total Fwd Packet"), 4).alias("pkts"), back.alias("back"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {T.FLOWS_SQL} SELECT us - t0 AS us, src, dst, dport FROM flows, origin")
+def rebased_times(spark, d):
+    return V.rebased(T.flows(spark, d)).select("us", "src", "dst", "dport")
 
 
 # ---- sessions
@@ -306,18 +334,62 @@ def decayed_out_bytes(spark, d):
 # ---- sketches
 
 
-@query()
+@query(f'WITH {T.FLOWS_SQL} SELECT "window", src, count(DISTINCT dst) AS exact, true AS near FROM wf GROUP BY ALL')
 def hll_fanout(spark, d):
-    """Peers of a (window, src) by a mergeable sketch beside the exact number."""
-    w = wf(spark, d)
+    """Peers of a (window, src) by a mergeable sketch, held against the exact number."""
     sketch = F.hll_sketch_estimate(F.hll_sketch_agg("dst", F.lit(12)))
-    return w.groupBy("window", "src").agg(sketch.alias("estimate"), F.countDistinct("dst").alias("exact"))
+    out = wf(spark, d).groupBy("window", "src").agg(sketch.alias("estimate"), F.countDistinct("dst").alias("exact"))
+    return out.select("window", "src", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 1 + 0.05 * F.col("exact")).alias("near"))
 
 
-@query()
+@query(f"""WITH {T.FLOWS_SQL}, n AS (SELECT src, dst, count(*) AS n FROM wf GROUP BY ALL), r AS (SELECT src, n, row_number() OVER (PARTITION BY src ORDER BY n DESC) AS place FROM n)
+SELECT src, CAST(place AS INTEGER) AS place, n FROM r WHERE place <= 3""")
 def approx_topk_peers(spark, d):
-    """The commonest peers of each source by a mergeable sketch of bounded size."""
-    return wf(spark, d).groupBy("src").agg(F.expr("approx_top_k(dst, 3, 100)").alias("top"))
+    """How often each source meets its commonest peers, by a mergeable sketch of bounded size,
+    which is exact while a source has no more peers than it holds."""
+    top = wf(spark, d).groupBy("src").agg(F.expr("approx_top_k(dst, 3, 100)").alias("top"))
+    return top.select("src", F.posexplode(F.reverse(F.array_sort(F.col("top.count")))).alias("at", "n")).select("src", (F.col("at") + 1).cast("int").alias("place"), "n")
+
+
+@query(f"""WITH {T.FLOWS_SQL}, k AS (SELECT dst, count(*) AS n FROM flows GROUP BY ALL), l AS (SELECT unnest(range(4)) AS line),
+c AS (SELECT dst, n, line, floor(CAST('0x' || substr(md5(line || '|' || dst), 1, 13) AS BIGINT) / 4503599627370496.0 * 32) AS cell FROM k, l), s AS (SELECT line, cell, sum(n) AS n FROM c GROUP BY ALL)
+SELECT c.dst, CAST(min(s.n) AS BIGINT) AS estimate, any_value(c.n) AS exact FROM c JOIN s USING (line, cell) GROUP BY c.dst""")
+def count_min_peers(spark, d):
+    """Flows of each destination by a narrow count-min sketch of two merged halves, and exactly."""
+    f = T.flows(spark, d)
+    halves = [K.count_min(f.where(F.col("dport") % 2 == i), "dst", width=32) for i in (0, 1)]
+    exact = f.groupBy("dst").agg(F.count("*").alias("exact"))
+    return K.estimates(K.merged(*halves), exact, "dst", width=32).join(exact, "dst").select("dst", F.col("estimate").cast("long").alias("estimate"), "exact")
+
+
+@query(f"""WITH {T.FLOWS_SQL}, s AS (SELECT CAST(floor({X.portable_sql(0, "src")} * 8) AS INTEGER) AS shard FROM flows), n AS (SELECT shard, count(*) AS n FROM s GROUP BY ALL), e AS (SELECT CAST(unnest(range(8)) AS INTEGER) AS shard)
+SELECT e.shard, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) / 8.0 FROM flows), 6) AS over_mean FROM e LEFT JOIN n USING (shard)""")
+def shard_balance(spark, d):
+    return K.shard_balance(T.flows(spark, d), 8, "src").withColumn("over_mean", F.round("over_mean", 6))
+
+
+@query(f'WITH {SRC_SQL} SELECT "window", src, {r6_sql(SRC)} FROM src_cells')
+def sharded_cells(spark, d):
+    """Source cells of each shard of the sources for itself, put together: those of one run."""
+    w = wf(spark, d)
+    shard = K.shard_of(4, "src")
+    out = None
+    for i in range(4):
+        one = H.src_cells(w.where(shard == i))
+        out = one if out is None else out.unionByName(one)
+    return r6(out.select("window", "src", *SRC), ["window", "src"])
+
+
+@query(f'WITH {SRC_SQL} SELECT "window", src, n_flows FROM src_cells ORDER BY "window", src LIMIT 100')
+def sorted_cells(spark, d):
+    cells = H.pairs(wf(spark, d)).groupBy("window", "src").agg(F.sum("n").alias("n_flows"))
+    return cells.orderBy("window", "src").limit(100)
+
+
+@query(f"WITH {T.FLOWS_SQL} SELECT array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, count(DISTINCT label) AS n FROM flows")
+def distinct_labels(spark, d):
+    found = F.array_sort(F.collect_set("label"))
+    return T.flows(spark, d).select("label").distinct().agg(F.array_join(found, ",").alias("labels"), F.count("*").alias("n"))
 
 
 @query(f"WITH {T.FLOWS_SQL} SELECT dst, count(*) AS n FROM flows GROUP BY ALL ORDER BY n DESC, dst LIMIT 10")
@@ -325,11 +397,10 @@ def heavy_hitters_exact(spark, d):
     return T.flows(spark, d).groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(10)
 
 
-@query()
+@query(f"""WITH {T.PACKETS_SQL}, p AS (SELECT DISTINCT src_ip AS peer FROM packets), u AS (SELECT peer, {X.portable_sql(10, "peer")} < 0.05 AS listed, {X.portable_sql(11, "peer")} AS u, {X.portable_sql(12, "peer")} AS v FROM p),
+r AS (SELECT peer, CASE WHEN listed AND v < 0.55 THEN 0.6 + 0.4 * u WHEN NOT listed AND v < 0.03 THEN 0.5 + 0.4 * u ELSE 0.0 END AS reputation FROM u) SELECT peer, round(reputation, 6) AS reputation, reputation > 0.5 AS flagged FROM r""")
 def reputation_join(spark, d):
-    """Peers with made-up outside reputation: listed ones high, mostly; others high now and then."""
+    """Peers with an outside service's word on them: it knows 55 % of listed ones, and takes 3 % of others for such."""
     peers = T.packets(spark, d).select(F.col("src_ip").alias("peer")).distinct()
-    listed = peers.where(F.pmod(F.xxhash64("peer"), F.lit(20)) == 0).select("peer", F.lit(True).alias("listed"))
-    u, v = X.uniform(11, F.col("peer")), X.uniform(12, F.col("peer"))
-    rep = F.when(F.col("listed") & (v < 0.85), 0.6 + 0.4 * u).when(F.col("listed").isNull() & (v < 0.02), 0.5 + 0.4 * u).otherwise(0.5 * u)
-    return peers.join(listed, "peer", "left").select("peer", rep.alias("reputation"), (rep > 0.5).alias("flagged"))
+    listed = peers.where(X.portable(10, F.col("peer")) < 0.05)
+    return V.reputation(peers, listed).select("peer", F.round("reputation", 6).alias("reputation"), (F.col("reputation") > 0.5).alias("flagged"))
