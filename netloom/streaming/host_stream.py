@@ -8,6 +8,7 @@ closed by the same watermark.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import tempfile
 
@@ -22,17 +23,19 @@ def with_time(flows: DataFrame) -> DataFrame:
     return flows.withColumn("ts", F.timestamp_micros("us"))
 
 
-def unpivoted(flows: DataFrame) -> DataFrame:
+def unpivoted(flows: DataFrame, roles: tuple[str, ...] = ("src", "dst")) -> DataFrame:
+    """A row a flow for each of the roles that its ends can have."""
+    other = {"src": "dst", "dst": "src"}
     end = lambda host, peer, role: F.struct(F.col(host).alias("host"), F.col(peer).alias("peer"), F.lit(role).alias("role"))
-    return flows.select("ts", "dport", "fwd_pkts", "fwd_bytes", F.explode(F.array(end("src", "dst", "src"), end("dst", "src", "dst"))).alias("end")).select("ts", "dport", "fwd_pkts", "fwd_bytes", "end.*")
+    return flows.select("ts", "dport", "fwd_pkts", "fwd_bytes", F.explode(F.array(*(end(r, other[r], r) for r in roles))).alias("end")).select("ts", "dport", "fwd_pkts", "fwd_bytes", "end.*")
 
 
-def host_cells(flows: DataFrame, width: str, lateness: str = "15 seconds", start: str = "0 seconds") -> DataFrame:
+def host_cells(flows: DataFrame, width: str, lateness: str = "15 seconds", start: str = "0 seconds", roles: tuple[str, ...] = ("src", "dst")) -> DataFrame:
     """One row a closed (window, host): counts, sums, peers, concentration and source entropy.
 
     Flows later than the watermark are dropped, and Spark's progress counts them. In a batch
     the same plan gives all windows: that is the flush of a finished input."""
-    rows = unpivoted(flows)
+    rows = unpivoted(flows, roles)
     if flows.isStreaming:
         rows = rows.withWatermark("ts", lateness)
     by_peer = rows.groupBy(F.window("ts", width, startTime=start).alias("w"), "host", "role", "peer").agg(F.count("*").alias("n"), F.sum("fwd_pkts").alias("p"), F.sum("fwd_bytes").alias("b"), F.collect_set("dport").alias("ports"))
@@ -63,14 +66,52 @@ def idle_sessions(packets: DataFrame, idle: str, lateness: str = "15 seconds") -
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "src_ip", "dst_ip", "n_pkts", "n_bytes")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there, appends to Parquet at `path`, and reads it."""
-    stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+def run_available(stream: DataFrame, path: str, checkpoint: str, counts: dict | None = None) -> DataFrame:
+    """Runs a stream over all that is there, appends to Parquet at `path`, and reads it; `counts`
+    takes what progress() gives."""
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    if counts is not None:
+        counts |= progress(query)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def progress(query) -> dict:
+    """Rows in, rows too late for the watermark, and rows of state that are held at the end, of
+    the micro-batches that Spark still knows of."""
+    batches = [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
+    states = [s for p in batches for s in p.get("stateOperators", [])]
+    last = [s for p in batches[-1:] for s in p.get("stateOperators", [])]
+    return {
+        "batches": len(batches),
+        "rows": sum(p.get("numInputRows", 0) for p in batches),
+        "late": sum(s.get("numRowsDroppedByWatermark", 0) for s in states),
+        "state_rows": sum(s.get("numRowsTotal", 0) for s in last),
+    }
+
+
+def flushed_cells(emitted: DataFrame, flows: DataFrame, width: str, seconds: float) -> DataFrame:
+    """What a stream of host cells emitted, and the windows that it held open when its input
+    ended: those after the last one emitted, by the same plan over their flows alone."""
+    last = emitted.agg(F.max(F.unix_micros("window_start"))).first()[0]
+    tail = flows if last is None else flows.where(F.unix_micros("ts") >= last + int(seconds * 1e6))
+    return emitted.unionByName(host_cells(tail, width))
+
+
+def flushed_sessions(emitted: DataFrame, packets: DataFrame, key: list[str], ends: str, rest) -> DataFrame:
+    """Emitted sessions, and those of the packets of each key that come after its last one:
+    `rest` makes sessions of packets, `ends` names an emitted session's end in microseconds."""
+    known = emitted.groupBy(*key).agg(F.max(ends).alias("_end"))
+    after = packets.join(known, key, "left").where("_end is null or us > _end").drop("_end")
+    return emitted.unionByName(rest(after).select(*emitted.columns))
+
+
 def run_folder(spark, name: str, key: str) -> str:
-    """A fresh folder in the shared place of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "netloom-streams")
+    """A fresh folder in the shared place of the session; a local one in local mode alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "netloom-streams")
     tag = hashlib.sha256(f"{spark.sparkContext.applicationId}{key}{os.urandom(8).hex()}".encode()).hexdigest()[:16]
     return f"{base.rstrip('/')}/streams/{name}-{tag}"
