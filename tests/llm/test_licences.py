@@ -54,3 +54,20 @@ def test_table(spark):
     out = licence_scan(spark.createDataFrame(rows, "doc_id long, text string, found int")).collect()
     assert [(r["doc_id"], r["licences"]) for r in out] == [(1, []), (2, []), (3, ["MIT"]), (3, ["MIT"]), (None, ["Proprietary"]), (4, []), (5, [])]
     assert licence_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_table_against_plain_search(spark):
+    """Texts with whole wordings planted: what is found is what a search for them finds."""
+    import random
+
+    r = random.Random(3)
+    texts = [t for t in TEMPLATES if t[1] == "text" and not t[0].startswith("BSD")]
+    rows = []
+    for i in range(80):
+        parts = [FILL * r.randint(1, 4) for _ in range(r.randint(1, 3))]
+        for _, _, t in r.sample(texts, r.choice([0, 1, 1, 2])):
+            parts.insert(r.randrange(len(parts) + 1), t)
+        rows.append((i, "\n\n".join(parts)))
+    want = {i: sorted({n for n, _, w in texts if w in t}) for i, t in rows}
+    out = licence_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["licences"] for x in out} == want

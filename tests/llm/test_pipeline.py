@@ -61,3 +61,21 @@ def test_stages_against_brute_force(spark, folder):
         want.append((i, 0, len(ids), zlib.crc32(ids.tobytes())))
     assert fifth == sorted(want, key=str)
     assert rows(cp.run(spark, d).select("doc_id", "piece", "length", "ids_crc32")) == fifth
+
+
+def test_odd_tables(spark, tmp_path):
+    d = str(tmp_path)
+    docs = spark.createDataFrame([(1, "quiet river runs past the old stone bridge", "en", "s", 4, "extra", 7), (2, None, "en", None, None, None, None), (3, "", None, "s", 0, "x", 1)], SCHEMA + ", doc_ID2 string, row int")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    kept = docs
+    for name, stage in cp.STAGES[:-1]:
+        kept = cp.cut(stage(spark, kept, d), name)
+        assert kept.columns == cp.COLUMNS and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3], name
+    assert sorted(r["doc_id"] for r in cp.run(spark, d).collect()) == [1, 2, 3]  # nothing is dropped without labels
+    none = f"{d}/none"
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{none}/benchmark.parquet")
+    assert cp.run(spark, none).collect() == []
