@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.graph import components, forest
 from netloom.llm.groups import runs
-from netloom.llm.store import cut, prepare
+from netloom.llm.store import cut, map_batches, prepare
 
 #: Nodes in a block, rows of a strip.
 BLOCK, STRIP = 12288, 512
@@ -139,11 +139,11 @@ def blocked(nodes: DataFrame, dims: int, least: float) -> tuple[DataFrame, np.nd
     """(low, high, block, node, copies, vector), the tiles of vectors of one length in order of
     their first principal axis, and all axes."""
     moments = np.zeros(dims * dims)
-    for at, m in nodes.select("vector", "copies").mapInArrow(_moments, "at long, moment double").groupBy("at").agg(F.sum("moment")).collect():  # d * d rows
+    for at, m in nodes.select("vector", "copies").transform(map_batches, _moments, "at long, moment double").groupBy("at").agg(F.sum("moment")).collect():  # d * d rows
         moments[at] = m
     axes = np.linalg.eigh(moments.reshape(dims, dims))[1][:, ::-1].copy()
     blocks = max(1, -(-nodes.count() // BLOCK))
-    led = nodes.select("vector", "node", "copies").mapInArrow(partial(_lead, axis=axes[:, 0]), "vector binary, node long, copies long, lead double")
+    led = nodes.select("vector", "node", "copies").transform(map_batches, partial(_lead, axis=axes[:, 0]), "vector binary, node long, copies long, lead double")
     led = cut(led.repartitionByRange(blocks, "lead").withColumn("part", F.spark_partition_id()), "ordered")
     parts = (led.agg(F.max("part")).first()[0] or 0) + 1
     led = led.withColumn("block", F.floor(F.col("part") * blocks / parts).cast("int")) if parts > blocks else led.withColumn("block", F.col("part"))
@@ -171,7 +171,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    rows = rows.mapInArrow(_clean, "vec_id long, dims int, vector binary")
+    rows = rows.transform(map_batches, _clean, "vec_id long, dims int, vector binary")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     # copies of a vector are one node, which the smallest of their rows names
     nodes = rows.where("vector is not null").groupBy("dims", "vector").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
@@ -186,7 +186,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     parts = []
     for placed, axes in tiles:
         placed = placed.repartition("low", "high").sortWithinPartitions("low", "high")
-        parts.append(cut(placed.mapInArrow(partial(_tiles, axes=axes, least=least), "a long, b long, n long"), "tiles"))
+        parts.append(cut(placed.transform(map_batches, partial(_tiles, axes=axes, least=least), "a long, b long, n long"), "tiles"))
     found = spark.read.schema(parts[0].schema).parquet(*(x.cut_path for x in parts))
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     label = components(found.where("b is not null").select("a", "b"))

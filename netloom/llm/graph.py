@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.store import cut
+from netloom.llm.store import cut, map_batches
 
 #: Links that one worker holds while it shortens them: some 8 MB.
 HELD = 1 << 19
@@ -69,7 +69,7 @@ def components(links: DataFrame, held: int = HELD) -> DataFrame:
     partial sums before the shuffle; the joins by node are plain equi-joins that adaptive
     execution can split where one node has very many links.
     """
-    shortened = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").mapInArrow(_shorten, "a long, b long")
+    shortened = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").transform(map_batches, _shorten, "a long, b long")
     edges = cut(shortened, "links")  # a > b
     while (n := edges.count()) > held:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -81,12 +81,12 @@ def components(links: DataFrame, held: int = HELD) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.mapInArrow(_shorten, "a long, b long").distinct(), "small")
+        edges = cut(small.transform(map_batches, _shorten, "a long, b long").distinct(), "small")
         # a star forest: each leaf has one centre, and no centre is a leaf
         n, leaves = edges.agg(F.count("*"), F.countDistinct("a")).first()
         if n == leaves and edges.select(F.col("b").alias("a")).join(edges, "a", "left_semi").isEmpty():
             break
     if n <= held:
-        edges = cut(edges.coalesce(1).mapInArrow(partial(_shorten, held_most=held + 1), "a long, b long"), "stars")
+        edges = cut(edges.coalesce(1).transform(map_batches, partial(_shorten, held_most=held + 1), "a long, b long"), "stars")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.store import cut, forget, new_path, prepare, release
+from netloom.llm.store import cut, forget, map_batches, new_path, prepare, release
 from netloom.llm.text import Words, batch_texts, graph_bytes, mix
 
 BEGIN, STOP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -212,9 +212,9 @@ def count(texts: DataFrame) -> Model:
     prepare(spark)
     bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     folder = new_path(spark, "pairs")
-    pairs = texts.select(F.col("text").cast("string")).mapInArrow(_pairs, "v long, w long, c int")
+    pairs = texts.select(F.col("text").cast("string")).transform(map_batches, _pairs, "v long, w long, c int")
     pairs = pairs.repartition(F.shiftrightunsigned("v", 64 - bits)).sortWithinPartitions(F.shiftrightunsigned("v", 64 - bits), "v", "w")
-    found = cut(pairs.mapInArrow(partial(_pair_files, folder=folder, bits=bits), "kind int, key long, x long, y long, z long, path string"), "counted")
+    found = cut(pairs.transform(map_batches, partial(_pair_files, folder=folder, bits=bits), "kind int, key long, x long, y long, z long, path string"), "counted")
     del pairs
     release(spark)
     words = found.where("kind = 1").groupBy("key").agg(F.sum("x").alias("c"), F.sum("y").alias("d"))
@@ -224,7 +224,7 @@ def count(texts: DataFrame) -> Model:
     total, different, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0)), F.count("*")).first()
     shard = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard")
     files = words.select(shard, "key", "c", "d").repartition("shard").sortWithinPartitions("shard", "key")
-    files = cut(files.mapInArrow(partial(_word_files, folder=folder), "shard int, n long, path string"), "word-files").collect()
+    files = cut(files.transform(map_batches, partial(_word_files, folder=folder), "shard int, n long, path string"), "word-files").collect()
     of_pairs = {r["key"]: r["n"] for r in found.where("kind = 2").groupBy("key").agg(F.sum("x").alias("n")).collect()}
     d = discounts([of_words.get(k, 0) for k in (1, 2, 3, 4)])
     mass = d[0] * of_words.get(1, 0) + d[1] * of_words.get(2, 0) + d[2] * sum(n for k, n in of_words.items() if k >= 3)
@@ -350,6 +350,6 @@ def kneser_ney_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     model = count(docs.where("not held_out"))
-    out = docs.mapInArrow(partial(_score, model=spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = docs.transform(map_batches, partial(_score, model=spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))

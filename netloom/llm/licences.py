@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.store import prepare
+from netloom.llm.store import map_batches, prepare
 
 # Public wordings of licences, (name, kind, text); a notice is a line that names
 # a licence, a text is a grant itself.
@@ -223,5 +223,5 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = "array<struct<licence: string, kind: string, start: int, length: int, reduction: double, share: double, differences: string>>"
-    out = docs.mapInArrow(_scan, f"doc_id long, found {found}")
+    out = docs.transform(map_batches, _scan, f"doc_id long, found {found}")
     return out.select("doc_id", F.size("found").cast("long").alias("n_blocks"), F.array_sort(F.array_distinct(F.col("found.licence"))).alias("licences"), "found")

@@ -10,6 +10,7 @@
    a hash table that hold them, and signatures are made of the others; only sets with too
    little left have signatures of all their shingles, too. Any marking keeps the guarantee.
    Within a map task a signature goes out once; further sets that have it are tied to the first.
+   Signatures shuffle in buckets of the hash space, sorted and packed: some twelve bytes each.
 3. Sets with a common signature make families (connected components). A family is a tile, or
    if it is large, dealt into parts by size, of which those make tiles that can link. Only hashed bitmaps of the sets go there, about three bits a
    shingle. In a tile, sets lie in order of size; for a set, the band of sizes that can reach
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 
 from netloom.llm.graph import components, forest
 from netloom.llm.groups import runs
-from netloom.llm.store import cut, forget, prepare, release
+from netloom.llm.store import cut, forget, map_batches, prepare, release
 from netloom.llm.text import Words, batch_texts, graph_bytes, grams, mix
 
 #: Sets, and shingles, of a family that one tile holds; larger families take several.
 TILE_SETS, TILE_SHINGLES = 1024, 1 << 22
 #: Cells of the table that finds common shingles, as a power of two, and cells counted as one row.
 CELLS, CELL_BLOCK = 22, 4096
+#: Keys of a bucket that one worker holds at once, as a power of two.
+KEYS_OF_BUCKET = 20
 #: A band's largest size over its smallest.
 BAND = 1.4
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -141,10 +144,10 @@ def _mark_cells(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
 
 def common_cells(docs: DataFrame, k: int) -> np.ndarray:
     """Whether each cell holds far more shingles than most: over four times the mean and 32."""
-    counts = docs.select("text").mapInArrow(partial(_count_cells, k=k), "block int, n long, counts binary")
-    counts = cut(counts.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_cells, "block int, n long, counts binary"), "cells")
+    counts = docs.select("text").transform(map_batches, partial(_count_cells, k=k), "block int, n long, counts binary")
+    counts = cut(counts.repartition("block").sortWithinPartitions("block").transform(map_batches, _sum_cells, "block int, n long, counts binary"), "cells")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    marks = counts.select("block", "counts").mapInArrow(partial(_mark_cells, least=4 * total / (1 << CELLS) + 32), "block int, bits binary")
+    marks = counts.select("block", "counts").transform(map_batches, partial(_mark_cells, least=4 * total / (1 << CELLS) + 32), "block int, bits binary")
     out = np.zeros(1 << CELLS, bool)
     for block, bits in marks.collect():  # all blocks together are a fixed half megabyte
         out[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
@@ -191,34 +194,63 @@ def _digests(batches: Iterator[pa.RecordBatch], k: int, percent: int, common) ->
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.int64()),
                     pa.array(bits, pa.binary()),
+                    pa.array(np.diff(ends), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))),
                 ],
-                ["doc_id", "n_shingles", "node", "bits", "keys"],
+                ["doc_id", "n_shingles", "node", "bits", "n_keys", "keys"],
             )
 
 
-def _unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, first): a key goes out once in a run of rows with first = node; other nodes
-    that have it go out tied to that first node, under a key of their own."""
+def pack_bucket(keys: np.ndarray, nodes: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted keys with their nodes: the first key and how far it is from each to the next, in as
+    few bytes as the widest step has; each node's number among the different ones, and these."""
+    own, refs = np.unique(nodes, return_inverse=True)
+    steps = np.diff(keys)
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    packed = keys[:1].tobytes() + bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return packed, refs.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes(), own.tobytes()
+
+
+def unpack_bucket(packed: bytes, refs: bytes, own: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, width, nodes = np.frombuffer(packed[:8], np.uint64), packed[8], np.frombuffer(own, np.int64)
+    at = np.frombuffer(refs, np.uint16 if len(nodes) <= 1 << 16 else np.uint32)
+    steps = np.zeros((len(at) - 1, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(packed[9:], np.uint8).reshape(-1, width) if width else 0
+    with np.errstate(over="ignore"):
+        keys = np.cumsum(np.concatenate([first, steps.view(np.uint64).ravel()]), dtype=np.uint64)
+    return keys, nodes[at]
+
+
+def _unroll(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, keys, refs, nodes): keys with their nodes by the first `bits` bits of the key, packed.
+    In a run of rows a key goes out once, with its first node; other nodes that have it are tied
+    to that first one by a key that only the two have."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
 
     def out():
         keys, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys = keys.view(np.uint64)
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        heads = np.flatnonzero(new)
-        first = nodes[heads][np.cumsum(new) - 1]
+        first = nodes[new][np.cumsum(new) - 1]
         tied = ~new & (first != nodes)
-        a, b = nodes[tied], first[tied]
+        keys, a, b = keys[new], nodes[tied], first[tied]
+        nodes = nodes[new]
         if len(a):
             a, b = forest(a, b)
-        for i in range(0, len(heads), 1 << 16):
-            h = heads[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[h]), pa.array(nodes[h]), pa.array(nodes[h])], ["key", "node", "first"])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), pa.array(b)], ["key", "node", "first"])
+            with np.errstate(over="ignore"):
+                tie = mix(a.view(np.uint64) * _SEED + b.view(np.uint64))
+            keys, nodes = np.concatenate([keys, tie, tie]), np.concatenate([nodes, a, b])
+            order = np.argsort(keys, kind="stable")
+            keys, nodes = keys[order], nodes[order]
+        bucket = keys >> np.uint64(64 - bits)
+        ends = np.flatnonzero(np.concatenate([bucket[1:] != bucket[:-1], [True]])) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        for i in range(0, len(ends), 64):
+            own = [pack_bucket(keys[x:y], nodes[x:y]) for x, y in zip(starts[i : i + 64], ends[i : i + 64], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts[i : i + 64]].astype(np.int64)), *(pa.array(x, pa.binary()) for x in zip(*own, strict=True))], ["bucket", "keys", "refs", "nodes"])
 
     for batch in batches:
         lists = batch.column(1)
@@ -233,37 +265,16 @@ def _unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: links between nodes of a key, and the ties, as a forest."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-    key0 = node0 = None
-
-    def out():
-        a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, nodes, firsts = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        tied = nodes != firsts
-        if tied.any():
-            held.append((nodes[tied], firsts[tied]))
-            n += int(tied.sum())
-            keys, nodes = keys[~tied], nodes[~tied]
-        if len(keys):
-            if key0 is not None and keys[0] == key0:
-                held.append((nodes[:1], np.array([node0])))
-            same = np.flatnonzero(keys[1:] == keys[:-1])
-            if len(same):
-                held.append((nodes[same + 1], nodes[same]))
-                n += len(same)
-            key0, node0 = keys[-1], nodes[-1]
-        if n >= 1 << 19:
-            yield out()
-            held, n = [], 0
-    if held:
-        yield out()
+    """From rows sorted by bucket: links between the nodes of each key, as a forest for each bucket."""
+    for t in runs(batches, ["bucket"]):
+        parts = [unpack_bucket(*x) for x in zip(*(t[c].to_pylist() for c in ("keys", "refs", "nodes")), strict=True)]
+        keys, nodes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, nodes = keys[order], nodes[order]
+        same = np.flatnonzero(keys[1:] == keys[:-1])
+        a, b = forest(nodes[same + 1], nodes[same])
+        for i in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["a", "b"])
 
 
 def digest_of(shingles: np.ndarray) -> int:
@@ -433,11 +444,14 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(common_cells(docs, k))
-    digests = cut(docs.mapInArrow(partial(_digests, k=k, percent=percent, common=common), "doc_id long, n_shingles long, node long, bits binary, keys array<long>"), "digests")
-    keyed = digests.where("size(keys) > 0").select("node", "keys").mapInArrow(_unroll, "key long, node long, first long")
-    keyed = keyed.repartition("key").sortWithinPartitions("key")
-    families = components(keyed.mapInArrow(_meet, "a long, b long"))
-    whole, digests = digests, cut(digests.drop("keys"), "sizes")
+    digests = cut(docs.transform(map_batches, partial(_digests, k=k, percent=percent, common=common), "doc_id long, n_shingles long, node long, bits binary, n_keys long, keys array<long>"), "digests")
+    # buckets of about a million keys, and some for each task at least
+    total = digests.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+    bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (total >> KEYS_OF_BUCKET).bit_length())
+    keyed = digests.where("n_keys > 0").select("node", "keys").transform(map_batches, partial(_unroll, bits=bits), "bucket long, keys binary, refs binary, nodes binary")
+    keyed = keyed.repartition("bucket").sortWithinPartitions("bucket")
+    families = components(keyed.transform(map_batches, _meet, "a long, b long"))
+    whole, digests = digests, cut(digests.drop("n_keys", "keys"), "sizes")
     del keyed
     forget(whole)
     release(spark)
@@ -445,13 +459,15 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     # one text stands for all copies of a set, that of the smallest id
     nodes = cut(digests.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "nodes")
     digests = digests.drop("bits")
-    near = tiled(nodes.join(families, "node").select("node", "n", "bits", F.col("component").alias("family")), percent)
+    near = cut(nodes.join(families, "node").select("node", "n", "bits", F.col("component").alias("family")), "near")
+    near = tiled(near, percent)
     near = near.select("family", "tile", "node", "n", "bits").repartition("family", "tile").sortWithinPartitions("family", "tile", "node")
-    families = components(near.mapInArrow(partial(_bounded_tiles, percent=percent), "a long, b long"))
-    members = tiled(nodes.join(families, "node").select("node", "least", "n", F.col("component").alias("family")), percent)
+    families = components(near.transform(map_batches, partial(_bounded_tiles, percent=percent), "a long, b long"))
+    members = cut(nodes.join(families, "node").select("node", "least", "n", F.col("component").alias("family")), "members")
+    members = tiled(members, percent)
     placed = docs.join(members, F.col("doc_id").eqNullSafe(F.col("least"))).select("family", "tile", "node", F.xxhash64("text").alias("copy"), "text")
     placed = placed.repartition("family", "tile").sortWithinPartitions("family", "tile", "node", "copy")
-    found = components(placed.mapInArrow(partial(_exact_tiles, k=k, percent=percent), "a long, b long"))
+    found = components(placed.transform(map_batches, partial(_exact_tiles, k=k, percent=percent), "a long, b long"))
     release(spark)
 
     least = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.bpe import WordIds
-from netloom.llm.store import cut, prepare
+from netloom.llm.store import cut, map_batches, prepare
 from netloom.llm.text import batch_texts
 
 #: A class of like sequences: how many, and (length, copies in each, number of the first piece).
@@ -252,7 +252,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, size: int = 204
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = docs.mapInArrow(partial(_pieces, path=tokenizer or tokenizer_path(), size=size), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    pieces = docs.transform(map_batches, partial(_pieces, path=tokenizer or tokenizer_path(), size=size), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
     pieces = cut(pieces, "pieces")  # a piece's task and its rank there are fixed from here on
     counts = cut(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     by_length = np.zeros(size + 1, np.int64)
@@ -263,4 +263,4 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, size: int = 204
     counts = counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
     # as many counts as tasks and lengths: too many to broadcast where there are many tasks
     numbered = pieces.join(counts.hint("merge"), ["length", "task"]).withColumn("number", F.col("before") + F.col("rank"))
-    return numbered.mapInArrow(partial(_assign, plan=plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.transform(map_batches, partial(_assign, plan=plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from netloom.llm.store import prepare
+from netloom.llm.store import map_batches, prepare
 
 ROUNDS = 10
 #: Characters of a secret that are permuted as one number; longer ones are permuted in blocks.
@@ -344,7 +344,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
     keep = [c for c in docs.columns if c.lower() not in ("pii_text", "pii_spans")]
     wide = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("pii_text"))
     schema = StructType([*wide.schema.fields, StructField("pii_spans", SPANS)])
-    return wide.mapInArrow(partial(_rewrite, key=key, back=back), schema)
+    return wide.transform(map_batches, partial(_rewrite, key=key, back=back), schema)
 
 
 def pseudonym_report(docs: DataFrame, key: bytes) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.store import prepare
+from netloom.llm.store import map_batches, prepare
 from netloom.llm.text import Words, batch_texts, graph_bytes
 from netloom.llm.toxicity import bounded_sample, held_out, training_rows
 
@@ -185,7 +185,7 @@ def train(labelled: DataFrame, fit_rows: int = 20_000) -> Model:
     prepare(labelled.sparkSession)
     chosen = bounded_sample(labelled.where("label in (0, 1)"), fit_rows)
     chosen = chosen.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars"))
-    found = chosen.coalesce(1).mapInArrow(_fit, "bias double, weights binary, factors binary").collect()
+    found = chosen.coalesce(1).transform(map_batches, _fit, "bias double, weights binary, factors binary").collect()
     if not found:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0))
     bias, weights, factors = found[0]
@@ -217,5 +217,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
     chars = F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0))
     model = train(training_rows(docs, labels, "quality", fold, "n_chars"))
     wide = docs.select("doc_id", fold.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), chars.alias("n_chars"))
-    out = wide.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double")
+    out = wide.transform(map_batches, partial(_score, model=docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

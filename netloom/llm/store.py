@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that Spark hands to a Python worker at once, but for a longer row; texts can be long.
@@ -37,6 +42,21 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def _lean(batches: Iterator, f: Callable[[Iterator], Iterator]) -> Iterator:
+    try:
+        yield from f(batches)
+    finally:  # a worker waits for other tasks, and what it keeps then is missing elsewhere
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow(f, schema) by workers that give memory back at the end of a task."""
+    return df.mapInArrow(partial(_lean, f=f), schema)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh place below the shared folder; the files of one application are together."""
     return f"{shared_dir(spark)}/netloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

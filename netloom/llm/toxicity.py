@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from netloom.llm.groups import runs
-from netloom.llm.store import cut, prepare, release
+from netloom.llm.store import cut, map_batches, prepare, release
 from netloom.llm.text import batch_texts, lower_table, mix
 
 #: Buckets of n-gram hashes, as a power of two, and buckets that are counted as one row.
@@ -186,14 +186,14 @@ def train(labelled: DataFrame, sizes: tuple[int, ...] = SIZES, least: float = LE
     prepare(spark)
     labelled = labelled.where("label in (0, 1)").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
     total = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    counts = labelled.select("text", "label").mapInArrow(partial(_count, sizes=sizes), "block int, counts binary")
+    counts = labelled.select("text", "label").transform(map_batches, partial(_count, sizes=sizes), "block int, counts binary")
     counts = counts.repartition("block").sortWithinPartitions("block")
-    best = counts.mapInArrow(partial(_ratios, total=(total.get(0, 0), total.get(1, 0)), least=least), "bucket long, r double").toArrow().sort_by("bucket")
+    best = counts.transform(map_batches, partial(_ratios, total=(total.get(0, 0), total.get(1, 0)), least=least), "bucket long, r double").toArrow().sort_by("bucket")
     features = np.full(1 << BITS, -1, np.int32)
     features[best["bucket"].to_numpy()] = np.arange(len(best))
     given = spark.sparkContext.broadcast((features, best["r"].to_numpy()))
     rows = bounded_sample(labelled, fit_rows).select("text", "label").coalesce(1)
-    found = rows.mapInArrow(partial(_fit, sizes=sizes, given=given), "weights binary, bias double").collect()
+    found = rows.transform(map_batches, partial(_fit, sizes=sizes, given=given), "weights binary, bias double").collect()
     if not found:
         return Model(sizes, features, np.zeros(len(best)), -np.inf)
     return Model(sizes, features, np.frombuffer(found[0]["weights"], "<f8"), found[0]["bias"])
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     at = [c.lower() for c in [*keep, "text"]].index("text")
     wide = docs.select(*(F.col(f"`{c}`") for c in keep), *([F.col("text")] if at == len(keep) else []))
     fields = StructType([*wide.schema.fields[: len(keep)], StructField("score", DoubleType())])
-    return wide.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), at=at, out=len(keep)), fields)
+    return wide.transform(map_batches, partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), at=at, out=len(keep)), fields)
 
 
 def labels_of(labels: DataFrame, column: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.groups import runs
-from netloom.llm.store import cut, prepare
+from netloom.llm.store import cut, map_batches, prepare
 from netloom.llm.text import Words, alnum_bytes, batch_texts, grams, mix
 
 #: Bits of the bitmap that fingerprints of documents must pass, as a power of two: 4 MB.
@@ -202,20 +202,20 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, gram: int
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    prints = cut(items.mapInArrow(partial(_items, window=window, gram=gram), "print long, item_id long, need int, item_words binary").distinct(), "prints")
+    prints = cut(items.transform(map_batches, partial(_items, window=window, gram=gram), "print long, item_id long, need int, item_words binary").distinct(), "prints")
     lengths = sorted(r[0] for r in prints.select("need").distinct().collect())  # at most `window` numbers
-    blocks = prints.select("print").distinct().mapInArrow(_bitmap, "block long, bits binary")
-    blocks = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_or_blocks, "block long, bits binary")
+    blocks = prints.select("print").distinct().transform(map_batches, _bitmap, "block long, bits binary")
+    blocks = blocks.repartition("block").sortWithinPartitions("block").transform(map_batches, _or_blocks, "block long, bits binary")
     bits = np.zeros((1 << (BITMAP - 10), 128), np.uint8)  # all blocks together are the bitmap's fixed size
     for block, x in blocks.collect():
         bits[block] = np.frombuffer(x, np.uint8)
     bitmap = spark.sparkContext.broadcast(bits.tobytes())
 
-    found = docs.mapInArrow(partial(_hits, window=window, gram=gram, lengths=lengths, bitmap=bitmap), "doc_id long, n_words long, found array<struct<print: long, place: long, need: int, words: binary>>")
+    found = docs.transform(map_batches, partial(_hits, window=window, gram=gram, lengths=lengths, bitmap=bitmap), "doc_id long, n_words long, found array<struct<print: long, place: long, need: int, words: binary>>")
     # monotonically_increasing_id names rows, whose ids may repeat; the cut fixes it
     found = cut(found.withColumn("row", F.monotonically_increasing_id()), "found")
     hits = found.where("size(found) > 0").select("row", F.explode("found").alias("f")).select("row", "f.*")
-    spans = hits.join(prints, ["print", "need"]).mapInArrow(partial(_extend, gram=gram, window=window), "row long, item_id long, start long, end long")
+    spans = hits.join(prints, ["print", "need"]).transform(map_batches, partial(_extend, gram=gram, window=window), "row long, item_id long, start long, end long")
     spans = spans.groupBy("row", "start", "end").agg(F.collect_set("item_id").alias("ids"))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
     out = found.select("row", "doc_id", "n_words").join(spans, "row", "left")

@@ -105,3 +105,12 @@ def test_large_families_are_dealt_by_size(spark, monkeypatch):
     met = {(a, b) for t in tiles.values() for a, _ in t for b, _ in t}
     want = {(i, j) for i in range(300) for j in range(300) if i % 3 == j % 3 and 100 * min(40 + i % 90, 40 + j % 90) >= 85 * max(40 + i % 90, 40 + j % 90)}
     assert want <= met and len(out) < 0.7 * sum(100 // 7 + 1 for _ in range(300)) and max(map(len, tiles.values())) <= 40
+
+
+def test_packed_buckets():
+    r = np.random.default_rng(9)
+    for n, top in ((1, 1 << 60), (2, 1), (1000, 1 << 63), (1000, 3), (70_000, 1 << 40)):
+        keys = np.sort(r.integers(0, top, n).astype(np.uint64) + np.uint64(r.integers(0, 1 << 62)))
+        nodes = r.integers(-(1 << 62), 1 << 62, n) if n > 5 else np.arange(n)
+        a, b = ngram_join.unpack_bucket(*ngram_join.pack_bucket(keys, nodes))
+        assert (a == keys).all() and (b == nodes).all()
