@@ -17,6 +17,8 @@ SYMBOLS = len(ALPHABET) + 1
 PRIOR = 0.5
 #: Names and fingerprints of a cell that count.
 SAMPLE = 64
+#: Rows of a table of counts that goes to all workers, some 40 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 def codes(name: Column) -> Column:
@@ -44,7 +46,11 @@ def causal_surprisal(names: DataFrame) -> DataFrame:
     # totals at every window in which a pair is scored: rows of this window bring that point
     c = counts.withColumn("c", F.coalesce(F.sum("n").over(before(["a", "b"])), F.lit(0))).select("a", "b", "window", "c")
     r = rows.withColumn("row", F.coalesce(F.sum("n").over(before(["a"])), F.lit(0))).select("a", "window", "row")
-    scored = pairs.join(c, ["a", "b", "window"]).join(r, ["a", "window"])
+    known = c.join(r, ["a", "window"])
+    # a window has at most SYMBOLS**2 pairs, so few windows have a small table
+    if names.select("window").distinct().count() * SYMBOLS**2 <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    scored = pairs.join(known, ["a", "b", "window"])
     bits = -F.log2((F.col("c") + PRIOR) / (F.col("row") + PRIOR * SYMBOLS))
     out = scored.groupBy("name_id").agg(F.avg(bits).alias("surprisal"))
     return names.select("name_id", "window").join(out, "name_id", "left").select("name_id", "window", F.coalesce("surprisal", F.lit(0.0)).alias("surprisal"))
@@ -88,17 +94,20 @@ def name_stats(names: DataFrame) -> DataFrame:
     )
 
 
-def sampled(names: DataFrame) -> DataFrame:
-    """The first SAMPLE names of a cell, by id."""
+def sampled(rows: DataFrame, column: str) -> DataFrame:
+    """The first SAMPLE rows of a cell, by name_id, that have the column."""
     w = Window.partitionBy("window", "host").orderBy("name_id")
-    return names.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SAMPLE).drop("rank")
+    rows = rows.where(F.col(column).isNotNull() & (F.col(column) != ""))
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SAMPLE).drop("rank")
 
 
 def protocol_block(names: DataFrame, prints: DataFrame) -> DataFrame:
-    """The nine protocol features of each (window, host); 0 without evidence."""
-    own = sampled(names)
+    """The nine protocol features of each (window, host) from names (name_id, window, host, qname)
+    and fingerprints (name_id, window, host, fp); 0 without evidence. Names and fingerprints
+    beyond the first of a cell neither count nor teach."""
+    own, seen = sampled(names, "qname"), sampled(prints, "fp")
     cells = name_stats(own)
-    rare = own.join(causal_surprisal(names).select("name_id", "surprisal"), "name_id").groupBy("window", "host").agg(F.avg("surprisal").alias("qname_bigram_rarity"))
-    tls = prints.join(rarity(prints).select("window", "fp", "rarity", "novel"), ["window", "fp"]).groupBy("window", "host").agg(F.count("*").alias("tls_count"), F.avg("rarity").alias("tls_fp_rarity"), F.avg(F.col("novel").cast("double")).alias("tls_fp_novel"))
+    rare = own.join(causal_surprisal(own).select("name_id", "surprisal"), "name_id").groupBy("window", "host").agg(F.avg("surprisal").alias("qname_bigram_rarity"))
+    tls = seen.join(rarity(seen).select("window", "fp", "rarity", "novel"), ["window", "fp"]).groupBy("window", "host").agg(F.count("*").alias("tls_count"), F.avg("rarity").alias("tls_fp_rarity"), F.avg(F.col("novel").cast("double")).alias("tls_fp_novel"))
     out = cells.join(rare, ["window", "host"], "full_outer").join(tls, ["window", "host"], "full_outer")
     return out.select("window", "host", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"hw_src_{c}") for c in out.columns if c not in ("window", "host")))

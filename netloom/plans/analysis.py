@@ -83,10 +83,25 @@ def fingerprint_rarity_novelty(spark, d):
     return N.rarity(prints).withColumn("rarity", F.round("rarity", 6))
 
 
-@query()
+BLOCK = ["dns_count", "qname_entropy", "qname_len_mean", "qname_len_max", "qname_digit_ratio", "qname_bigram_rarity", "tls_count", "tls_fp_rarity", "tls_fp_novel"]
+SAMPLED_NAMES = T.NAMES_SQL.replace("names AS (", "raw AS (", 1) + """, names AS (SELECT page_id, "window", host, qname FROM (SELECT *, row_number() OVER (PARTITION BY "window", host ORDER BY page_id) AS rk FROM raw WHERE qname <> '') WHERE rk <= 64)"""
+
+
+@query(f"""WITH {SAMPLED_NAMES}, {CHAR_SQL}, {CODE_SQL}, k AS (SELECT a, b, "window", count(*) AS n FROM pr GROUP BY ALL), w AS (SELECT DISTINCT "window" FROM names),
+c AS (SELECT w."window", k.a, k.b, sum(n) AS c FROM w JOIN k ON k."window" < w."window" GROUP BY ALL), r AS (SELECT "window", a, sum(c) AS r FROM c GROUP BY ALL),
+s AS (SELECT p.page_id, avg(-log2((coalesce(c.c, 0) + 0.5) / (coalesce(r.r, 0) + 19.0))) AS s FROM pr p LEFT JOIN c ON c."window" = p."window" AND c.a = p.a AND c.b = p.b LEFT JOIN r ON r."window" = p."window" AND r.a = p.a GROUP BY ALL),
+fc AS (SELECT "window", qname AS fp, count(*) AS n FROM names GROUP BY ALL), fw AS (SELECT "window", sum(n) AS t FROM fc GROUP BY ALL),
+fa AS (SELECT x."window", coalesce(sum(y.t), 0) AS s FROM fw x LEFT JOIN fw y ON y."window" < x."window" GROUP BY ALL),
+fb AS (SELECT x."window", x.fp, coalesce(sum(y.n), 0) AS before FROM fc x LEFT JOIN fc y ON y.fp = x.fp AND y."window" < x."window" GROUP BY x."window", x.fp),
+fr AS (SELECT "window", fp, CASE WHEN fa.s > 0 THEN 1 - before / fa.s ELSE 1.0 END AS rarity, before = 0 AS novel FROM fb JOIN fa USING ("window")),
+g AS (SELECT n."window", host, count(*) AS dns_count, avg(e) AS qname_entropy, avg(length(qname)) AS qname_len_mean, max(list_max(list_transform(string_split(qname, '.'), lambda x: length(x)))) AS qname_len_max,
+  avg(length(regexp_replace(qname, '[^0-9]', '', 'g')) * 1.0 / length(qname)) AS qname_digit_ratio, avg(coalesce(s.s, 0.0)) AS qname_bigram_rarity, count(*) AS tls_count, avg(rarity) AS tls_fp_rarity, avg(CAST(novel AS INT)) AS tls_fp_novel
+  FROM names n LEFT JOIN ce USING (page_id) LEFT JOIN s USING (page_id) JOIN fr ON fr."window" = n."window" AND fr.fp = n.qname GROUP BY ALL)
+SELECT "window", host, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS hw_src_{c}" for c in BLOCK)} FROM g""")
 def protocol_block(spark, d):
     n = names(spark, d)
-    return N.protocol_block(n, n.select("window", "host", F.md5(F.col("qname").cast("binary")).alias("fp")))
+    out = N.protocol_block(n, n.select("name_id", "window", "host", F.md5(F.col("qname").cast("binary")).alias("fp")))
+    return out.select("window", "host", *(F.round(f"hw_src_{c}", 6).alias(f"hw_src_{c}") for c in BLOCK))
 
 
 # ---- measures
