@@ -23,21 +23,33 @@ def macro_f1(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return f1_scores(rows, truth, predicted).agg(F.avg("f1").alias("macro_f1"))
 
 
-def by_score(rows: DataFrame, y: str, score: str) -> DataFrame:
-    """One row a distinct score: positives and negatives with it."""
-    return rows.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
+def by_score(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a distinct score (of each group): positives and negatives with it."""
+    return rows.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
 
 
-def average_precision(rows: DataFrame, y: str, score: str) -> DataFrame:
-    """Sum over thresholds of the gain in recall times the precision there; ties are one threshold."""
-    steps = running(by_score(rows, y, score), "score", {"tp": ("sum", F.col("pos")), "all": ("sum", F.col("pos") + F.col("neg"))}, descending=True)
-    return steps.agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("average_precision"))
+def average_precision(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sum over thresholds of the gain in recall times the precision there; ties are one threshold.
+    Null without positives. `by` names columns of groups that are measured each."""
+    steps = running(by_score(rows, y, score, by), "score", {"tp": ("sum", F.col("pos")), "all": ("sum", F.col("pos") + F.col("neg"))}, by, descending=True)
+    return steps.groupBy(*by).agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
-def rank_auc(rows: DataFrame, y: str, score: str) -> DataFrame:
-    """The chance that a positive scores over a negative, ties half."""
-    steps = running(by_score(rows, y, score), "score", {"upto": ("sum", F.col("neg"))})
-    return steps.agg((F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+def rank_auc(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The chance that a positive scores over a negative, ties half; null without either."""
+    steps = running(by_score(rows, y, score, by), "score", {"upto": ("sum", F.col("neg"))}, by)
+    return steps.groupBy(*by).agg((F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+
+
+def best_threshold(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The score (of each group) with the best F1 if all from it on count as positive, and that
+    F1; the lowest of equal ones. Looks at every distinct score."""
+    steps = running(by_score(rows, y, score, by), "score", {"tp": ("sum", F.col("pos")), "all": ("sum", F.col("pos") + F.col("neg"))}, by, descending=True)
+    total = steps.groupBy(*by).agg(F.sum("pos").alias("total"))
+    steps = steps.join(F.broadcast(total), list(by)) if by else steps.crossJoin(F.broadcast(total))
+    f1 = 2 * F.col("tp") / F.nullif(F.col("all") + F.col("total"), F.lit(0))
+    best = F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("low")))
+    return steps.groupBy(*by).agg(best.alias("b")).select(*by, (-F.col("b.low")).alias("threshold"), F.col("b.f1").alias("f1"))
 
 
 def recall_at_fpr(rows: DataFrame, y: str, score: str, fpr: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.exprs import char_entropy, digit_ratio, longest_label
+from netloom.operators.ordered import quantiles
 
 # The symbols of names, and all others as one more.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-"
@@ -68,6 +69,26 @@ def left_out_surprisal(names: DataFrame) -> DataFrame:
     return scored.groupBy("name_id").agg((F.sum(bits * F.col("own")) / F.sum("own")).alias("surprisal"))
 
 
+def surprisal_under(seen: DataFrame, names: DataFrame) -> DataFrame:
+    """(name_id, surprisal) of `names` under the pairs of the names in `seen`, all of them; names of
+    fewer than two symbols score 0."""
+    key = lambda df: df.withColumn("window", F.lit(0)) if "window" not in df.columns else df
+    total = pairs_of(key(seen)).groupBy("a", "b").agg(F.count("*").alias("c"))
+    row = total.groupBy("a").agg(F.sum("c").alias("row"))
+    pairs = pairs_of(key(names)).join(F.broadcast(total), ["a", "b"], "left").join(F.broadcast(row), "a", "left")  # SYMBOLS**2 rows at most
+    bits = -F.log2((F.coalesce("c", F.lit(0)) + PRIOR) / (F.coalesce("row", F.lit(0)) + PRIOR * SYMBOLS))
+    out = pairs.groupBy("name_id").agg(F.avg(bits).alias("surprisal"))
+    return names.join(out, "name_id", "left").select(*names.columns, F.coalesce("surprisal", F.lit(0.0)).alias("surprisal"))
+
+
+def within_lengths(names: DataFrame, like: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """`names` as long as most of `like`: between two quantiles of its lengths. Scores of what is
+    left cannot come from length alone."""
+    bounds = quantiles(like.select(F.length("qname").alias("n")), "n", [low, high])
+    near = F.length("qname").between(F.get("values", F.lit(0)), F.get("values", F.lit(1)))
+    return names.crossJoin(F.broadcast(bounds)).where(near).drop("values")  # one row
+
+
 def rarity(prints: DataFrame, key: str = "fp") -> DataFrame:
     """(window, fp, n, before, rarity, novel): 1 - the share of a fingerprint among all of
     strictly earlier windows; novel if it was in none of them."""

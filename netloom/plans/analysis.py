@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import exprs as X
@@ -10,6 +13,7 @@ from netloom.operators import campaigns as C
 from netloom.operators import hostwindow as H
 from netloom.operators import metrics as M
 from netloom.operators import protocol as N
+from netloom.operators.ordered import numbered
 from netloom.sources import generator as G
 from netloom.sources import tables as T
 
@@ -385,13 +389,34 @@ def generated_packets(spark, d):
     return G.packets(spark, 0.02).groupBy("label", "proto").agg(F.count("*").alias("packets"), F.countDistinct("src_ip").alias("sources"))
 
 
+FAMILIES = ("uniform", "short", "long", "rewritten", "two_words", "phrase")
+
+
 @query()
 def dga_auc(spark, d):
-    """How well character entropy tells generated names from host names, by family."""
-    real = names(spark, d).select(F.lit(0).alias("y"), X.char_entropy(F.col("qname")).alias("score"))
+    """How well character entropy tells generated names from host names, by family, for all names
+    and for those that are as long as most host names."""
+    real = names(spark, d).select("qname")
+    made = reduce(DataFrame.unionByName, (G.dga_names(spark, f, 2000).select(F.lit(f).alias("family"), "qname") for f in FAMILIES))
+    both = made.withColumn("y", F.lit(1)).unionByName(real.select(F.explode(F.array(*map(F.lit, FAMILIES))).alias("family"), "qname", F.lit(0).alias("y")))
+    both = both.withColumn("score", X.char_entropy(F.col("qname"))).persist()
+    like = N.within_lengths(both.where("y = 1"), real).unionByName(both.where("y = 0"))
+    same = M.rank_auc(like, "y", "score", ("family",)).withColumnRenamed("auc", "auc_same_length")
+    return M.rank_auc(both, "y", "score", ("family",)).join(same, "family")
+
+
+@query(f"""WITH {T.NAMES_SQL}, sizes AS (SELECT unnest([10, 20, 40]) AS n), seen AS (SELECT page_id, qname, row_number() OVER (ORDER BY page_id) - 1 AS place FROM names),
+ch AS (SELECT page_id, place, i, CASE WHEN instr('{N.ALPHABET}', substring(qname, i, 1)) > 0 THEN instr('{N.ALPHABET}', substring(qname, i, 1)) - 1 ELSE 37 END AS a FROM (SELECT page_id, place, qname, unnest(generate_series(1, length(qname))) AS i FROM seen)),
+pr AS (SELECT x.page_id, x.place, x.a, y.a AS b FROM ch x JOIN ch y ON x.page_id = y.page_id AND y.i = x.i + 1),
+t AS (SELECT n, a, b, count(*) AS c FROM pr JOIN sizes ON place < n GROUP BY ALL), r AS (SELECT n, a, sum(c) AS r FROM t GROUP BY ALL),
+z AS (SELECT sizes.n, page_id, avg(-log2((coalesce(c, 0) + 0.5) / (coalesce(r, 0) + 19.0))) AS s FROM pr JOIN sizes ON place >= sizes.n LEFT JOIN t ON t.n = sizes.n AND t.a = pr.a AND t.b = pr.b LEFT JOIN r ON r.n = sizes.n AND r.a = pr.a GROUP BY ALL)
+SELECT CAST(n AS INTEGER) AS seen, count(*) AS held, round(avg(s), 6) AS surprisal FROM z GROUP BY n""")
+def name_warm_up(spark, d):
+    """How odd names look that come after the first 10, 20 and 40, under pairs of these alone."""
+    all_names = numbered(names(spark, d).select("name_id", "qname"), "name_id")
     out = None
-    for f in ("uniform", "short", "long", "rewritten", "two_words", "phrase"):
-        made = G.dga_names(spark, f, 500).select(F.lit(1).alias("y"), X.char_entropy(F.col("qname")).alias("score"))
-        one = M.rank_auc(real.unionByName(made), "y", "score").select(F.lit(f).alias("family"), "auc")
+    for n in (10, 20, 40):
+        held = N.surprisal_under(all_names.where(F.col("number") < n), all_names.where(F.col("number") >= n))
+        one = held.where(F.length("qname") > 1).agg(F.lit(n).alias("seen"), F.count("*").alias("held"), F.round(F.avg("surprisal"), 6).alias("surprisal"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.exprs import portable
 from netloom.operators import detectors as D
 from netloom.operators import hostwindow as H
 from netloom.operators import metrics as M
@@ -14,6 +15,7 @@ from netloom.operators import packetcell as P
 from netloom.operators import visibility as V
 from netloom.sources import corpus as C
 from netloom.plans.traffic import SAMPLED_SQL
+from netloom.schema import CLASSES, HOST_FEATURES
 from netloom.sources import tables as T
 
 QUERIES, ORACLE = {}, {}
@@ -116,20 +118,77 @@ def sorted_head(spark, d):
     return wf(spark, d).orderBy("us", "src", "dst", "dport", "fwd_bytes").limit(50).select("src", "dst", "dport")
 
 
+#: What a made-up label of each class hangs on, one feature; the last two stand for names and handshakes.
+SIGNS = {"ddos": "hw_dst_n_srcs", "scan": "hw_src_n_dports", "beacon": "hw_src_iat_cv", "exfil": "hw_src_fwd_bytes", "dga": "hw_src_qname_bigram_rarity", "encrypted": "hw_src_tls_fp_rarity"}
+PROTOCOL = ["qname_entropy", "qname_len_mean", "qname_len_max", "qname_digit_ratio", "qname_bigram_rarity", "dns_count", "tls_fp_rarity", "tls_fp_novel", "tls_count"]
+FEATURES = [*HOST_FEATURES, *(f"hw_src_{c}" for c in PROTOCOL)]
+
+
+def labelled_cells(spark, d) -> DataFrame:
+    """Host cells with protocol features that a hash makes up, and six labels that may co-occur: the
+    upper quarter of one feature each. `part` is 0 for fitting, 1 for tuning, 2 for testing."""
+    cells = H.host_cells(wf(spark, d))
+    cells = cells.withColumns({f"hw_src_{c}": portable(50 + i, F.col("window"), F.col("host")) for i, c in enumerate(PROTOCOL)})
+    over = cells.agg(*(F.percentile_approx(c, 0.75, 1000).alias(t) for t, c in SIGNS.items())).first()
+    cells = cells.withColumns({t: (F.col(c) > F.lit(over[t])).cast("int") for t, c in SIGNS.items()})
+    return M.temporal_parts(cells, "window", (0.60, 0.10, 0.30)).persist()
+
+
 @query()
 def detector_heads(spark, d):
-    """Detectors fitted on the first 60 % of windows and measured on the rest, by class."""
-    cells = H.host_cells(wf(spark, d))
-    truth = cell_truth(spark, d)
-    rows = cells.join(truth, ["window", "host"], "left").fillna(False, ["scan", "exfil"])
-    rows = M.temporal_cut(rows, "window", 0.6).cache()
-    heads = [D.Head("scan", trees=5, depth=3), D.Head("exfil", trees=5, depth=3)]
-    ensemble = D.Ensemble(heads).fit(rows.where("train"), {"scan": "scan", "exfil": "exfil"})
-    scored = ensemble.score(rows.where("not train"))
-    out = [M.rank_auc(scored.withColumn("y", F.col(h.threat).cast("int")), "y", f"p_{h.threat}").select(F.lit(h.threat).alias("threat"), "auc", F.lit(h.explain()).alias("why")) for h in heads]
-    return reduce(DataFrame.unionByName, out)
+    """All six detectors and one model for all classes, fitted on the first windows, thresholds
+    tuned on the next, measured on the rest: average precision and F1 of each class."""
+    rows = labelled_cells(spark, d)
+    fit, tune, test = (rows.where(F.col("part") == i) for i in range(3))
+    heads = D.build_heads(trees=TREES)
+    ensemble = D.Ensemble(heads).fit(fit, {t: t for t in SIGNS})
+    n = fit.agg(*(F.sum(t).alias(t) for t in SIGNS)).first()
+    rarest = reduce(lambda c, t: c.when(F.col(t) == 1, t), sorted(SIGNS, key=lambda t: (n[t], t)), F.when(F.lit(False), "")).otherwise("benign")
+    one_model = D.Multiclass(CLASSES, FEATURES, trees=TREES).fit(fit.withColumn("one", rarest), "one")
+
+    def by_class(cells: DataFrame) -> DataFrame:
+        """A row a cell and class: the truth, the detector's and the one model's probability."""
+        scored = one_model.score(ensemble.score(cells))
+        of = [F.struct(F.lit(t).alias("threat"), F.col(t).alias("y"), F.col(f"p_{t}").alias("p"), F.coalesce(F.get("probs", F.lit(CLASSES.index(t))), F.lit(0.0)).alias("q")) for t in SIGNS]
+        return scored.select(F.explode(F.array(*of)).alias("x")).select("x.*").persist()
+
+    tuned, tested = by_class(tune), by_class(test)
+    cut = M.best_threshold(tuned, "y", "p", ("threat",)).select("threat", "threshold")
+    guess = tested.join(F.broadcast(cut), "threat").withColumn("guess", (F.col("p") >= F.col("threshold")).cast("int"))
+    hit, all_of = F.sum(F.col("guess") * F.col("y")), F.sum(F.col("guess") + F.col("y"))
+    f1 = guess.groupBy("threat").agg(F.sum("y").alias("support"), F.coalesce(2 * hit / F.nullif(all_of, F.lit(0)), F.lit(0.0)).alias("f1"))
+    ap = M.average_precision(tested, "y", "p", ("threat",))
+    multi = M.average_precision(tested, "y", "q", ("threat",)).withColumnRenamed("average_precision", "ap_one_model")
+    why = spark.createDataFrame([(h.threat, h.explain()) for h in heads], "threat string, why string")
+    return reduce(lambda a, b: a.join(b, "threat"), (f1, ap, multi, why))
+
+
+#: Trees of the models that queries fit; detectors have 180 of depth 5 unless told otherwise.
+TREES = 5
 
 
-def cell_truth(spark, d) -> DataFrame:
-    w = wf(spark, d)
-    return w.groupBy("window", F.col("src").alias("host")).agg(F.bool_or(F.col("label") == "scan").alias("scan"), F.bool_or(F.col("label") == "exfil").alias("exfil"))
+@query()
+def visibility_models(spark, d):
+    """A model of attack cells on each rung of visibility: what the features that it leaves are
+    worth, as average precision on later windows."""
+    packets = T.packets(spark, d)
+    out = []
+    for p in V.LADDER:
+        seen = p.apply(packets).persist()
+        cells = P.families(P.cells(seen, DAY_US, reputation=T.reputation(spark, d) if p.enrichment else None))
+        truth = P.majority_label(P.ends(packets, DAY_US)).select("window", "host", (F.col("label") != "benign").cast("int").alias("y"))
+        rows = M.temporal_parts(cells.join(truth, ["window", "host"]), "window", (0.7, 0.3)).persist()
+        kind = "uni" if p.one_way else "bi"
+        head = D.Head("scan", trees=TREES, depth=3)
+        head.features = [c for c in rows.columns if c.startswith(f"{kind}_")]
+        scored = head.fit(rows.where("part = 0"), "y").score(rows.where("part = 1"))
+        out.append(scored.select(F.lit(p.name).alias("profile"), F.lit(kind).alias("family"), "y", "p_scan"))
+    return M.average_precision(reduce(DataFrame.unionByName, out), "y", "p_scan", ("profile", "family"))
+
+
+ROSTER_SQL = " UNION ALL ".join(f"SELECT '{t}' AS threat_class, {len(f)} AS n_features, {str(D.MECHANISM[t][1]).lower()} AS known_gap" for t, f in D.HEADS.items())
+
+
+@query(ROSTER_SQL)
+def head_roster(spark, d):
+    return D.roster(spark).select("threat_class", F.size("declared_features").alias("n_features"), "known_gap")
