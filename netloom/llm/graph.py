@@ -59,6 +59,16 @@ def _shorten(batches: Iterator[pa.RecordBatch], held_most: int = HELD) -> Iterat
         yield from out()
 
 
+def _then_shorten(batches: Iterator[pa.RecordBatch], f) -> Iterator[pa.RecordBatch]:
+    return _shorten(b for b in f(batches) if b.num_rows)
+
+
+def components_of(rows: DataFrame, f, held: int = HELD) -> DataFrame:
+    """components() of the links (a, b) that f makes of Arrow batches of `rows`: they are shortened
+    where they are made, by the same worker."""
+    return _components(map_batches(rows, partial(_then_shorten, f=f), "a long, b long"), held)
+
+
 def components(links: DataFrame, held: int = HELD) -> DataFrame:
     """(node, component) for every node of `links` (a, b: long); component is the smallest
     node that links reach. Nodes without links, links of a node with itself and nulls give no row.
@@ -69,7 +79,11 @@ def components(links: DataFrame, held: int = HELD) -> DataFrame:
     partial sums before the shuffle; the joins by node are plain equi-joins that adaptive
     execution can split where one node has very many links.
     """
-    shortened = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").transform(map_batches, _shorten, "a long, b long")
+    links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
+    return _components(links.transform(map_batches, _shorten, "a long, b long"), held)
+
+
+def _components(shortened: DataFrame, held: int) -> DataFrame:
     edges = cut(shortened, "links")  # a > b
     while (n := edges.count()) > held:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.graph import components, forest
+from netloom.llm.graph import components_of, forest
 from netloom.llm.groups import runs
 from netloom.llm.store import cut, forget, map_batches, prepare, release
 from netloom.llm.text import Words, batch_texts, graph_bytes, grams, mix
@@ -450,7 +450,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (total >> KEYS_OF_BUCKET).bit_length())
     keyed = digests.where("n_keys > 0").select("node", "keys").transform(map_batches, partial(_unroll, bits=bits), "bucket long, keys binary, refs binary, nodes binary")
     keyed = keyed.repartition("bucket").sortWithinPartitions("bucket")
-    families = components(keyed.transform(map_batches, _meet, "a long, b long"))
+    families = components_of(keyed, _meet)
     whole, digests = digests, cut(digests.drop("n_keys", "keys"), "sizes")
     del keyed
     forget(whole)
@@ -462,12 +462,12 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     near = cut(nodes.join(families, "node").select("node", "n", "bits", F.col("component").alias("family")), "near")
     near = tiled(near, percent)
     near = near.select("family", "tile", "node", "n", "bits").repartition("family", "tile").sortWithinPartitions("family", "tile", "node")
-    families = components(near.transform(map_batches, partial(_bounded_tiles, percent=percent), "a long, b long"))
+    families = components_of(near, partial(_bounded_tiles, percent=percent))
     members = cut(nodes.join(families, "node").select("node", "least", "n", F.col("component").alias("family")), "members")
     members = tiled(members, percent)
     placed = docs.join(members, F.col("doc_id").eqNullSafe(F.col("least"))).select("family", "tile", "node", F.xxhash64("text").alias("copy"), "text")
     placed = placed.repartition("family", "tile").sortWithinPartitions("family", "tile", "node", "copy")
-    found = components(placed.transform(map_batches, partial(_exact_tiles, k=k, percent=percent), "a long, b long"))
+    found = components_of(placed, partial(_exact_tiles, k=k, percent=percent))
     release(spark)
 
     least = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
