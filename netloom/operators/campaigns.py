@@ -51,7 +51,7 @@ def top_windows(wf: DataFrame, hosts: DataFrame, cfg: Diffusion, k: Column) -> D
     windows = wf.agg(F.explode(F.sequence(F.lit(0).cast("long"), F.max("window"))).alias("window"))
     slots = hosts.crossJoin(windows).join(activity(wf, cfg), ["host", "window"], "left")
     weight = F.coalesce(F.col("n"), F.lit(0)).cast("double") if cfg.hide else F.lit(1.0)
-    key = gumbel(weight, uniform(cfg.seed, F.col("campaign"), F.col("host"), F.col("window")))
+    key = gumbel(weight, portable(cfg.seed, F.col("campaign"), F.col("host"), F.col("window")))
     rank = F.row_number().over(Window.partitionBy("campaign", "host").orderBy(F.desc("key"), "window"))
     return slots.withColumn("key", key).withColumn("rank", rank).where(F.col("rank") <= k)
 

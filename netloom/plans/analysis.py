@@ -357,7 +357,11 @@ def diffuse_attacks(spark, d):
     return out.join(moved, "label", "left").select("label", "n", F.col("moved").isNull().alias("in_place"), "at_home")
 
 
-@query()
+@query(f"""WITH {T.FLOWS_SQL}, sp AS (SELECT src AS host, count(DISTINCT "window") AS windows FROM wf WHERE label = 'benign' GROUP BY ALL), wide AS (SELECT host FROM sp WHERE windows >= 20),
+pool AS (SELECT host FROM wide UNION ALL SELECT host FROM (SELECT host FROM sp ORDER BY windows DESC, host LIMIT 8) WHERE (SELECT count(*) FROM wide) = 0),
+win AS (SELECT unnest(range(0, (SELECT max("window") + 1 FROM wf))) AS "window"), act AS (SELECT src AS host, "window", count(*) AS n FROM wf WHERE label = 'benign' GROUP BY ALL),
+u AS (SELECT host, "window", coalesce(n, 0) + 1e-6 AS w, greatest(least({X.portable_sql(0, "'c'", "host", '"window"')}, 1 - 1e-12), 1e-12) AS u FROM pool CROSS JOIN win LEFT JOIN act USING (host, "window")),
+r AS (SELECT host, "window", row_number() OVER (PARTITION BY host ORDER BY ln(w) - ln(-ln(u)) DESC, "window") AS rank FROM u) SELECT 'c' AS campaign, host, "window", rank FROM r WHERE rank <= 5""")
 def topk_gumbel(spark, d):
     w = labelled(spark, d)
     hosts = C.blend_pool(w, CFG).select("host").withColumn("campaign", F.lit("c"))

@@ -235,15 +235,25 @@ def session_full(spark, d):
     return sessions(spark, d).select("src", "dst", "start_us", "last_us", "n_pkts", F.round("n_bytes", 4).alias("n_bytes"))
 
 
-@query()
+CLOSED_SQL = f"""{FULL_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, session ORDER BY k DESC) AS rk, lead(us) OVER (PARTITION BY src_ip, dst_ip ORDER BY k) AS nus FROM f),
+z AS (SELECT start_us, us, fin, CASE WHEN ended THEN 'rst' WHEN nus IS NOT NULL THEN CASE WHEN fin <= nus - 3600000000 THEN 'fin' WHEN start_us <= nus - {3 * DAY_US} THEN 'active' ELSE 'idle' END
+  WHEN fin + 3600000000 <= least(start_us + {3 * DAY_US}, us + {IDLE_US}) THEN 'fin' WHEN start_us + {3 * DAY_US} <= us + {IDLE_US} THEN 'active' ELSE 'idle' END AS close_reason FROM e WHERE rk = 1),
+closed AS (SELECT start_us, close_reason, CASE close_reason WHEN 'rst' THEN us WHEN 'fin' THEN fin + 3600000000 WHEN 'active' THEN start_us + {3 * DAY_US} ELSE us + {IDLE_US} END AS emit_us FROM z)"""
+
+
+@query(f"WITH RECURSIVE {CLOSED_SQL} SELECT close_reason, count(*) AS n, min(emit_us) AS first_emit, max(emit_us) AS last_emit FROM closed GROUP BY ALL")
 def session_close_reasons(spark, d):
-    return sessions(spark, d).groupBy("close_reason").agg(F.count("*").alias("n"))
+    return sessions(spark, d).groupBy("close_reason").agg(F.count("*").alias("n"), F.min("emit_us").alias("first_emit"), F.max("emit_us").alias("last_emit"))
+
+
+ALLOWED = [0, 3_600_000_000, 6 * 3_600_000_000, DAY_US]
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLOSED_SQL}, t AS (SELECT emit_us, max(start_us) AS top FROM closed GROUP BY ALL), s AS (SELECT emit_us, max(top) OVER (ORDER BY emit_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM t),
+a AS (SELECT unnest([{", ".join(map(str, ALLOWED))}]) AS allowed)
+SELECT allowed, count(*) AS n, count(*) FILTER (seen > (floor(start_us / {DAY_US}) + 1) * {DAY_US} + allowed) AS dropped FROM closed JOIN s USING (emit_us), a GROUP BY allowed""")
 def lateness_sweep(spark, d):
-    s = sessions(spark, d)
-    return S.lateness(s, 0, DAY_US, [0, 3_600_000_000, 6 * 3_600_000_000, DAY_US])
+    return S.lateness(sessions(spark, d), 0, DAY_US, ALLOWED).select(F.col("allowed").cast("long").alias("allowed"), "n", "dropped")
 
 
 # ---- wide packet cells
