@@ -25,11 +25,11 @@ ALPHA = 1 - 0.5 ** (1 / HALF_LIFE)
 
 
 #: Slices of a window in which gaps are taken.
-SLICES = 16
+SLICES = 4
 
 
 def windowed(flows: DataFrame, seconds: float, t0: int | None = None) -> DataFrame:
-    """`flows` with `window`, counted from t0 or the first flow's time, and `slice`, a sixteenth
+    """`flows` with `window`, counted from t0 or the first flow's time, and `slice`, a quarter
     of it. The first time is looked up at once (a minimum of one column), so that plans have it
     as a constant."""
     if t0 is None:
