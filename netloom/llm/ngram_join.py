@@ -15,7 +15,11 @@
    if it is large, dealt into parts by size, of which those make tiles that can link. Only hashed bitmaps of the sets go there, about three bits a
    shingle. In a tile, sets lie in order of size; for a set, the band of sizes that can reach
    the threshold counts, and bit counts bound the overlap from above. Sets that a bound lets
-   through make smaller families; most sets are in none.
+   through make smaller families; most sets are in none. In a large corpus, strangers that
+   share a shingle by chance tie each other to families of most of its sets. Sets of a family
+   that one tile does not hold are therefore grouped anew first: minima of their shingles under
+   some hundred orders, six of them a key. Two linked sets have no key in common with odds of
+   2^-62, as two words one hash; strangers, who share few of their shingles, have none.
 4. The texts of those families go to tiles in the same way. A band and the bound choose the
    pairs as before, but for what is linked already, and sorted arrays are intersected.
 5. A tile returns a spanning forest of its links; components() joins the forests.
@@ -23,13 +27,14 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.graph import components_of, forest
@@ -43,6 +48,8 @@ TILE_SETS, TILE_SHINGLES = 1024, 1 << 22
 CELLS, CELL_BLOCK = 22, 4096
 #: Keys of a bucket that one worker holds at once, as a power of two.
 KEYS_OF_BUCKET = 20
+#: Minima that make a key, and cells that tell which sets of large families are wanted, as a power of two.
+MINIMA, WANTED = 6, 22
 #: A band's largest size over its smallest.
 BAND = 1.4
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -107,6 +114,85 @@ def signatures(shingles: np.ndarray, rare: np.ndarray, starts: np.ndarray, perce
     return np.concatenate(out)
 
 
+def orders(percent: int) -> np.ndarray:
+    """An odd factor for each order of the shingles: so many that two sets at the threshold,
+    which share each minimum with odds of percent / 100, miss each other with odds of 2^-62."""
+    hit = (percent / 100) ** MINIMA
+    keys = math.ceil(62 * math.log(2) / -math.log1p(-hit)) if hit < 1 else 1
+    with np.errstate(over="ignore"):
+        return mix(np.arange(1, MINIMA * keys + 1, dtype=np.uint64) * _SEED) | np.uint64(1)
+
+
+def minima_keys(shingles: np.ndarray, factors: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of one set, each a hash of MINIMA smallest shingles; none if the set is so small
+    that no other can link with it."""
+    n = len(shingles)
+    if 100 * n < percent * (n + 1):
+        return np.zeros(0, np.uint64)
+    spread = mix(shingles ^ _SEED)
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, n, 64):
+            np.minimum(least, (spread[i : i + 64, None] * factors).min(axis=0), out=least)
+        # one sum of mixed minima a key; a minimum's place is part of it
+        return mix(mix(least ^ factors).reshape(-1, MINIMA).sum(axis=1, dtype=np.uint64))
+
+
+def _minima(batches: Iterator[pa.RecordBatch], k: int, percent: int, wanted) -> Iterator[pa.RecordBatch]:
+    """(node, keys) of the sets of texts whose digests lie in wanted cells."""
+    hashed, wanted, factors = Words(graph_bytes()), wanted.value, orders(percent)
+    for batch in batches:
+        done: set[int] = set()
+        for _, raw, offsets in batch_texts(batch.column(0)):
+            nodes, keys = [], []
+            for s in shingle_sets(*hashed(raw, offsets), k):
+                digest = digest_of(s)
+                if len(s) and digest not in done and wanted[digest & ((1 << WANTED) - 1)]:
+                    done.add(digest)
+                    nodes.append(digest)
+                    keys.append(minima_keys(s, factors, percent))
+            flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+            ends = np.cumsum([0, *map(len, keys)])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], ["node", "keys"])
+
+
+def _unrolled_minima(batches: Iterator[pa.RecordBatch], k: int, percent: int, wanted, bits: int) -> Iterator[pa.RecordBatch]:
+    yield from _unroll(_minima(batches, k, percent, wanted), bits)
+
+
+def regrouped(near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """`near` (node, n, family, ...) with the sets of families that one tile does not hold grouped
+    anew by minima; of these, sets that share no key with another go. Others stay as they are.
+
+    Which sets are wanted goes to the workers as marks of cells, four million at most; a set
+    of another family in a marked cell is keyed for nothing, and its family stays what it was.
+    """
+    spark = near.sparkSession
+    large = near.groupBy("family").agg(F.ceil(F.sum(_cost())).alias("parts")).where("parts > 1").select("family")
+    members = near.join(large, "family", "left_semi")
+    cell = F.col("node").bitwiseAND((1 << WANTED) - 1).cast("int").alias("cell")
+    cells = members.select(cell).distinct().toArrow()["cell"].to_numpy()
+    if not len(cells):
+        return near
+    wanted = np.zeros(1 << WANTED, bool)
+    wanted[cells] = True
+    total = members.count() * len(orders(percent)) // MINIMA
+    keyed = docs.select("text").transform(map_batches, partial(_unrolled_minima, k=k, percent=percent, wanted=spark.sparkContext.broadcast(wanted), bits=_bucket_bits(spark, total)), "bucket long, keys binary, refs binary, nodes binary")
+    keyed = keyed.repartition("bucket").sortWithinPartitions("bucket")
+    groups = components_of(keyed, _meet)
+    again = members.drop("family").join(groups, "node").select(*(c for c in near.columns if c != "family"), F.col("component").alias("family"))
+    columns = [c for c in near.columns if c != "family"] + ["family"]
+    out = cut(near.join(large, "family", "left_anti").select(*columns).unionByName(again), "regrouped")
+    del keyed
+    release(spark)
+    return out
+
+
+def _bucket_bits(spark, keys: int) -> int:
+    """Buckets of about a million keys, and some for each task at least, as a power of two."""
+    return max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (keys >> KEYS_OF_BUCKET).bit_length())
+
+
 def _count_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(block, n, counts): shingles of different sets by cell, a block of cells a row."""
     hashed = Words(graph_bytes())
@@ -403,11 +489,16 @@ def _exact_tiles(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Ite
     yield _pairs_batch(links)
 
 
+def _cost() -> Column:
+    """The share of a tile that a set of n shingles takes."""
+    return F.greatest(F.lit(1 / TILE_SETS), F.col("n") / TILE_SHINGLES)
+
+
 def tiled(members: DataFrame, percent: int) -> DataFrame:
     """`members` (node, n, family, ...) with the tiles of each. A family of more sets or shingles
     than a tile holds is dealt into parts by size, equal sizes by a hash; two parts meet in a
     tile where the largest set of one can reach the threshold with the smallest of the other."""
-    cost = F.greatest(F.lit(1 / TILE_SETS), F.col("n") / TILE_SHINGLES)
+    cost = _cost()
     whole = members.join(members.groupBy("family").agg(F.ceil(F.sum(cost)).alias("parts")), "family")
     small = whole.where("parts = 1").drop("parts").withColumn("tile", F.lit(0).cast("long"))
     large = whole.where("parts > 1").drop("parts")
@@ -445,9 +536,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(common_cells(docs, k))
     digests = cut(docs.transform(map_batches, partial(_digests, k=k, percent=percent, common=common), "doc_id long, n_shingles long, node long, bits binary, n_keys long, keys array<long>"), "digests")
-    # buckets of about a million keys, and some for each task at least
-    total = digests.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
-    bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (total >> KEYS_OF_BUCKET).bit_length())
+    bits = _bucket_bits(spark, digests.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0])
     keyed = digests.where("n_keys > 0").select("node", "keys").transform(map_batches, partial(_unroll, bits=bits), "bucket long, keys binary, refs binary, nodes binary")
     keyed = keyed.repartition("bucket").sortWithinPartitions("bucket")
     families = components_of(keyed, _meet)
@@ -460,7 +549,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     nodes = cut(digests.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "nodes")
     digests = digests.drop("bits")
     near = cut(nodes.join(families, "node").select("node", "n", "bits", F.col("component").alias("family")), "near")
-    near = tiled(near, percent)
+    near = tiled(regrouped(near, docs, k, percent), percent)
     near = near.select("family", "tile", "node", "n", "bits").repartition("family", "tile").sortWithinPartitions("family", "tile", "node")
     families = components_of(near, partial(_bounded_tiles, percent=percent))
     members = cut(nodes.join(families, "node").select("node", "least", "n", F.col("component").alias("family")), "members")

@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from netloom.llm import ngram_join
-from netloom.llm.ngram_join import ngram_jaccard, signatures, band_starts
-from netloom.llm.text import mix
+from netloom.llm.ngram_join import ngram_jaccard, signatures, band_starts, minima_keys, orders
+from netloom.llm.text import Words, batch_texts, graph_bytes, mix
 
 
 def brute(rows, k, percent):
@@ -114,3 +115,50 @@ def test_packed_buckets():
         nodes = r.integers(-(1 << 62), 1 << 62, n) if n > 5 else np.arange(n)
         a, b = ngram_join.unpack_bucket(*ngram_join.pack_bucket(keys, nodes))
         assert (a == keys).all() and (b == nodes).all()
+
+
+def test_linked_sets_share_minima_and_strangers_do_not():
+    r = np.random.default_rng(7)
+    for percent in (80, 85):
+        factors = orders(percent)
+        for n in (1, 3, 4, 9, 40, 400, 5000):
+            whole = np.unique(mix(r.integers(1, 1 << 62, 2 * n + 9).astype(np.uint64)))
+            for _ in range(20 if n < 1000 else 2):
+                differ = 2 * n * (100 - percent) // (100 + percent) // 2  # one swapped shingle differs on both sides
+                r.shuffle(whole)
+                a, b, c = whole[:n], np.append(whole[differ:n], whole[n : n + differ]), np.append(whole[n : 2 * n], whole[:1])
+                assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+                x, y, z = (minima_keys(np.sort(s), factors, percent) for s in (a, b, c))
+                assert not len(x) if 100 * n < percent * (n + 1) else len(np.intersect1d(x, y))
+                assert n < 40 or not len(np.intersect1d(x, z))
+
+
+def test_strangers_in_a_large_family_part(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 8)
+    r = random.Random(8)
+    words = [[f"v{r.randrange(300)}" for _ in range(60)] for _ in range(20)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:-1], "other"]) for w in words[:10]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    digests = {}
+    for i, t in enumerate(texts):
+        for _, raw, offsets in batch_texts(pa.array([t])):
+            (own,) = ngram_join.shingle_sets(*Words(graph_bytes())(raw, offsets), 4)
+            digests[i] = ngram_join.digest_of(own)
+    near = spark.createDataFrame([(digests[i], 57, 1) for i in range(len(texts))] + [(2, 57, 2), (3, 57, 2)], "node long, n long, family long")
+    got = {x["node"]: x["family"] for x in ngram_join.regrouped(near, docs, 4, 85).collect()}
+    assert got.pop(2) == got.pop(3) == 2
+    assert set(got) == {digests[i] for i in (*range(10), *range(20, 30))}
+    assert all(got[digests[i]] == got[digests[20 + i]] for i in range(10)) and len(set(got.values())) == 10
+
+
+def test_chance_ties_leave_links_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 4)
+    r = random.Random(9)
+    vocab = [f"c{i}" for i in range(7)]
+    rows = []
+    for i in range(60):
+        w = r.choices(vocab, k=r.choice([30, 60, 120]))
+        rows.append((2 * i, " ".join(w)))
+        w[r.randrange(len(w))] = "other"
+        rows.append((2 * i + 1, " ".join(w)))
+    check(spark, rows, 5, 80)
