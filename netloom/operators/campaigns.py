@@ -8,6 +8,7 @@ replacement.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,57 +33,96 @@ def gumbel(weight: Column, u: Column) -> Column:
     return F.log(weight + 1e-6) - F.log(-F.log(u))
 
 
+def activity(wf: DataFrame, cfg: Diffusion) -> DataFrame:
+    """(host, seen): the windows with benign flows of each source, and how many: an entry a window."""
+    cells = wf.where(F.col("label") == cfg.benign).groupBy(F.col("src").alias("host"), "window").agg(F.count("*").alias("n"))
+    return cells.groupBy("host").agg(F.collect_list(F.struct("window", "n")).alias("seen"))
+
+
 def blend_pool(wf: DataFrame, cfg: Diffusion) -> DataFrame:
-    """(host, windows): sources with benign flows in enough windows, or those with most."""
-    spread = wf.where(F.col("label") == cfg.benign).groupBy(F.col("src").alias("host")).agg(F.countDistinct("window").alias("windows"))
+    """(host, seen, windows): sources with benign flows in enough windows, or those with most."""
+    spread = activity(wf, cfg).withColumn("windows", F.size("seen"))
     top = spread.orderBy(F.desc("windows"), "host").limit(cfg.fallback_hosts)
     wide = spread.where(F.col("windows") >= cfg.min_windows)
     found = wide.agg(F.count("*").alias("found"))
     return wide.unionByName(top.crossJoin(F.broadcast(found)).where("found = 0").drop("found"))
 
 
-def activity(wf: DataFrame, cfg: Diffusion) -> DataFrame:
-    return wf.where(F.col("label") == cfg.benign).groupBy(F.col("src").alias("host"), "window").agg(F.count("*").alias("n"))
-
-
-def top_windows(wf: DataFrame, hosts: DataFrame, cfg: Diffusion, k: Column) -> DataFrame:
-    """(campaign, host, window): per campaign and host the k windows of a weighted sample. `hosts`
-    has campaign, host and what k needs; all windows of the input can be drawn."""
-    windows = wf.agg(F.explode(F.sequence(F.lit(0).cast("long"), F.max("window"))).alias("window"))
-    slots = hosts.crossJoin(windows).join(activity(wf, cfg), ["host", "window"], "left")
-    weight = F.coalesce(F.col("n"), F.lit(0)).cast("double") if cfg.hide else F.lit(1.0)
-    key = gumbel(weight, portable(cfg.seed, F.col("campaign"), F.col("host"), F.col("window")))
-    rank = F.row_number().over(Window.partitionBy("campaign", "host").orderBy(F.desc("key"), "window"))
-    return slots.withColumn("key", key).withColumn("rank", rank).where(F.col("rank") <= k)
+def top_windows(hosts: DataFrame, cfg: Diffusion, k: Column, n_windows: int) -> DataFrame:
+    """(campaign, host, window, rank, ...): per row of `hosts` (campaign, host, seen, ...) the k windows
+    of a weighted sample; all of the n_windows of the input can be drawn. A row's windows are
+    ordered where the row is: nothing is shuffled."""
+    key = lambda window, n: gumbel(n.cast("double") if cfg.hide else F.lit(1.0), portable(cfg.seed, F.col("campaign"), F.col("host"), window))
+    entry = lambda window, n: F.struct((-key(window, n)).alias("key"), window.alias("window"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(n_windows - 1).cast("long"))
+    busy = F.transform(F.filter("seen", lambda x: x["window"] >= 0), lambda x: entry(x["window"], x["n"]))
+    idle = F.transform(F.array_except(every, F.transform("seen", lambda x: x["window"])), lambda w: entry(w, F.lit(0)))
+    best = F.slice(F.array_sort(F.concat(busy, idle)), F.lit(1), k.cast("int"))
+    kept = [c for c in hosts.columns if c != "seen"]
+    rows = hosts.select(*kept, F.posexplode(best).alias("pos", "best"))
+    return rows.select(*kept, F.col("best.window").alias("window"), (F.col("pos") + 1).alias("rank"))
+
+
+def _prime(least: int) -> int:
+    """The smallest prime that is not below `least`."""
+    n = max(2, least)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def drawn_hosts(campaigns: DataFrame, n_hosts: int, wanted: Column, seed: int) -> DataFrame:
+    """`campaigns` (campaign, ...) with h and number: `wanted` different numbers below n_hosts for
+    each, the first of its own order of all numbers, which is a multiple of a step and a start
+    modulo a prime. Campaigns and hosts are never paired but for those drawn."""
+    prime = _prime(n_hosts)
+    start, step = F.pmod(F.xxhash64(F.lit(seed), "campaign"), F.lit(prime)), F.pmod(F.xxhash64(F.lit(seed + 1), "campaign"), F.lit(prime - 1)) + 1
+    # of so many places at most prime - n_hosts name no host
+    tries = F.sequence(F.lit(0).cast("long"), wanted - 1 + (prime - n_hosts))
+    places = F.filter(F.transform(tries, lambda j: (j * step + start) % prime), lambda x: x < n_hosts)
+    return campaigns.select("*", F.posexplode(F.slice(places, F.lit(1), wanted.cast("int"))).alias("h", "number"))
 
 
 def diffuse(wf: DataFrame, cfg: Diffusion) -> DataFrame:
     """`wf` (us, src, window, label, ... and a unique `id`) with attacks re-timed and re-homed; benign
-    rows stay. Error if there is no attack."""
-    attacks = wf.where(F.col("label") != cfg.benign)
-    if attacks.isEmpty():
+    rows stay. Error if there is no attack, or no benign host that could carry it."""
+    whole = wf.agg(F.count_if(F.col("label") != cfg.benign), F.max("window") + 1, F.min("us")).first()
+    if not whole[0]:
         raise ValueError("no attack rows to diffuse")
+    _, n_windows, t0 = whole
+    pool = blend_pool(wf, cfg).select("host", "seen").persist()
+    n_hosts = pool.count()
+    if not n_hosts:
+        raise ValueError("no benign rows to hide attacks among")
     campaign = F.concat_ws("|", "label", "src")
-    total = wf.agg((F.max("window") + 1).alias("n_windows"), F.min("us").alias("t0"))
-    pool = blend_pool(wf, cfg)
-    sizes = attacks.groupBy(campaign.alias("campaign")).agg(F.count("*").alias("flows")).crossJoin(F.broadcast(total))
-    sizes = sizes.withColumn("cells", F.greatest(F.lit(1), F.ceil(F.col("flows") / cfg.flows_per_cell))).withColumn("hosts", F.ceil(F.col("cells") / F.col("n_windows")))
-    drawn = sizes.crossJoin(F.broadcast(pool.select("host")))
-    drawn = drawn.withColumn("h", F.row_number().over(Window.partitionBy("campaign").orderBy(uniform(cfg.seed, F.col("campaign"), F.col("host")), "host"))).where(F.col("h") <= F.col("hosts"))
-    per_host = F.least(F.ceil(F.col("cells") / F.col("got")), F.col("n_windows"))
-    drawn = drawn.withColumn("got", F.count("*").over(Window.partitionBy("campaign")))
-    slots = top_windows(wf, drawn, cfg, per_host)
-    slots = slots.withColumn("slot", F.row_number().over(Window.partitionBy("campaign").orderBy("h", "rank")) - 1).where(F.col("slot") < F.col("cells"))
-    slots = slots.withColumn("n_slots", F.count("*").over(Window.partitionBy("campaign"))).select("campaign", "slot", "n_slots", "t0", F.col("host").alias("new_src"), F.col("window").alias("new_window"))
-    dealt = attacks.withColumn("campaign", campaign).withColumn("nth", F.row_number().over(Window.partitionBy("campaign").orderBy("id")) - 1)
-    count = slots.groupBy("campaign").agg(F.max("n_slots").alias("n_slots"))
-    dealt = dealt.join(F.broadcast(count), "campaign").withColumn("slot", F.col("nth") % F.col("n_slots")).drop("n_slots")
+    cells = F.greatest(F.lit(1), F.ceil(F.col("flows") / cfg.flows_per_cell))
+    hosts = F.least(F.ceil(cells / F.lit(n_windows)), F.lit(n_hosts).cast("long"))
+    per_host = F.least(F.ceil(cells / hosts), F.lit(n_windows).cast("long"))
+    attacks = wf.where(F.col("label") != cfg.benign).withColumn("campaign", campaign)
+    sizes = attacks.groupBy("campaign").agg(F.count("*").alias("flows")).withColumns({"cells": cells, "per_host": per_host})
+    drawn = drawn_hosts(sizes, n_hosts, hosts, cfg.seed).drop("flows")
+    numbered = _numbered(pool, F.xxhash64(F.lit(cfg.seed), "host"), "host")
+    slots = top_windows(drawn.join(numbered, "number"), cfg, F.col("per_host"), n_windows)
+    # each host of a campaign has per_host slots, the last one those that are left
+    slots = slots.withColumn("slot", F.col("h") * F.col("per_host") + F.col("rank") - 1).where(F.col("slot") < F.col("cells"))
+    slots = slots.select("campaign", "slot", F.col("host").alias("new_src"), F.col("window").alias("new_window"))
+    own = Window.partitionBy("campaign")
+    dealt = attacks.withColumn("nth", F.row_number().over(own.orderBy("id")) - 1).withColumn("flows", F.count("*").over(own))
+    dealt = dealt.withColumn("slot", F.col("nth") % F.least(cells, hosts * per_host)).drop("nth", "flows")
     moved = dealt.join(slots, ["campaign", "slot"])
-    at = F.col("t0") + F.col("new_window") * cfg.window_us + F.floor(uniform(cfg.seed + 1, F.col("id")) * cfg.window_us)
+    at = t0 + F.col("new_window") * cfg.window_us + F.floor(uniform(cfg.seed + 1, F.col("id")) * cfg.window_us)
     moved = moved.withColumn("us", at).withColumn("src", F.col("new_src")).withColumn("window", F.col("new_window"))
     return wf.where(F.col("label") == cfg.benign).unionByName(moved.select(*wf.columns))
 
 
+def multiset(*columns: str) -> list[Column]:
+    """Aggregates that are equal for two tables that hold the same rows as often, whatever their
+    order, and for others with odds of about 2^-63: sums of a row's hash, in three pieces that
+    do not overflow."""
+    h = F.xxhash64(*columns)
+    return [F.sum(F.shiftrightunsigned(h, 21 * i).bitwiseAND((1 << 21) - 1)) for i in range(3)]
+
+
 def diffusion_stats(wf: DataFrame, benign: str = "benign") -> DataFrame:
     """Attack flows a cell (mean, median), dilution (attack share of attack cells), benign flows there."""
     cells = wf.groupBy("window", "src").agg(F.count("*").alias("n"), F.count_if(F.col("label") != benign).alias("a")).where("a > 0")

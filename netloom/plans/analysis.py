@@ -349,12 +349,15 @@ def diffusion_stats(spark, d):
 def diffuse_attacks(spark, d):
     """What thinning attacks out leaves: as many flows of each label, benign ones where they were,
     attacks elsewhere, and only on hosts that have benign flows."""
-    before, after = labelled(spark, d), C.diffuse(labelled(spark, d), CFG)
-    same = ["us", "src", "dst", "window", "label", "id"]
-    moved = after.select(*same).exceptAll(before.select(*same)).groupBy("label").agg(F.count("*").alias("moved"))
+    before = labelled(spark, d)
+    after = C.diffuse(before, CFG)
+    marks = [f"mark{i}" for i in range(3)]
+    sums = [x.alias(m) for x, m in zip(C.multiset("us", "src", "dst", "window", "label", "id"), marks, strict=True)]
     hosts = before.where("label = 'benign'").select("src").distinct().withColumn("known", F.lit(True))
-    out = after.join(hosts, "src", "left").groupBy("label").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("at_home"))
-    return out.join(moved, "label", "left").select("label", "n", F.col("moved").isNull().alias("in_place"), "at_home")
+    out = after.groupBy("label", "src").agg(F.count("*").alias("n"), *sums).join(hosts, "src", "left")
+    out = out.groupBy("label").agg(F.sum("n").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("at_home"), *(F.sum(m).alias(m) for m in marks))
+    was = before.groupBy("label").agg(F.struct(F.count("*"), *sums).alias("was"))
+    return out.join(was, "label").select("label", "n", (F.struct("n", *marks) == F.col("was")).alias("in_place"), "at_home")
 
 
 @query(f"""WITH {T.FLOWS_SQL}, sp AS (SELECT src AS host, count(DISTINCT "window") AS windows FROM wf WHERE label = 'benign' GROUP BY ALL), wide AS (SELECT host FROM sp WHERE windows >= 20),
@@ -364,8 +367,9 @@ u AS (SELECT host, "window", coalesce(n, 0) + 1e-6 AS w, greatest(least({X.porta
 r AS (SELECT host, "window", row_number() OVER (PARTITION BY host ORDER BY ln(w) - ln(-ln(u)) DESC, "window") AS rank FROM u) SELECT 'c' AS campaign, host, "window", rank FROM r WHERE rank <= 5""")
 def topk_gumbel(spark, d):
     w = labelled(spark, d)
-    hosts = C.blend_pool(w, CFG).select("host").withColumn("campaign", F.lit("c"))
-    return C.top_windows(w, hosts, CFG, F.lit(5)).select("campaign", "host", "window", "rank")
+    hosts = C.blend_pool(w, CFG).select("host", "seen").withColumn("campaign", F.lit("c"))
+    n_windows = w.agg(F.max("window") + 1).first()[0] or 0
+    return C.top_windows(hosts, CFG, F.lit(5), n_windows).select("campaign", "host", "window", "rank")
 
 
 @query(f"""WITH {T.FLOWS_SQL}, i AS (SELECT *, src || '-' || dst || '-' || us || '-' || dport || '-' || CAST(fwd_bytes * 100 AS BIGINT) AS id FROM flows),

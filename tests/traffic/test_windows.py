@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from netloom.operators import hostwindow as H
 from netloom.operators import metrics as M
 from netloom.operators import visibility as V
-from netloom.operators.campaigns import Diffusion, budget, diffuse
+from netloom.operators.campaigns import Diffusion, budget, diffuse, drawn_hosts, multiset
 from netloom.sources import generator as G
 
 S = 1_000_000
@@ -108,3 +108,37 @@ def test_budget_and_diffusion(spark):
         assert per == pytest.approx(density, rel=0.35)
     with pytest.raises(ValueError):
         diffuse(w.where("label = 'benign'"), Diffusion(1.0))
+
+
+def test_campaigns_draw_hosts_without_pairing_them(spark):
+    campaigns = spark.range(3000).selectExpr("concat('c', id) as campaign", "1 + id % 7 as k")
+    for n_hosts in (1, 8, 2000):
+        out = drawn_hosts(campaigns, n_hosts, F.least(F.col("k"), F.lit(n_hosts).cast("long")), 0)
+        rows = out.collect()
+        by = {}
+        for x in rows:
+            assert 0 <= x["number"] < n_hosts
+            by.setdefault(x["campaign"], []).append(x["number"])
+        assert all(len(set(v)) == len(v) for v in by.values()) and len(by) == 3000
+        assert len(rows) == sum(min(1 + i % 7, n_hosts) for i in range(3000))
+        assert len({x["number"] for x in rows}) > 0.98 * n_hosts
+        assert "CartesianProduct" not in (plan := out._jdf.queryExecution().toString()) and "NestedLoopJoin" not in plan
+
+
+def test_diffusion_keeps_every_attack_and_pairs_no_tables(spark):
+    r = random.Random(6)
+    rows = [(i, r.randrange(3000 * S), f"h{r.randint(0, 30)}", "benign") for i in range(3000)] + [(3000 + i, r.randrange(3000 * S), f"a{i % 40}", r.choice(["scan", "exfil"])) for i in range(2000)]
+    w = H.windowed(spark.createDataFrame(rows, "id long, us long, src string, label string"), 60, 0)
+    out = diffuse(w, Diffusion(2.0, min_windows=20))
+    # broadcasts of a row or a few thousand bucket totals apart, no table is paired with another
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString()
+    assert {x["id"] for x in out.collect()} == set(range(5000)) and out.count() == 5000
+    with pytest.raises(ValueError):
+        diffuse(w.where("label = 'scan'"), Diffusion(1.0))
+
+
+def test_multiset_sums_tell_rows_and_how_often_they_are(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (None, "z")], "k long, v string")
+    mark = lambda df: tuple(df.agg(*multiset("k", "v")).first())
+    assert mark(a) == mark(a.repartition(3).orderBy(F.desc("v")))
+    assert len({mark(a), mark(a.distinct()), mark(a.where("k is not null")), mark(a.withColumn("k", F.col("k") + 1))}) == 4
