@@ -32,10 +32,16 @@ def _flows(rows):
 
 
 def stream_host_window(spark, sf_dir):
-    """Host cells of 30-day windows over the flow table as a stream, with those open at its end."""
-    folder = HS.run_folder(spark, "host-window", sf_dir)
-    out = HS.run_available(HS.host_cells(_flows(_stream(spark, sf_dir, "lineitem")), "30 days"), f"{folder}/out", f"{folder}/state")
-    out = HS.flushed_cells(out, _flows(T.read(spark, sf_dir, "lineitem")), "30 days", WIDTH_US / 1e6)
+    """Host cells of 30-day windows over the flow table, replayed as a stream in order of time, with
+    those open at its end. No flow may be late."""
+    folder, flows, counts = HS.run_folder(spark, "host-window", sf_dir), _flows(T.read(spark, sf_dir, "lineitem")), {}
+    stream = HS.replayed(flows, f"{folder}/in")
+    out = HS.run_available(HS.host_cells(stream, "30 days"), f"{folder}/out", f"{folder}/state", counts)
+    if counts["late"]:
+        raise RuntimeError(f"{counts['late']} rows of an ordered replay came late")
+    for done in ("in", "state"):
+        HS.discard(spark, f"{folder}/{done}")
+    out = HS.flushed_cells(out, flows, "30 days", WIDTH_US / 1e6)
     return out.select(F.floor(F.unix_micros("window_start") / WIDTH_US).cast("long").alias("window"), "host", *(F.round(c, 4).alias(c) for c in CELLS))
 
 

@@ -1,8 +1,9 @@
 """Host-window cells and idle sessions over streams.
 
 A stream has no exact distinct count, but a chain of two windowed aggregations does: first
-(window, host, role, peer), then (window, host). State is one row a peer, and both levels are
-closed by the same watermark.
+(window, src, dst), then (window, host) over both ends of these pairs. State is one row a pair,
+and both levels are closed by the same watermark. A table at rest is replayed in order of time,
+some rows a micro-batch, so that windows close on the way and state holds those that are open.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ from pyspark.sql import functions as F
 from netloom.functions.exprs import entropy_of_counts
 
 
+#: Rows of a file of a replay, and files of a micro-batch.
+FILE_ROWS, BATCH_FILES = 250_000, 8
+
+
 def with_time(flows: DataFrame) -> DataFrame:
     """`flows` with `ts`, a timestamp with zone, from `us`: watermarks refuse others."""
     return flows.withColumn("ts", F.timestamp_micros("us"))
 
 
-def unpivoted(flows: DataFrame, roles: tuple[str, ...] = ("src", "dst")) -> DataFrame:
-    """A row a flow for each of the roles that its ends can have."""
+def unpivoted(pairs: DataFrame, roles: tuple[str, ...] = ("src", "dst")) -> DataFrame:
+    """A row a pair for each of the roles that its ends can have; ports go with the source."""
     other = {"src": "dst", "dst": "src"}
     end = lambda host, peer, role: F.struct(F.col(host).alias("host"), F.col(peer).alias("peer"), F.lit(role).alias("role"))
-    return flows.select("ts", "dport", "fwd_pkts", "fwd_bytes", F.explode(F.array(*(end(r, other[r], r) for r in roles))).alias("end")).select("ts", "dport", "fwd_pkts", "fwd_bytes", "end.*")
+    rows = pairs.select("w", "n", "p", "b", "ports", F.explode(F.array(*(end(r, other[r], r) for r in roles))).alias("end"))
+    return rows.select("w", "n", "p", "b", F.when(F.col("end.role") == "src", F.col("ports")).alias("ports"), "end.*")
 
 
 def host_cells(flows: DataFrame, width: str, lateness: str = "15 seconds", start: str = "0 seconds", roles: tuple[str, ...] = ("src", "dst")) -> DataFrame:
@@ -35,10 +41,11 @@ def host_cells(flows: DataFrame, width: str, lateness: str = "15 seconds", start
 
     Flows later than the watermark are dropped, and Spark's progress counts them. In a batch
     the same plan gives all windows: that is the flush of a finished input."""
-    rows = unpivoted(flows, roles)
+    rows = flows.select("ts", "src", "dst", "dport", "fwd_pkts", "fwd_bytes")
     if flows.isStreaming:
         rows = rows.withWatermark("ts", lateness)
-    by_peer = rows.groupBy(F.window("ts", width, startTime=start).alias("w"), "host", "role", "peer").agg(F.count("*").alias("n"), F.sum("fwd_pkts").alias("p"), F.sum("fwd_bytes").alias("b"), F.collect_set("dport").alias("ports"))
+    by_pair = rows.groupBy(F.window("ts", width, startTime=start).alias("w"), "src", "dst").agg(F.count("*").alias("n"), F.sum("fwd_pkts").alias("p"), F.sum("fwd_bytes").alias("b"), F.collect_set("dport").alias("ports"))
+    by_peer = unpivoted(by_pair, roles)
     src, dst = F.col("role") == "src", F.col("role") == "dst"
     total = lambda side, c: F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0)).cast("double")
     n_dst = F.when(dst, F.col("n").cast("double"))
@@ -69,13 +76,44 @@ def idle_sessions(packets: DataFrame, idle: str, lateness: str = "15 seconds") -
 def run_available(stream: DataFrame, path: str, checkpoint: str, counts: dict | None = None) -> DataFrame:
     """Runs a stream over all that is there, appends to Parquet at `path`, and reads it; `counts`
     takes what progress() gives."""
-    query = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-    query.awaitTermination()
+    spark, key = stream.sparkSession, "spark.sql.streaming.minBatchesToRetain"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")  # a checkpoint serves this one run
+    try:
+        query = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    finally:
+        spark.conf.set(key, before)
+    while not query.awaitTermination(10):
+        spark._jvm.System.gc()  # shuffle files of past micro-batches go once the driver has collected its garbage
     if counts is not None:
         counts |= progress(query)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def replayed(flows: DataFrame, path: str, file_rows: int = FILE_ROWS, batch_files: int = BATCH_FILES) -> DataFrame:
+    """`flows` (ts, ...) as a stream in order of time: written to `path` in files of time ranges,
+    of which a micro-batch takes so many. Rows of one time may be in two files and come in two
+    micro-batches; none is late, as its window ends after that time.
+
+    A stream takes files by the time of their last change, which is set to their order; where a
+    file system does not keep it, all files are one micro-batch."""
+    spark = flows.sparkSession
+    files = max(1, -(-flows.count() // file_rows))
+    flows.repartitionByRange(files, "ts").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = lambda: sorted((x for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName())
+    found = listed()
+    first = min(x.getModificationTime() for x in found) // 1000 * 1000
+    for i, x in enumerate(found):
+        fs.setTimes(x.getPath(), first + 1000 * i, -1)
+    reader = spark.readStream.schema(flows.schema)
+    if [x.getModificationTime() for x in listed()] == [first + 1000 * i for i in range(len(found))]:
+        batches = -(-files // batch_files)
+        reader = reader.option("maxFilesPerTrigger", -(-len(found) // batches))
+    return reader.parquet(path)
+
+
 def progress(query) -> dict:
     """Rows in, rows too late for the watermark, and rows of state that are held at the end, of
     the micro-batches that Spark still knows of."""
@@ -106,6 +144,12 @@ def flushed_sessions(emitted: DataFrame, packets: DataFrame, key: list[str], end
     return emitted.unionByName(rest(after).select(*emitted.columns))
 
 
+def discard(spark, path: str) -> None:
+    """Deletes what a finished stream read or kept and nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_folder(spark, name: str, key: str) -> str:
     """A fresh folder in the shared place of the session; a local one in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

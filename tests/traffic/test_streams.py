@@ -49,3 +49,28 @@ def test_sessions_over_a_stream(spark, tmp_path):
     got = HS.run_available(HS.idle_sessions(HS.with_time(stream), "30 seconds"), f"{tmp_path}/out", f"{tmp_path}/state")
     assert [r["n_pkts"] for r in got.orderBy("start").collect()] == [5, 5, 5]
     assert [r["n_pkts"] for r in HS.idle_sessions(HS.with_time(batch), "30 seconds").orderBy("start").collect()] == [5] * 4
+
+
+def test_replay_closes_windows_on_the_way(spark, tmp_path):
+    r = random.Random(3)
+    # in no order of time, and many flows at the same second
+    rows = [(r.randint(0, 1200) * S, f"a{r.randint(0, 6)}", f"b{r.randint(0, 9)}", r.randint(1, 50), 1.0, 10.0) for _ in range(4000)]
+    flows = HS.with_time(spark.createDataFrame(rows, "us long, src string, dst string, dport int, fwd_pkts double, fwd_bytes double").repartition(5))
+    whole = HS.host_cells(flows, "60 seconds")
+    counts = {}
+    stream = HS.replayed(flows, f"{tmp_path}/in", file_rows=250, batch_files=2)
+    got = HS.run_available(HS.host_cells(stream, "60 seconds"), f"{tmp_path}/out", f"{tmp_path}/state", counts)
+    assert counts["batches"] >= 8 and counts["late"] == 0 and counts["rows"] == len(rows)
+    # what is held at the end are cells and pairs of the last windows alone
+    assert counts["state_rows"] < 0.2 * whole.count() * 10
+    got = HS.flushed_cells(got, flows, "60 seconds", 60)
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*whole.columns).collect())
+    assert key(got) == key(whole)
+
+
+def test_state_has_a_row_for_each_pair(spark, tmp_path):
+    rows = [(i * S, f"a{i % 5}", f"b{i % 3}", 80, 1.0, 10.0) for i in range(50)]
+    flows = HS.with_time(spark.createDataFrame(rows, "us long, src string, dst string, dport int, fwd_pkts double, fwd_bytes double"))
+    counts = {}
+    HS.run_available(HS.host_cells(HS.replayed(flows, f"{tmp_path}/in"), "60 seconds"), f"{tmp_path}/out", f"{tmp_path}/state", counts)
+    assert counts["state_rows"] == 15  # both ends of a pair are made of one row
