@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from netloom.llm.store import map_batches, prepare
 from netloom.llm.text import Words, batch_texts, graph_bytes
-from netloom.llm.toxicity import bounded_sample, held_out, training_rows
+from netloom.llm.toxicity import bounded_sample, chosen_rows, held_out
 
 #: Buckets of hashed words as a power of two, bins of a number, latent factors.
 BITS, BINS, FACTORS = 16, 16, 8
+#: Labelled rows that a model is fitted on at most.
+FIT_ROWS = 20_000
 #: Numbers of a text's structure, each in [0, 1], and the metadata number.
 NUMBERS = ("upper", "digit", "symbol", "punctuation", "blank", "beyond_ascii", "word_length", "longest_word", "words", "different_words", "repeated_next", "repeated_pair", "capitalised", "stopped", "lines", "different_lines", "commonest_word", "table_chars")
 _SIZE = (1 << BITS) + len(NUMBERS) * BINS
@@ -179,7 +181,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([model.bias]), *(pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (model.weights, model.factors))], ["bias", "weights", "factors"])
 
 
-def train(labelled: DataFrame, fit_rows: int = 20_000) -> Model:
+def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """From (id, text, n_chars, label) with label 0 or 1; rows with another label are left out.
     One task fits on at most `fit_rows` rows; only the model comes to the driver."""
     prepare(labelled.sparkSession)
@@ -215,7 +217,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
     prepare(docs.sparkSession)
     fold = held_out(4, 2)
     chars = F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0))
-    model = train(training_rows(docs, labels, "quality", fold, "n_chars"))
+    model = train(chosen_rows(docs, labels, "quality", fold, FIT_ROWS, "n_chars"))
     wide = docs.select("doc_id", fold.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), chars.alias("n_chars"))
     out = wide.transform(map_batches, partial(_score, model=docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from netloom.llm.groups import runs
-from netloom.llm.store import cut, map_batches, prepare, release
+from netloom.llm.store import cut, forget, map_batches, prepare, release
 from netloom.llm.text import batch_texts, lower_table, mix
 
 #: Buckets of n-gram hashes, as a power of two, and buckets that are counted as one row.
@@ -230,15 +230,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, held_out: Col
     """(id, text, label, *more) of labelled documents that are not held out, cut: a fit reads it
     more than once. Texts are shuffled once, those alone that Spark's Bloom filter of labelled
     ids lets through (8 MB at most); its setting is for large scans only and is lowered here."""
-    spark = docs.sparkSession
     rows = docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", *more)
     labelled = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select(F.col("doc_id").alias("id"))
     rows = rows.join(labelled, "id", "left_semi").join(labels_of(labels, column), "id")
+    return _filtered_cut(rows.select("id", "text", "label", *more), f"train-{column}")
+
+
+def _filtered_cut(rows: DataFrame, name: str) -> DataFrame:
+    """cut() of a join of texts with few ids, of which Spark makes a Bloom filter for the texts."""
+    spark = rows.sparkSession
     key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
     before = spark.conf.get(key)
     spark.conf.set(key, "0")
     try:
-        out = cut(rows.select("id", "text", "label", *more), f"train-{column}")
+        out = cut(rows, name)
     finally:
         spark.conf.set(key, before)
     del rows
@@ -246,6 +251,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, held_out: Col
     return out
 
 
+def chosen_rows(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, rows: int, *more: str) -> DataFrame:
+    """bounded_sample() of training_rows(), cut, for a fit that reads no more than that: rows are
+    chosen by ids and labels, and only the texts of the chosen ids are shuffled."""
+    ids = docs.where(~held_out).select(F.col("doc_id").alias("id")).join(labels_of(labels, column), "id")
+    chosen = cut(bounded_sample(ids, rows).groupBy("id").agg(F.first("label").alias("label")), f"chosen-{column}")
+    texts = docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", *more)
+    # rows share an id at times, and then all of them come
+    found = _filtered_cut(texts.join(chosen.select("id"), "id", "left_semi").join(chosen, "id").select("id", "text", "label", *more), f"train-{column}")
+    forget(chosen)
+    return found
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """Whether a document's id, as text, falls into the held-out fold; a null id does not."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))

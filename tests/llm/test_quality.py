@@ -3,7 +3,10 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from netloom.llm.quality import Model, quality
+from netloom.llm.toxicity import bounded_sample, chosen_rows, held_out, training_rows
 
 
 def test_sum_of_squares_identity():
@@ -42,3 +45,19 @@ def test_without_labels_and_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(abs(x["score"] - 0.5) < 0.1 for x in quality(docs, none).collect())
     assert quality(docs.limit(0), none).collect() == []
+
+
+def test_chosen_rows_are_those_of_all_training_rows(spark):
+    docs = [(i, f"text {i}", i) for i in range(400)] + [(7, "again", 1), (None, "no id", 2), (9, None, 3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 1)] + [(5, None), (None, 1), (6, 7), (8, 1)], "doc_id long, quality int")
+    whole = training_rows(d, labels, "quality", held_out(4, 2), "n_chars")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    n = whole.count()
+    assert rows(chosen_rows(d, labels, "quality", held_out(4, 2), 1000, "n_chars")) == rows(whole)
+    few = chosen_rows(d, labels, "quality", held_out(4, 2), 50, "n_chars")
+    assert 50 <= few.count() <= 52 < n
+    # of an id that is chosen all rows come, and a fit takes the first of them again
+    ids = {r["id"] for r in bounded_sample(whole, 50).collect()}
+    assert {r["id"] for r in few.collect()} == ids
+    assert few.join(whole.withColumnRenamed("text", "t").select("id", "t"), "id").where(F.col("text") == F.col("t")).count() >= 50
